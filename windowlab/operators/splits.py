@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from windowlab.operators.ranking import hash_ranks
 
@@ -64,13 +64,16 @@ def stratified_folds(df: DataFrame, strata: Sequence[str], key: str, seed: int,
 def grouped_folds(df: DataFrame, parts: Sequence[str], run: str, k: int = 3, fold: str = "fold") -> DataFrame:
     """(parts, run, fold), balanced and without a seed.
 
-    Runs of equal window count are dealt out in turn, in md5 order of the run, so the
-    folds differ by at most one run per window count.
+    Runs are dealt out in turn, largest window count first (md5 order among equals).  The position of
+    a run is the number of larger runs, from the small table of run sizes, plus its rank among equals.
     """
     runs = df.groupBy(*parts, run).agg(F.count(F.lit(1)).alias("n_windows"))
     r = hash_ranks(runs, [*parts, "n_windows"], 0, run)
-    # Start each window count where the sizes before it stopped being even: the count itself rotates the deal.
-    return r.select(*parts, run, "n_windows", F.pmod(F.col("rn") - 1 + F.col("n_windows"), F.lit(k)).cast("int").alias(fold))
+    sizes = r.groupBy(*parts, "n_windows").agg(F.count(F.lit(1)).alias("_c"))
+    larger = Window.partitionBy(*parts).orderBy(F.desc("n_windows")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*parts, "n_windows", F.coalesce(F.sum("_c").over(larger), F.lit(0)).alias("_larger"))
+    pos = F.col("_larger") + F.col("rn") - 1
+    return r.join(sizes, [*parts, "n_windows"]).select(*parts, run, "n_windows", F.pmod(pos, F.lit(k)).cast("int").alias(fold))
 
 
 def assign(df: DataFrame, split: DataFrame, keys: Sequence[str]) -> DataFrame:
