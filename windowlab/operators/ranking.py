@@ -137,3 +137,44 @@ def exact_quantiles(
         .groupBy(*parts, prob)
         .agg((F.max("_lo") + (F.max("_hi") - F.max("_lo")) * F.max("_frac")).alias(value))
     )
+
+
+def hash_cuts(df: DataFrame, parts: Sequence[str], seed, key: str, positions: dict[str, Column]) -> DataFrame:
+    """The keys standing at given positions of the (md5(seed|key), key) order, one row per part.
+
+    ``positions`` are columns over ``n_part``.  Bucket totals tell which bucket holds a position and
+    only that bucket (a 4096th of the part) is ranked.  Returns ``cut_<name>`` structs (h, k); null for position 0.
+    """
+    parts = list(parts)
+    work = df.select(*parts, F.col(key).alias("k"), order_key(seed, key).alias("h"))
+    work = work.withColumn("_bucket", F.conv(F.substring("h", 1, HASH_DIGITS), 16, 10).cast("int"))
+    totals = work.groupBy(*parts, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    by_part = Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))
+    before = by_part.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    located = totals.select(
+        *parts,
+        "_bucket",
+        "_n",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+        F.sum("_n").over(by_part).alias("n_part"),
+    ).select(
+        *parts,
+        "_bucket",
+        "_n",
+        "_offset",
+        F.inline(F.array(*[F.struct(F.lit(n).alias("_name"), p.cast("bigint").alias("_pos")) for n, p in positions.items()])),
+    )
+    targets = located.where((F.col("_pos") > F.col("_offset")) & (F.col("_pos") <= F.col("_offset") + F.col("_n")))
+    # parts x positions rows.
+    hits = work.join(F.broadcast(targets), [*parts, "_bucket"])
+    w = Window.partitionBy(*parts, "_name").orderBy("h", "k")
+    hits = hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == F.col("_pos") - F.col("_offset"))
+    found = hits.groupBy(*parts).agg(*[
+        F.max(F.when(F.col("_name") == n, F.struct("h", "k"))).alias(f"cut_{n}") for n in positions
+    ])
+    return found
+
+
+def below_cut(seed, key: str, cut: str) -> Column:
+    """Whether a row stands at or before the cut of its part."""
+    return F.struct(order_key(seed, key).alias("h"), F.col(key).alias("k")) <= F.col(cut)

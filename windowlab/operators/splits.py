@@ -1,8 +1,8 @@
 """Run-grouped and stratified splits, folds and run samples.
 
-A split is a table of runs with their part; windows get it by joining on the run,
-so the windows of a run can never be separated.  Order is md5 order, computed
-with :func:`hash_ranks`, which never sorts a whole domain in one task.
+Runs are put in md5 order and cut at fixed positions, so a split is described by a
+few cut points and every window finds its part by itself, with its run's hash.  The
+windows of a run can never be separated, and no window is shuffled for it.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from windowlab.operators.ranking import hash_ranks
+from windowlab.operators.ranking import below_cut, hash_cuts, hash_ranks
 
 
 def with_seeds(df: DataFrame, seeds: Sequence[int], name: str = "seed") -> DataFrame:
@@ -19,24 +19,53 @@ def with_seeds(df: DataFrame, seeds: Sequence[int], name: str = "seed") -> DataF
     return df.withColumn(name, F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
 
 
-def _runs(df: DataFrame, parts: Sequence[str], run: str, seeds: Sequence[int]) -> DataFrame:
+def _positions(test: float, val: float) -> dict:
+    """Cut positions: test = ceil(test * n), val = ceil(val * rest).  1e-9 keeps ceil from counting a rounding error."""
+    n = F.col("n_part")
+    n_test = F.ceil(n * test - 1e-9)
+    out = {"test": n_test}
+    if val > 0:
+        out["val"] = n_test + F.ceil((n - n_test) * val - 1e-9)
+    return out
+
+
+def _part(seed, key: str, val: float):
+    part = F.when(below_cut(seed, key, "cut_test"), "test")
+    if val > 0:
+        part = part.when(below_cut(seed, key, "cut_val"), "val")
+    return part.otherwise("train")
+
+
+def split_cuts(df: DataFrame, parts: Sequence[str], run: str, seeds: Sequence[int], test: float = 0.20, val: float = 0.25) -> DataFrame:
+    """The split as cut points in the md5 order of the runs: one row per (parts, seed)."""
     runs = with_seeds(df.select(*parts, run).distinct(), seeds)
-    return hash_ranks(runs, [*parts, "seed"], F.col("seed"), run)
+    return hash_cuts(runs, [*parts, "seed"], F.col("seed"), run, _positions(test, val))
+
+
+def split_windows(df: DataFrame, parts: Sequence[str], run: str, seeds: Sequence[int], test: float = 0.20, val: float = 0.25) -> DataFrame:
+    """Windows repeated per seed with the part of their run.
+
+    A run's part follows from comparing its hash with the cut points, so the windows are neither
+    shuffled nor joined on the run: a run with a third of all windows is no hot key.  The joined
+    side has one row per (parts, seed).
+    """
+    cuts = split_cuts(df, parts, run, seeds, test, val)
+    out = with_seeds(df, seeds).join(F.broadcast(cuts), [*parts, "seed"])
+    return out.withColumn("part", _part(F.col("seed"), run, val)).drop("cut_test", "cut_val")
 
 
 def grouped_split(df: DataFrame, parts: Sequence[str], run: str, seeds: Sequence[int], test: float = 0.20, val: float = 0.25) -> DataFrame:
-    """(parts, run, seed, part): test = ceil(.2 n) runs, val = ceil(.25 of the rest), train = what is left.
+    """(parts, run, seed, part), one row per run: test = ceil(.2 n) runs, val = ceil(.25 of the rest), train = what is left.
 
     ``val=0`` gives a train/test split.
     """
-    r = _runs(df, parts, run, seeds)
-    # 1e-9 keeps ceil from counting a rounding error as one more run.
-    n_test = F.ceil(F.col("n_part") * test - 1e-9)
-    n_val = F.ceil((F.col("n_part") - n_test) * val - 1e-9)
-    part = F.when(F.col("rn") <= n_test, "test")
-    if val > 0:
-        part = part.when(F.col("rn") <= n_test + n_val, "val")
-    return r.select(*parts, run, "seed", part.otherwise("train").alias("part"))
+    return split_windows(df.select(*parts, run).distinct(), parts, run, seeds, test, val).select(*parts, run, "seed", "part")
+
+
+def target_windows(df: DataFrame, parts: Sequence[str], run: str, seeds: Sequence[int], test: float = 0.40) -> DataFrame:
+    """Windows of the target domain with part calib or test."""
+    s = split_windows(df, parts, run, seeds, test=test, val=0)
+    return s.withColumn("part", F.when(F.col("part") == "train", "calib").otherwise("test"))
 
 
 def target_split(df: DataFrame, parts: Sequence[str], run: str, seeds: Sequence[int], test: float = 0.40) -> DataFrame:
@@ -46,14 +75,10 @@ def target_split(df: DataFrame, parts: Sequence[str], run: str, seeds: Sequence[
 
 
 def stratified_split(df: DataFrame, strata: Sequence[str], key: str, seed: int, test: float = 0.20, val: float = 0.25) -> DataFrame:
-    """Row-level split that keeps the share of every stratum."""
-    r = hash_ranks(df, strata, seed, key)
-    n_test = F.ceil(F.col("n_part") * test - 1e-9)
-    n_val = F.ceil((F.col("n_part") - n_test) * val - 1e-9)
-    part = F.when(F.col("rn") <= n_test, "test")
-    if val > 0:
-        part = part.when(F.col("rn") <= n_test + n_val, "val")
-    return r.withColumn("part", part.otherwise("train")).drop("rn", "n_part")
+    """Row-level split that keeps the share of every stratum, by cut points per stratum."""
+    cuts = hash_cuts(df, strata, seed, key, _positions(test, val))
+    out = df.join(F.broadcast(cuts), list(strata))  # one row per stratum
+    return out.withColumn("part", _part(seed, key, val)).drop("cut_test", "cut_val")
 
 
 def stratified_folds(df: DataFrame, strata: Sequence[str], key: str, seed: int, k: int = 3, fold: str = "fold") -> DataFrame:
@@ -76,11 +101,6 @@ def grouped_folds(df: DataFrame, parts: Sequence[str], run: str, k: int = 3, fol
     return r.join(sizes, [*parts, "n_windows"]).select(*parts, run, "n_windows", F.pmod(pos, F.lit(k)).cast("int").alias(fold))
 
 
-def assign(df: DataFrame, split: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Windows with the part of their run."""
-    return df.join(split, list(keys))
-
-
 def fewshot_runs(pool: DataFrame, parts: Sequence[str], run: str, sizes: Sequence[int], repeats: int) -> DataFrame:
     """Runs drawn without replacement for every (n, repeat); sizes above the pool are skipped.
 

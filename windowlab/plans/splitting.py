@@ -42,7 +42,7 @@ def grouped_split(spark, sf):
     FROM wide JOIN sp USING (domain, run_id) GROUP BY 1, 2, 3""",
 )
 def grouped_split_windows(spark, sf):
-    w = splits.assign(wide(spark, sf).select("domain", "run_id"), split(spark, sf), ["domain", "run_id"])
+    w = splits.split_windows(wide(spark, sf).select("domain", "run_id"), ["domain"], "run_id", SEEDS)
     counts = w.groupBy("domain", "seed", "part").agg(F.count(F.lit(1)).alias("n_windows"), F.count_distinct("run_id").alias("n_runs"))
     key = F.concat_ws("|", "domain", "seed", "run_id")
     return counts.join(F.broadcast(reshape.overlap_count(w.withColumn("k", key), "k", "part")))
@@ -150,7 +150,7 @@ TRAIN = dict(rk=run_rank_sql([42]), sp=SPLIT_SQL, tr="SELECT w.* FROM wide w JOI
 
 
 def train_part(spark, sf):
-    return splits.assign(wide(spark, sf), split(spark, sf, [42]), ["domain", "run_id"])
+    return splits.split_windows(wide(spark, sf), ["domain"], "run_id", [42])
 
 
 @query(
@@ -429,7 +429,7 @@ def split_artifacts(spark, sf):
     """Splits, scaler parameters and selected features written and read back."""
     root = fresh_path(spark, "artifacts")
     w, sp = wide(spark, sf), split(spark, sf, [42])
-    tr = splits.assign(w, sp, ["domain", "run_id"]).where("part = 'train'")
+    tr = train_part(spark, sf).where("part = 'train'")
     scaler = scaling.fit_standard(tr, ["domain"], WIDE_FEATURES)
     chosen = selection.filter_features(w, WIDE_FEATURES)
     names = scaler.select("feature").distinct().where(F.col("feature").isin(*chosen))
