@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from windowlab.plans import engineering, reshaping, scoring, splitting  # noqa: F401
+from windowlab.plans import engineering, inference, reshaping, scoring, splitting  # noqa: F401
 from windowlab.plans.registry import COVERS, ORACLES, QUERIES  # noqa: F401
