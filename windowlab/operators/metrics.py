@@ -18,16 +18,36 @@ def best_threshold(df: DataFrame, keys: Sequence[str], y: str, score: str, grid:
     after an occupied bucket, so candidates are the grid start and the steps after occupied buckets.
     """
     lo, hi = grid
-    hist = (
-        df.select(*keys, F.col(y).alias("_y"), grid_bucket(F.col(score)).alias("_b"))
-        .select(*keys, F.greatest(F.least("_b", F.lit(hi + 1)), F.lit(lo - 1)).alias("_b"), "_y")
-        .groupBy(*keys, "_b")
-        .agg(F.sum((F.col("_y") == 1).cast("bigint")).alias("_p"), F.sum((F.col("_y") == 0).cast("bigint")).alias("_q"))
+    return best_step(score_histogram(df, keys, y, score, grid), keys, lo, F.lit(hi)).withColumn("t", F.col("t").cast("int"))
+
+
+def score_histogram(df: DataFrame, keys: Sequence[str], y: str, score: str, grid: tuple[int, int] = THRESHOLD_GRID) -> DataFrame:
+    """(keys, _b, _p, _q): positives and negatives per hundredth, everything a grid threshold depends on."""
+    lo, hi = grid
+    b = F.greatest(F.least(grid_bucket(F.col(score)), F.lit(hi + 1)), F.lit(lo - 1))
+    return df.groupBy(*keys, b.alias("_b")).agg(
+        F.sum((F.col(y) == 1).cast("bigint")).alias("_p"), F.sum((F.col(y) == 0).cast("bigint")).alias("_q")
     )
-    return _best_step(hist, keys, lo, F.lit(hi)).withColumn("t", F.col("t").cast("int"))
 
 
-def _best_step(hist: DataFrame, keys: Sequence[str], lo: int, hi: Column) -> DataFrame:
+def accuracy_curve(hist: DataFrame, keys: Sequence[str], grid: tuple[int, int] = THRESHOLD_GRID) -> DataFrame:
+    """(keys, t, acc) for every threshold of the grid, from a score histogram."""
+    lo, hi = grid
+    zero = F.lit(0).cast("bigint")
+    h = hist.groupBy(*keys, "_b").agg(F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
+    dense = h.select(*keys).distinct().select(
+        *keys, F.explode(F.sequence(F.lit(lo - 1), F.lit(hi + 1))).alias("_b"), zero.alias("_p"), zero.alias("_q")
+    )
+    h = h.unionByName(dense).groupBy(*keys, "_b").agg(F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
+    part = Window.partitionBy(*keys)
+    below = part.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    above = part.orderBy("_b").rowsBetween(0, Window.unboundedFollowing)
+    right = F.sum("_p").over(above) + F.coalesce(F.sum("_q").over(below), F.lit(0))
+    total = F.sum(F.col("_p") + F.col("_q")).over(part)
+    return h.select(*keys, F.col("_b").alias("t"), (right / total).alias("acc")).where(F.col("t").between(lo, hi))
+
+
+def best_step(hist: DataFrame, keys: Sequence[str], lo: int, hi: Column) -> DataFrame:
     """Best cut over a small histogram (keys, _b, _p, _q): positives at or above plus negatives below."""
     zero = F.lit(0).cast("bigint")
     steps = hist.select(*keys, F.inline(F.array(
@@ -59,7 +79,7 @@ def best_quantile_threshold(df: DataFrame, keys: Sequence[str], y: str, score: s
     j = counts.join(cuts, list(keys)) if keys else counts.join(F.broadcast(cuts))
     j = j.withColumn("_b", F.size(F.filter("_cuts", lambda c: c <= F.col(score))))
     hist = j.groupBy(*keys, "_b").agg(F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
-    best = _best_step(hist, keys, 1, F.lit(n))
+    best = best_step(hist, keys, 1, F.lit(n))
     best = best.join(cuts, list(keys)) if keys else best.join(F.broadcast(cuts))
     # A step past the last cut means "predict nothing", which no candidate does.
     return best.select(*keys, F.element_at("_cuts", F.least(F.col("t"), F.size("_cuts")).cast("int")).alias("t"), "t_acc")

@@ -18,14 +18,21 @@ from windowlab.operators.metrics import auc_from_counts
 from windowlab.operators.ranking import hash_ranks, split_points
 
 
+def _spread(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def replicates(df: DataFrame, unit: Sequence[str], n: int, seed: int, weight: str = "w") -> DataFrame:
-    """Rows repeated per replicate with the weight of their unit (rows of weight 0 are left out).
+    """Rows repeated per replicate with the weight of their unit.
 
-    The repetition happens inside the stage that aggregates; it is never shuffled as such.
+    The repetition happens inside the stage that aggregates; it is never shuffled as such.  The work is
+    rows x replicates while the rows may be few bytes, so the rows are spread over all cores first:
+    adaptive coalescing sizes partitions by bytes and would leave a few.
     """
-    x = df.withColumn("_x", key_code(*unit)).withColumn("_r", F.explode(replicate_axis(seed, n)))
+    x = df.repartition(_spread(df), *df.columns).withColumn("_x", key_code(*unit)).withColumn("_r", F.explode(replicate_axis(seed, n)))
     u = poly_hash(F.col("_x"), F.col("_r.a"), F.col("_r.b"), F.col("_r.c"))
-    return x.withColumn(weight, poisson_weight(u)).where(F.col(weight) > 0).withColumn("rep", F.col("_r.rep")).drop("_x", "_r")
+    return x.withColumn(weight, poisson_weight(u)).withColumn("rep", F.col("_r.rep")).drop("_x", "_r")
 
 
 def run_sums(df: DataFrame, keys: Sequence[str], run: str, **sums: Column) -> DataFrame:
