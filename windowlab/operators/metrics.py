@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from windowlab.constants import THRESHOLD_GRID
 from windowlab.functions.expressions import dbl, grid_bucket, wald, wilson
 from windowlab.operators.ranking import exact_quantiles, prefix_sums, split_points
+from windowlab.session import stored
 
 
 def best_threshold(df: DataFrame, keys: Sequence[str], y: str, score: str, grid: tuple[int, int] = THRESHOLD_GRID) -> DataFrame:
@@ -71,18 +72,21 @@ def best_step(hist: DataFrame, keys: Sequence[str], lo: int, hi: Column) -> Data
 def best_quantile_threshold(df: DataFrame, keys: Sequence[str], y: str, score: str, n: int = 81, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """For unbounded scores: candidates are ``n`` quantiles of the scores themselves; (keys, t, t_acc)."""
     probs = [lo + (hi - lo) * i / (n - 1) for i in range(n)]
-    q = exact_quantiles(df, keys, score, probs)
-    cuts = q.groupBy(*keys).agg(F.array_sort(F.collect_set("q")).alias("_cuts"))  # at most n values per key
-    counts = df.groupBy(*keys, score).agg(
-        F.sum((F.col(y) == 1).cast("bigint")).alias("_p"), F.sum((F.col(y) == 0).cast("bigint")).alias("_q")
+    points = split_points(df, score)
+    cuts = stored(exact_quantiles(df, keys, score, probs, points=points).select(*keys, F.col("q").alias("_v")), "cuts")  # n rows per key
+    zero = F.lit(0).cast("bigint")
+    counts = df.groupBy(*keys, F.col(score).alias("_v")).agg(
+        F.sum((F.col(y) == 1).cast("bigint")).alias("_p"), F.sum((F.col(y) == 0).cast("bigint")).alias("_q"), F.lit(False).alias("_cut")
+    )
+    # Candidates are laid between the scores as rows without weight; prefix sums then give their accuracy.
+    both = counts.unionByName(cuts.select(*keys, "_v", zero.alias("_p"), zero.alias("_q"), F.lit(True).alias("_cut")))
+    both = both.groupBy(*keys, "_v").agg(F.sum("_p").alias("_p"), F.sum("_q").alias("_q"), F.max("_cut").alias("_cut"))
+    r = prefix_sums(both, keys, "_v", ["_p", "_q"], points=points).where("_cut")
+    right = F.col("_p_total") - F.col("_p_before") + F.col("_q_before")
+    r = r.select(*keys, "_v", right.alias("_right"), (F.col("_p_total") + F.col("_q_total")).alias("_all"))
+    return r.groupBy(*keys).agg(
+        F.max_by("_v", F.struct(F.col("_right"), (-F.col("_v")).alias("_low"))).alias("t"), (F.max("_right") / F.max("_all")).alias("t_acc")
     )
-    j = counts.join(cuts, list(keys)) if keys else counts.join(F.broadcast(cuts))
-    j = j.withColumn("_b", F.size(F.filter("_cuts", lambda c: c <= F.col(score))))
-    hist = j.groupBy(*keys, "_b").agg(F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
-    best = best_step(hist, keys, 1, F.lit(n))
-    best = best.join(cuts, list(keys)) if keys else best.join(F.broadcast(cuts))
-    # A step past the last cut means "predict nothing", which no candidate does.
-    return best.select(*keys, F.element_at("_cuts", F.least(F.col("t"), F.size("_cuts")).cast("int")).alias("t"), "t_acc")
 
 
 def confusion(df: DataFrame, keys: Sequence[str], y: str, predicted: Column) -> DataFrame:

@@ -67,6 +67,7 @@ def prefix_sums(
     sums: Sequence[str],
     points: Sequence[float] | None = None,
     following: str | None = None,
+    keep_bucket: bool = False,
 ) -> DataFrame:
     """For rows unique in (parts, x): ``<s>_before`` = sum of s over smaller x, ``<s>_total`` = sum over the part.
 
@@ -96,47 +97,44 @@ def prefix_sums(
         out = out.withColumn(f"{s}_before", F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(inside_before), F.lit(0)))
     if following:
         out = out.withColumn(following, F.coalesce(F.lead(x).over(inside), F.col("_next_first")))
-    return out.drop("_bucket", "_next_first", *[f"_o_{s}" for s in sums])
+    return out.drop("_next_first", *([] if keep_bucket else ["_bucket"]), *[f"_o_{s}" for s in sums])
 
 
 def exact_quantiles(
-    df: DataFrame, parts: Sequence[str], x: str, probs: Sequence[float] | Column, prob: str = "prob", value: str = "q"
+    df: DataFrame, parts: Sequence[str], x: str, probs: Sequence[float], prob: str = "prob", value: str = "q",
+    points: Sequence[float] | None = None,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per part, as rows (parts, prob, q).
 
-    Equal values are counted before the shuffle; only the rows that hold a wanted
-    position leave the rank step, so no task sees a whole part.
+    Equal values are counted before the shuffle; bucket totals tell which bucket holds a wanted
+    position and only its rows are compared with it, so no task sees a whole part.
     """
     parts = list(parts)
     counts = df.where(F.col(x).isNotNull()).groupBy(*parts, x).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = prefix_sums(counts, parts, x, ["_c"], points=split_points(df, x))
-    wanted = probs if isinstance(probs, Column) else F.array(*[F.lit(float(p)) for p in probs])
-    position = lambda p: p * (F.col("_c_total") - 1)
-
-    def holds(k: Column) -> Column:
-        return (k >= F.col("_c_before")) & (k < F.col("_c_before") + F.col("_c"))
-
-    hits = ranked.select(
-        *parts,
-        x,
-        "_c_before",
-        "_c",
-        "_c_total",
-        F.explode(F.filter(wanted, lambda p: holds(F.floor(position(p))) | holds(F.ceil(position(p))))).alias(prob),
+    points = split_points(df, x) if points is None else points
+    ranked = prefix_sums(counts, parts, x, ["_c"], points=points, keep_bucket=True)
+    # Wanted positions per part, located in their bucket: parts x probs x 2 rows.
+    by_part = Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))
+    before = by_part.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = with_bucket(counts, x, points).groupBy(*parts, "_bucket").agg(F.sum("_c").alias("_n"))
+    buckets = buckets.select(
+        *parts, "_bucket", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"), F.sum("_n").over(by_part).alias("_all")
     )
-    pos = F.col(prob) * (F.col("_c_total") - 1)
-    low, high = F.floor(pos), F.ceil(pos)
-    return (
-        hits.select(
-            *parts,
-            prob,
-            F.when(holds(low), F.col(x)).alias("_lo"),
-            F.when(holds(high), F.col(x)).alias("_hi"),
-            (pos - low).alias("_frac"),
-        )
-        .groupBy(*parts, prob)
-        .agg((F.max("_lo") + (F.max("_hi") - F.max("_lo")) * F.max("_frac")).alias(value))
+    pos = F.col(prob) * (F.col("_all") - 1)
+    targets = (
+        buckets.withColumn(prob, F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        .select("*", F.inline(F.array(
+            F.struct(F.lit(0).alias("_end"), F.floor(pos).alias("_pos"), (pos - F.floor(pos)).alias("_frac")),
+            F.struct(F.lit(1).alias("_end"), F.ceil(pos).alias("_pos"), (pos - F.floor(pos)).alias("_frac")),
+        )))
+        .where((F.col("_pos") >= F.col("_offset")) & (F.col("_pos") < F.col("_offset") + F.col("_n")))
+        .select(*parts, "_bucket", prob, "_end", "_pos", "_frac")
+    )
+    hits = ranked.join(targets, [*parts, "_bucket"]).where(
+        (F.col("_pos") >= F.col("_c_before")) & (F.col("_pos") < F.col("_c_before") + F.col("_c"))
     )
+    low, high = F.max(F.when(F.col("_end") == 0, F.col(x))), F.max(F.when(F.col("_end") == 1, F.col(x)))
+    return hits.groupBy(*parts, prob).agg((low + (high - low) * F.max("_frac")).alias(value))
 
 
 def hash_cuts(df: DataFrame, parts: Sequence[str], seed, key: str, positions: dict[str, Column]) -> DataFrame:

@@ -240,7 +240,7 @@ def separation_from_sums(s0: np.ndarray, s1: np.ndarray, p: int, ridge: float =
 def separation(grams: DataFrame, p: int) -> DataFrame:
     """Distance and ratio per (rep, group).  A group holds two rows of p^2/2 sums, whatever the data size."""
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         by = {int(r.label): np.asarray(r.sums, dtype=np.float64) for r in pdf.itertuples()}
         zero = np.zeros(gram_size(p))
         d, r = separation_from_sums(by.get(0, zero), by.get(1, zero), p)

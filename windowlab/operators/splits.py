@@ -42,6 +42,13 @@ def split_cuts(df: DataFrame, parts: Sequence[str], run: str, seeds: Sequence[in
     return hash_cuts(runs, [*parts, "seed"], F.col("seed"), run, _positions(test, val))
 
 
+def experiment_cuts(df: DataFrame, parts: Sequence[str], run: str, seeds: Sequence[int], target_test: float) -> DataFrame:
+    """Source and target cut points together, from one pass over the runs."""
+    runs = with_seeds(df.select(*parts, run).distinct(), seeds)
+    positions = _positions(0.20, 0.25) | {"target": _positions(target_test, 0)["test"]}
+    return hash_cuts(runs, [*parts, "seed"], F.col("seed"), run, positions)
+
+
 def split_windows(df: DataFrame, parts: Sequence[str], run: str, seeds: Sequence[int], test: float = 0.20, val: float = 0.25) -> DataFrame:
     """Windows repeated per seed with the part of their run.
 

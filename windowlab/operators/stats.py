@@ -173,19 +173,24 @@ def variance_ratio(df: DataFrame, parts: Sequence[str], run: str, features: Sequ
     )
 
 
-def wasserstein(df: DataFrame, keys: Sequence[str], side: str, first: str, value: str) -> DataFrame:
-    """W1 distance between the ``first`` sample and the rest: integral of |F - G|.
+def wasserstein_from_counts(counts: DataFrame, keys: Sequence[str], value: str, points: Sequence[float] | None = None) -> DataFrame:
+    """W1 distance of two samples given as counts ``a`` and ``b`` per distinct value: the integral of |F - G|.
 
-    Distinct values are counted first; the distribution functions are prefix sums over ordered buckets.
+    The distribution functions are prefix sums over ordered buckets.
     """
+    r = prefix_sums(counts, keys, value, ["a", "b"], points=points, following="_next")
+    fa = (F.col("a_before") + F.col("a")) / F.col("a_total")
+    fb = (F.col("b_before") + F.col("b")) / F.col("b_total")
+    return r.groupBy(*keys).agg(F.coalesce(F.sum(F.abs(fa - fb) * (F.col("_next") - F.col(value))), dbl(0)).alias("w1"))
+
+
+def wasserstein(df: DataFrame, keys: Sequence[str], side: str, first: str, value: str) -> DataFrame:
+    """W1 distance between the ``first`` sample and the rest; distinct values are counted first."""
     counts = df.groupBy(*keys, value).agg(
         F.sum((F.col(side) == first).cast("bigint")).alias("a"),
         F.sum((F.col(side) != first).cast("bigint")).alias("b"),
     )
-    r = prefix_sums(counts, keys, value, ["a", "b"], points=split_points(df, value), following="_next")
-    fa = (F.col("a_before") + F.col("a")) / F.col("a_total")
-    fb = (F.col("b_before") + F.col("b")) / F.col("b_total")
-    return r.groupBy(*keys).agg(F.coalesce(F.sum(F.abs(fa - fb) * (F.col("_next") - F.col(value))), dbl(0)).alias("w1"))
+    return wasserstein_from_counts(counts, keys, value, split_points(df, value))
 
 
 def share_of_total(df: DataFrame, value: str, total: Column, floor: float = 0.01) -> Column:

@@ -17,6 +17,7 @@ from windowlab.constants import BASELINE_TOLERANCE, NOISE_BAND, PLATEAU, TARGET_
 from windowlab.functions.expressions import dbl, logit
 from windowlab.operators import metrics, splits, stats
 from windowlab.operators.ranking import below_cut
+from windowlab.session import stored
 
 OTHER = {"static": "S_to_M", "mobile": "M_to_S"}  # direction a domain is the source of
 
@@ -34,9 +35,7 @@ def with_parts(scores: DataFrame, run: str, seeds: Sequence[int], target_test: f
 
     Both parts follow from the run's hash and a few cut points; rows are not shuffled.
     """
-    src = splits.split_cuts(scores, ["domain"], run, seeds)
-    tgt = splits.split_cuts(scores, ["domain"], run, seeds, test=target_test, val=0).withColumnRenamed("cut_test", "cut_target")
-    cuts = src.join(tgt, ["domain", "seed"])  # one row per domain and seed
+    cuts = stored(splits.experiment_cuts(scores, ["domain"], run, seeds, target_test), "cuts")  # one row per domain and seed
     s = splits.with_seeds(scores, seeds).join(F.broadcast(cuts), ["domain", "seed"])
     seed = F.col("seed")
     return s.withColumns({
@@ -49,8 +48,11 @@ CELL = ["direction", "seed", "model"]
 
 
 def part_histogram(parts: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
-    """The one pass over the scores."""
-    return metrics.score_histogram(parts, ["domain", "seed", "model", "src_part", "tgt_part"], y, score)
+    """The one pass over the scores, written down because every regime reads it.
+
+    It has at most domains x seeds x models x 6 x 83 rows.
+    """
+    return stored(metrics.score_histogram(parts, ["domain", "seed", "model", "src_part", "tgt_part"], y, score), "histogram")
 
 
 def regimes(hist: DataFrame) -> DataFrame:
@@ -122,13 +124,20 @@ def threshold_share(components: DataFrame, cut: float = 0.5) -> DataFrame:
 
 def mechanism(parts: DataFrame, reg: DataFrame, score: str = "score") -> DataFrame:
     """Threshold shift, logit drift and mean scores between source-test and target-test, over seeds."""
-    src = parts.where("src_part = 'test'").select(as_source().alias("direction"), "seed", "model", F.lit("source").alias("side"), F.col(score).alias("p"))
-    tgt = parts.where("tgt_part = 'test'").select(as_target().alias("direction"), "seed", "model", F.lit("target").alias("side"), F.col(score).alias("p"))
-    both = src.unionByName(tgt).withColumn("z", logit(F.col("p")))
-    w1 = stats.wasserstein(both, CELL, "side", "source", "z")
-    means = both.groupBy(*CELL).agg(
-        F.avg(F.when(F.col("side") == "source", F.col("p"))).alias("p_src"), F.avg(F.when(F.col("side") == "target", F.col("p"))).alias("p_tgt")
+    n = parts.groupBy("domain", "seed", "model", F.col(score).alias("p")).agg(
+        F.sum((F.col("src_part") == "test").cast("bigint")).alias("n_src"), F.sum((F.col("tgt_part") == "test").cast("bigint")).alias("n_tgt")
+    )
+    n = stored(n, "score-counts")  # one pass over the scores; both directions read it
+    zero = F.lit(0).cast("bigint")
+    sides = n.select(as_source().alias("direction"), "seed", "model", "p", F.col("n_src").alias("a"), zero.alias("b")).unionByName(
+        n.select(as_target().alias("direction"), "seed", "model", "p", zero.alias("a"), F.col("n_tgt").alias("b"))
     )
+    both = sides.groupBy(*CELL, "p").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") > 0)
+    both = both.withColumn("z", logit(F.col("p")))
+    # Scores beyond the clipping bounds share a logit, so counts are summed once more per logit.
+    w1 = stats.wasserstein_from_counts(both.groupBy(*CELL, "z").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), CELL, "z")
+    mean = lambda c: F.sum(F.col(c) * F.col("p")) / F.sum(c)
+    means = both.groupBy(*CELL).agg(mean("a").alias("p_src"), mean("b").alias("p_tgt"))
     j = reg.join(w1, CELL).join(means, CELL)
     shift = F.abs(F.col("t_src") - F.col("t_int")) / 100.0
     return j.groupBy("direction", "model").agg(
@@ -212,7 +221,7 @@ def isotonic_fewshot(parts: DataFrame, sample: DataFrame, run: str, min_runs: in
     cells = pooled.withColumn("direction", as_target()).join(sample.where(F.col("n_runs") >= min_runs), ["domain", "seed", run])
     points = cells.groupBy(*key, "s").agg(F.sum("p").alias("p"), F.sum("w").alias("w"))
 
-    def cut(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def cut(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("s")
         s, w = pdf["s"].to_numpy(), pdf["w"].to_numpy()
         fit = pool_adjacent(s, pdf["p"].to_numpy() / w, w)
