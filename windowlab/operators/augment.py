@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from windowlab.functions.hashing import order_key, uniform
 from windowlab.operators import models
 from windowlab.operators.ranking import hash_ranks, split_points
-from windowlab.session import stored
+from windowlab.session import core_count, stored
 
-CELL_SIZE = 32      # distinct vectors aimed at per grid cell
+CELL_SIZE = 8       # distinct vectors aimed at per grid cell
 GRID_DIMENSIONS = 3
 
 
@@ -23,18 +23,19 @@ def distance2(features: Sequence[str], a: str = "q_", b: str = "") -> Column:
 
 def _grid(points: DataFrame, features: Sequence[str]) -> dict[str, list[float]]:
     """Quantile cut points of up to three features, those with the most distinct values and no near copy before them."""
-    n = points.count()
-    bins = max(1, int((n / CELL_SIZE) ** (1.0 / min(GRID_DIMENSIONS, len(features)))))
-    spread = points.agg(*[F.approx_count_distinct(f).alias(f) for f in features]).first()
+    names = list(features)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    one = points.agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.approx_count_distinct(f).alias(f"_d_{f}") for f in names],
+        *[F.corr(a, b).alias(f"_r_{a}|{b}") for a, b in pairs],
+    ).first()
+    bins = max(1, int((one["_n"] / CELL_SIZE) ** (1.0 / min(GRID_DIMENSIONS, len(names)))))
+    near_copy = {frozenset(p) for p in pairs if abs(one[f"_r_{p[0]}|{p[1]}"] or 0.0) > 0.9}
     chosen: list[str] = []
-    for f in sorted(features, key=lambda c: (-spread[c], c)):
-        if chosen:
-            r = points.agg(*[F.corr(f, c).alias(c) for c in chosen]).first()
-            if any(r[c] is not None and abs(r[c]) > 0.9 for c in chosen):
-                continue
-        chosen.append(f)
-        if len(chosen) == GRID_DIMENSIONS:
-            break
+    for f in sorted(names, key=lambda c: (-one[f"_d_{c}"], c)):
+        if len(chosen) < GRID_DIMENSIONS and not any(frozenset((f, c)) in near_copy for c in chosen):
+            chosen.append(f)
     return {f: (split_points(points, f, bins) if bins > 1 else []) for f in chosen}
 
 
@@ -62,6 +63,7 @@ def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], k: i
     comes back with exactly the cells its ball touches (or twice the ring, if it has not met k vectors yet).
     Joins are on cells, identical vectors are one row, so copies never multiply.
     """
+    points = stored(points, "vectors")
     grid = _grid(points, features)
     dims = list(grid)
     top = [len(c) for c in grid.values()]
@@ -74,7 +76,8 @@ def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], k: i
     todo = stored(todo.withColumn("ring", F.lit(1)), "queries")
     done = None
     while True:
-        q = todo.select("*", *[F.col(f).alias(f"q_{f}") for f in features]).drop(*features)
+        # Partitioned by query: where the points are small enough to be broadcast, the ranking needs no further shuffle.
+        q = todo.repartition(core_count(todo.sparkSession), "qkey").select("*", *[F.col(f).alias(f"q_{f}") for f in features]).drop(*features)
         for i in range(len(dims)):
             q = q.withColumn(f"c{i}", F.explode(F.sequence(f"lo{i}", f"hi{i}")))
         near = q.join(pts, [f"c{i}" for i in range(len(dims))]).withColumn("d2", distance2(features))

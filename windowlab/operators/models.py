@@ -138,10 +138,12 @@ def scored(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
 def fit_ridge(df: DataFrame, alpha: float, n_rows: int):
     """Least squares on +-1 labels with L2 penalty; the prediction is the decision score.
 
-    MLlib minimises the mean squared error over 2, so the penalty per row is alpha/n.
+    MLlib minimises half the mean squared error of the label divided by its standard deviation, so
+    the penalty that equals ``alpha`` on the sum of squares is alpha/n times that deviation.
     """
     train = df.withColumn("_t", F.lit(2.0) * F.col(LABEL) - F.lit(1.0))
-    lr = LinearRegression(featuresCol=FEATURES, labelCol="_t", solver="normal", regParam=alpha / n_rows, elasticNetParam=0.0, standardization=False)
+    spread = train.agg(F.stddev_pop("_t")).first()[0] or 1.0
+    lr = LinearRegression(featuresCol=FEATURES, labelCol="_t", solver="normal", regParam=alpha / n_rows * spread, elasticNetParam=0.0, standardization=False)
     return lr.fit(train)
 
 

@@ -16,11 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from windowlab.functions.hashing import PRIME, key_code, poisson_cuts, poisson_weight, poly_hash, replicate_axis, replicate_coefficients
 from windowlab.operators.metrics import auc_from_counts
 from windowlab.operators.ranking import hash_ranks, split_points
-
-
-def _spread(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+from windowlab.session import core_count
 
 
 def replicates(df: DataFrame, unit: Sequence[str], n: int, seed: int, weight: str = "w") -> DataFrame:
@@ -30,7 +26,7 @@ def replicates(df: DataFrame, unit: Sequence[str], n: int, seed: int, weight: st
     rows x replicates while the rows may be few bytes, so the rows are spread over all cores first:
     adaptive coalescing sizes partitions by bytes and would leave a few.
     """
-    x = df.repartition(_spread(df), *df.columns).withColumn("_x", key_code(*unit)).withColumn("_r", F.explode(replicate_axis(seed, n)))
+    x = df.repartition(core_count(df.sparkSession), *df.columns).withColumn("_x", key_code(*unit)).withColumn("_r", F.explode(replicate_axis(seed, n)))
     u = poly_hash(F.col("_x"), F.col("_r.a"), F.col("_r.b"), F.col("_r.c"))
     return x.withColumn(weight, poisson_weight(u)).withColumn("rep", F.col("_r.rep")).drop("_x", "_r")
 

@@ -54,3 +54,11 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def core_count(spark: SparkSession) -> int:
+    """Partitions for work that is heavy per row while the rows are few bytes.
+
+    Adaptive coalescing and file packing size partitions by bytes and would leave most cores idle.
+    """
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
