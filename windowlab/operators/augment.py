@@ -73,7 +73,7 @@ def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], k: i
     todo = _with_cells(queries.select("qkey", *features), grid, "h")
     for i in range(len(dims)):
         todo = todo.withColumns({f"lo{i}": F.greatest(F.col(f"h{i}") - 1, F.lit(0)), f"hi{i}": F.least(F.col(f"h{i}") + 1, F.lit(top[i]))})
-    todo = stored(todo.withColumn("ring", F.lit(1)), "queries")
+    todo = stored(todo.withColumns({"ring": F.lit(1), "_bound": F.lit(None).cast("double")}), "queries")
     done = None
     while True:
         # Partitioned by query: where the points are small enough to be broadcast, the ranking needs no further shuffle.
@@ -81,6 +81,8 @@ def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], k: i
         for i in range(len(dims)):
             q = q.withColumn(f"c{i}", F.explode(F.sequence(f"lo{i}", f"hi{i}")))
         near = q.join(pts, [f"c{i}" for i in range(len(dims))]).withColumn("d2", distance2(features))
+        # A radius found in an earlier round bounds the k-th distance: farther pairs are dropped before ranking.
+        near = near.where(F.col("_bound").isNull() | (F.col("d2") <= F.col("_bound")))
         w = Window.partitionBy("qkey").orderBy("d2", "vkey")
         near = near.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
         keep = ["qkey", "rk", "d2", *[c for c in points.columns]]
@@ -117,7 +119,8 @@ def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], k: i
                 # One cell more, since a ball that ends on an edge touches the next cell.
                 f"hi{i}": F.when(known, F.least(F.col("_bh").cast("int"), F.lit(top[i]))).otherwise(F.least(F.col(f"h{i}") + F.col("ring"), F.lit(top[i]))),
             }).drop("_lo", "_hi", "_bl", "_bh")
-        todo = stored(rest.select("qkey", *features, *[f"{p}{i}" for i in range(len(dims)) for p in ("h", "lo", "hi")], "ring"), "queries")
+        todo = stored(rest.select("qkey", *features, *[f"{p}{i}" for i in range(len(dims)) for p in ("h", "lo", "hi")], "ring",
+                                    F.when(known, F.col("_r2")).alias("_bound")), "queries")
 
 
 def neighbour_rows(near: DataFrame, features: Sequence[str], k: int, own: str = "own") -> DataFrame:

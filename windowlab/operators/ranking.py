@@ -18,9 +18,13 @@ from windowlab.functions.hashing import order_key
 HASH_DIGITS = 3  # 4096 buckets of md5 order
 
 
-def hash_ranks(df: DataFrame, parts: Sequence[str], seed, key: str, rank: str = "rn", size: str = "n_part") -> DataFrame:
+def hash_ranks(
+    df: DataFrame, parts: Sequence[str], seed, key: str, rank: str = "rn", size: str = "n_part", limit: int | None = None
+) -> DataFrame:
     """Add the 1-based position of each row in (md5(seed|key), key) order and the size of its part.
 
+    With ``limit`` only the first rows of each part are kept; buckets beyond it are dropped before any shuffle.
+
     ``key`` is unique inside a part; md5 spreads the rows evenly over the buckets.
     ``seed`` is a value or a column that belongs to ``parts``.
     """
@@ -36,12 +40,14 @@ def hash_ranks(df: DataFrame, parts: Sequence[str], seed, key: str, rank: str =
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
         F.sum("_n").over(by_part).alias(size),
     )
+    if limit is not None:
+        # parts x the buckets that hold their first rows, usually one.
+        offsets = F.broadcast(offsets.where(F.col("_offset") < limit))
     inside = Window.partitionBy(*parts, "_bucket").orderBy("_h", key)
-    return (
-        work.join(offsets, [*parts, "_bucket"])
-        .withColumn(rank, F.col("_offset") + F.row_number().over(inside))
-        .drop("_h", "_bucket", "_offset")
-    )
+    out = work.join(offsets, [*parts, "_bucket"]).withColumn(rank, F.col("_offset") + F.row_number().over(inside))
+    if limit is not None:
+        out = out.where(F.col(rank) <= limit)
+    return out.drop("_h", "_bucket", "_offset")
 
 
 def split_points(df: DataFrame, x: str, buckets: int | None = None) -> list[float]:
@@ -173,6 +179,6 @@ def hash_cuts(df: DataFrame, parts: Sequence[str], seed, key: str, positions: di
     return found
 
 
-def below_cut(seed, key: str, cut: str) -> Column:
-    """Whether a row stands at or before the cut of its part."""
-    return F.struct(order_key(seed, key).alias("h"), F.col(key).alias("k")) <= F.col(cut)
+def below_cut(h: str, key: str, cut: str) -> Column:
+    """Whether a row with order key ``h`` stands at or before the cut of its part."""
+    return F.struct(F.col(h).alias("h"), F.col(key).alias("k")) <= F.col(cut)

@@ -157,7 +157,7 @@ def permutation_cuts(df: DataFrame, unit: Sequence[str], n_first: int, total: in
     A histogram of about sqrt(rows) bins per replicate locates the cut; only the rows of that bin are ranked.
     """
     bins = max(16, int(total ** 0.5))
-    x = df.select(key_code(*unit).alias("x")).withColumn("_r", F.explode(replicate_axis(seed, n)))
+    x = df.select(key_code(*unit).alias("x")).repartition(core_count(df.sparkSession), "x").withColumn("_r", F.explode(replicate_axis(seed, n)))
     x = x.select("x", F.col("_r.rep").alias("rep"), poly_hash(F.col("x"), F.col("_r.a"), F.col("_r.b"), F.col("_r.c")).alias("u"))
     x = x.withColumn("bin", F.floor(F.col("u") * bins / F.lit(PRIME)).cast("int"))
     hist = x.groupBy("rep", "bin").agg(F.count(F.lit(1)).alias("c"))

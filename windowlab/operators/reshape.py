@@ -83,7 +83,7 @@ def clean_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def sample_runs(df: DataFrame, run: str, n: int, seed: int) -> DataFrame:
     """Keep the windows of ``n`` runs drawn without replacement; fewer runs than ``n`` is an error."""
-    runs = hash_ranks(df.select(run).distinct(), [], seed, run)
+    runs = hash_ranks(df.select(run).distinct(), [], seed, run, limit=n)
     picked = runs.where(
         F.when(F.col("n_part") < n, F.raise_error(F.lit(f"limit of {n} runs exceeds the number of runs")).cast("boolean"))
         .otherwise(F.col("rn") <= n)
@@ -127,10 +127,10 @@ def membership(a: DataFrame, b: DataFrame, key: str, left: str = "only_left", ri
     )
 
 
-def overlap_count(df: DataFrame, key: str, part: str) -> DataFrame:
+def overlap_count(df: DataFrame, keys: Sequence[str], part: str) -> DataFrame:
     """Number of keys found in more than one part (0 means the parts are disjoint)."""
     return (
-        df.groupBy(key)
+        df.groupBy(*keys)
         .agg((F.min(part) != F.max(part)).alias("_shared"))
         .agg(F.coalesce(F.sum(F.col("_shared").cast("bigint")), F.lit(0)).alias("n_shared"))
     )
@@ -138,7 +138,7 @@ def overlap_count(df: DataFrame, key: str, part: str) -> DataFrame:
 
 def assert_disjoint(df: DataFrame, key: str, part: str) -> DataFrame:
     """``df`` itself, or a failure if one key lies in two parts."""
-    if overlap_count(df, key, part).first()["n_shared"]:
+    if overlap_count(df, [key], part).first()["n_shared"]:
         raise ValueError(f"{key} occurs in more than one {part}")
     return df
 

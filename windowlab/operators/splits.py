@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from windowlab.functions.hashing import order_key
 from windowlab.operators.ranking import below_cut, hash_cuts, hash_ranks
 
 
@@ -29,11 +30,11 @@ def _positions(test: float, val: float) -> dict:
     return out
 
 
-def _part(seed, key: str, val: float):
-    part = F.when(below_cut(seed, key, "cut_test"), "test")
+def _with_part(df: DataFrame, seed, key: str, val: float) -> DataFrame:
+    part = F.when(below_cut("_h", key, "cut_test"), "test")
     if val > 0:
-        part = part.when(below_cut(seed, key, "cut_val"), "val")
-    return part.otherwise("train")
+        part = part.when(below_cut("_h", key, "cut_val"), "val")
+    return df.withColumn("_h", order_key(seed, key)).withColumn("part", part.otherwise("train")).drop("_h", "cut_test", "cut_val")
 
 
 def split_cuts(df: DataFrame, parts: Sequence[str], run: str, seeds: Sequence[int], test: float = 0.20, val: float = 0.25) -> DataFrame:
@@ -58,7 +59,7 @@ def split_windows(df: DataFrame, parts: Sequence[str], run: str, seeds: Sequence
     """
     cuts = split_cuts(df, parts, run, seeds, test, val)
     out = with_seeds(df, seeds).join(F.broadcast(cuts), [*parts, "seed"])
-    return out.withColumn("part", _part(F.col("seed"), run, val)).drop("cut_test", "cut_val")
+    return _with_part(out, F.col("seed"), run, val)
 
 
 def grouped_split(df: DataFrame, parts: Sequence[str], run: str, seeds: Sequence[int], test: float = 0.20, val: float = 0.25) -> DataFrame:
@@ -85,7 +86,7 @@ def stratified_split(df: DataFrame, strata: Sequence[str], key: str, seed: int,
     """Row-level split that keeps the share of every stratum, by cut points per stratum."""
     cuts = hash_cuts(df, strata, seed, key, _positions(test, val))
     out = df.join(F.broadcast(cuts), list(strata))  # one row per stratum
-    return out.withColumn("part", _part(seed, key, val)).drop("cut_test", "cut_val")
+    return _with_part(out, seed, key, val)
 
 
 def stratified_folds(df: DataFrame, strata: Sequence[str], key: str, seed: int, k: int = 3, fold: str = "fold") -> DataFrame:
@@ -116,7 +117,7 @@ def fewshot_runs(pool: DataFrame, parts: Sequence[str], run: str, sizes: Sequenc
     """
     reps = pool.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     key = F.concat_ws("|", *[F.col(p).cast("string") for p in parts], F.col("r").cast("string"))
-    ranked = hash_ranks(reps.withColumn("_draw", key), [*parts, "r", "_draw"], F.col("_draw"), run)
+    ranked = hash_ranks(reps.withColumn("_draw", key), [*parts, "r", "_draw"], F.col("_draw"), run, limit=max(sizes))
     fits = F.filter(
         F.array(*[F.lit(int(n)) for n in sizes]), lambda n: (n <= F.col("n_part")) & (F.col("rn") <= n)
     )

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from windowlab.constants import BASELINE_TOLERANCE, NOISE_BAND, PLATEAU, TARGET_TEST_SIZE
 from windowlab.functions.expressions import dbl, logit
+from windowlab.functions.hashing import order_key
 from windowlab.operators import metrics, splits, stats
 from windowlab.operators.ranking import below_cut
 from windowlab.session import stored
@@ -37,11 +38,10 @@ def with_parts(scores: DataFrame, run: str, seeds: Sequence[int], target_test: f
     """
     cuts = stored(splits.experiment_cuts(scores, ["domain"], run, seeds, target_test), "cuts")  # one row per domain and seed
     s = splits.with_seeds(scores, seeds).join(F.broadcast(cuts), ["domain", "seed"])
-    seed = F.col("seed")
-    return s.withColumns({
-        "src_part": F.when(below_cut(seed, run, "cut_test"), "test").when(below_cut(seed, run, "cut_val"), "val").otherwise("train"),
-        "tgt_part": F.when(below_cut(seed, run, "cut_target"), "test").otherwise("calib"),
-    }).drop("cut_test", "cut_val", "cut_target")
+    return s.withColumn("_h", order_key(F.col("seed"), run)).withColumns({
+        "src_part": F.when(below_cut("_h", run, "cut_test"), "test").when(below_cut("_h", run, "cut_val"), "val").otherwise("train"),
+        "tgt_part": F.when(below_cut("_h", run, "cut_target"), "test").otherwise("calib"),
+    }).drop("_h", "cut_test", "cut_val", "cut_target")
 
 
 CELL = ["direction", "seed", "model"]
@@ -156,10 +156,13 @@ def mechanism(parts: DataFrame, reg: DataFrame, score: str = "score") -> DataFra
 def fewshot_cells(parts: DataFrame, sample: DataFrame, run: str, y: str = "y", score: str = "score") -> tuple[DataFrame, DataFrame]:
     """Histograms of the sampled runs per (direction, seed, model, n_runs, r), and of the test fold.
 
-    Scores are counted per (run, hundredth) before they meet the sample, so a run with a third of the
-    windows brings at most 101 rows per model into the join.
+    The sampled runs are at most (largest n) x repeats per (domain, seed), so they are broadcast and all
+    other rows drop out where they are read.  What is left is counted per (run, hundredth) before it meets
+    the samples: a run with a third of the windows brings at most 101 rows per model into that join.
     """
-    per_run = metrics.score_histogram(parts.where("tgt_part = 'calib'"), ["domain", "seed", "model", run], y, score)
+    drawn = F.broadcast(sample.select("domain", "seed", run).distinct())
+    pool = parts.where("tgt_part = 'calib'").join(drawn, ["domain", "seed", run], "left_semi")
+    per_run = metrics.score_histogram(pool, ["domain", "seed", "model", run], y, score)
     per_run = per_run.withColumn("direction", as_target())
     j = per_run.join(sample, ["domain", "seed", run])
     pool = j.groupBy(*CELL, "n_runs", "r", "_b").agg(F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
@@ -170,6 +173,7 @@ def fewshot_cells(parts: DataFrame, sample: DataFrame, run: str, y: str = "y", s
 def fewshot_curve(parts: DataFrame, sample: DataFrame, reg: DataFrame, run: str, y: str = "y", score: str = "score") -> DataFrame:
     """Accuracy on the target test fold against the number of labelled target runs, with both references."""
     key = [*CELL, "n_runs", "r"]
+    sample = stored(sample, "sample")
     pool, windows = fewshot_cells(parts, sample, run, y, score)
     t = metrics.best_step(pool, key, 10, F.lit(90))
     test = metrics.score_histogram(parts.where("tgt_part = 'test'"), ["domain", "seed", "model"], y, score).withColumn("direction", as_target())
@@ -215,10 +219,13 @@ def isotonic_fewshot(parts: DataFrame, sample: DataFrame, run: str, min_runs: in
     Scores are pooled to ``digits`` decimals, so the curve of a cell has at most 10^digits + 1 points.
     """
     key = [*CELL, "n_runs", "r"]
-    pooled = parts.where("tgt_part = 'calib'").groupBy("domain", "seed", "model", run, F.round(score, digits).alias("s")).agg(
+    sample = stored(sample.where(F.col("n_runs") >= min_runs), "sample")
+    drawn = F.broadcast(sample.select("domain", "seed", run).distinct())
+    pool = parts.where("tgt_part = 'calib'").join(drawn, ["domain", "seed", run], "left_semi")
+    pooled = pool.groupBy("domain", "seed", "model", run, F.round(score, digits).alias("s")).agg(
         F.sum(F.col(y).cast("double")).alias("p"), F.count(F.lit(1)).cast("double").alias("w")
     )
-    cells = pooled.withColumn("direction", as_target()).join(sample.where(F.col("n_runs") >= min_runs), ["domain", "seed", run])
+    cells = pooled.withColumn("direction", as_target()).join(sample, ["domain", "seed", run])
     points = cells.groupBy(*key, "s").agg(F.sum("p").alias("p"), F.sum("w").alias("w"))
 
     def cut(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -43,9 +43,9 @@ def grouped_split(spark, sf):
 )
 def grouped_split_windows(spark, sf):
     w = splits.split_windows(wide(spark, sf).select("domain", "run_id"), ["domain"], "run_id", SEEDS)
-    counts = w.groupBy("domain", "seed", "part").agg(F.count(F.lit(1)).alias("n_windows"), F.count_distinct("run_id").alias("n_runs"))
-    key = F.concat_ws("|", "domain", "seed", "run_id")
-    return counts.join(F.broadcast(reshape.overlap_count(w.withColumn("k", key), "k", "part")))
+    runs = w.groupBy("domain", "seed", "run_id", "part").agg(F.count(F.lit(1)).alias("c"))
+    counts = runs.groupBy("domain", "seed", "part").agg(F.sum("c").alias("n_windows"), F.count(F.lit(1)).alias("n_runs"))
+    return counts.join(F.broadcast(reshape.overlap_count(runs, ["domain", "seed", "run_id"], "part")))  # one row
 
 
 @query(
