@@ -27,7 +27,7 @@ def no_nan(c: Column) -> Column:
 
 def logit(p: Column) -> Column:
     q = F.greatest(dbl(LOGIT_EPS), F.least(dbl(1 - LOGIT_EPS), p))
-    return F.ln(q / (dbl(1) - q))
+    return F.when(p.isNotNull(), F.ln(q / (dbl(1) - q)))
 
 
 def wilson(p: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -37,9 +37,10 @@ def wilson(p: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     denom = dbl(1) + dbl(z * z) / safe
     centre = (p + dbl(z * z) / (dbl(2) * safe)) / denom
     half = dbl(z) * F.sqrt(p * (dbl(1) - p) / safe + dbl(z * z) / (dbl(4) * safe * safe)) / denom
-    lo = F.greatest(dbl(0), centre - half)
-    hi = F.least(dbl(1), centre + half)
-    return F.coalesce(lo, dbl(0)), F.coalesce(hi, dbl(0))
+    # greatest/least skip nulls, so the empty case is settled here.
+    lo = F.when(n > 0, F.greatest(dbl(0), centre - half)).otherwise(dbl(0))
+    hi = F.when(n > 0, F.least(dbl(1), centre + half)).otherwise(dbl(0))
+    return lo, hi
 
 
 def wald(p: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

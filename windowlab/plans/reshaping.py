@@ -117,10 +117,10 @@ def clean_non_finite(spark, sf):
     "limit_runs", "R12 J5",
     sql_with("tall", runs=f"SELECT file_source, row_number() OVER (ORDER BY {sql_order_key(42, 'file_source')}, file_source) AS rn "
              "FROM (SELECT DISTINCT file_source FROM tall)")
-    + 'SELECT event_id, file_source, "Metric" FROM tall WHERE file_source IN (SELECT file_source FROM runs WHERE rn <= 25)',
+    + 'SELECT event_id, file_source, "Metric" FROM tall WHERE file_source IN (SELECT file_source FROM runs WHERE rn <= 10)',
 )
 def limit_runs(spark, sf):
-    return reshape.sample_runs(tall(spark, sf), "file_source", 25, 42).select("event_id", "file_source", "Metric")
+    return reshape.sample_runs(tall(spark, sf), "file_source", 10, 42).select("event_id", "file_source", "Metric")
 
 
 @query("drop_missing", "R13", sql_with("tall") + 'SELECT domain, count(*) AS n FROM tall WHERE "Duration" IS NOT NULL AND "Value" IS NOT NULL GROUP BY 1')
