@@ -8,13 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from windowlab.session import spread_small
+
 EVENT_METRICS = ["click", "error", "purchase", "signup", "view"]
 WIDE_FEATURES = ["qty", "disc", "tax", "size", "price", "qty_dup"]
 SEED_COUNT = 20
 
 
+FACTS = {"lineitem", "events", "documents"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread_small(df) if name in FACTS else df
 
 
 def tall(spark, sf) -> DataFrame:

@@ -62,3 +62,18 @@ def core_count(spark: SparkSession) -> int:
     Adaptive coalescing and file packing size partitions by bytes and would leave most cores idle.
     """
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+SMALL_SPLITS = 32
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a table of few file splits over the cores.
+
+    A small file is one or two splits and would be worked on by as many tasks.  Only tables below
+    ``SMALL_SPLITS`` splits (a few GB) are touched; larger ones bring enough splits and are read in place.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < min(cores, SMALL_SPLITS):
+        return df.repartition(min(cores, SMALL_SPLITS))
+    return df
