@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from windowlab.functions.hashing import order_key
 from windowlab.operators.ranking import below_cut, hash_cuts, hash_ranks
+from windowlab.session import stored
 
 
 def with_seeds(df: DataFrame, seeds: Sequence[int], name: str = "seed") -> DataFrame:
@@ -115,6 +116,7 @@ def fewshot_runs(pool: DataFrame, parts: Sequence[str], run: str, sizes: Sequenc
     ``pool`` has one row per (parts, run).  The draw order is one hash per (repeat, run) and the
     samples of one repeat are nested: the first n of the same order.
     """
+    pool = stored(pool.select(*parts, run), "pool")  # one row per run; the ranking reads it twice per repeat
     reps = pool.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     key = F.concat_ws("|", *[F.col(p).cast("string") for p in parts], F.col("r").cast("string"))
     ranked = hash_ranks(reps.withColumn("_draw", key), [*parts, "r", "_draw"], F.col("_draw"), run, limit=max(sizes))

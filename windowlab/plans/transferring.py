@@ -174,7 +174,25 @@ def fewshot_curve(spark, sf):
     return rounded(rounded(c, ["acc_mean", "acc_std", "source_ref", "oracle_ref"]), ["n_windows"], 4)
 
 
-@query("fewshot_isotonic", "T10 C13")
+ISO_KEY = f"{K}, n_runs, r"
+ISO_SQL = dict(
+    FEW_SQL,
+    ic=f"SELECT {ISO_KEY}, score AS s, sum(y)::DOUBLE AS p, count(*)::DOUBLE AS w FROM fp WHERE n_runs >= 250 GROUP BY ALL",
+    ir=f"""SELECT *, row_number() OVER (PARTITION BY {ISO_KEY} ORDER BY s) AS i, sum(p) OVER (PARTITION BY {ISO_KEY} ORDER BY s) AS cp,
+        sum(w) OVER (PARTITION BY {ISO_KEY} ORDER BY s) AS cw FROM ic""",
+    ij=f"SELECT {ISO_KEY}, a.i AS j, b.i AS k, (b.cp-a.cp+a.p)/(b.cw-a.cw+a.w) AS v FROM ir a JOIN ir b USING ({ISO_KEY}) WHERE a.i <= b.i",
+    im=f"SELECT {ISO_KEY}, q.i, j, min(v) AS v FROM ir q JOIN ij USING ({ISO_KEY}) WHERE j <= q.i AND k >= q.i GROUP BY {ISO_KEY}, q.i, j",
+    ix=f"SELECT {ISO_KEY}, i, s, max(v) AS f FROM im JOIN ir USING ({ISO_KEY}, i) GROUP BY ALL",
+    il=f"SELECT *, lag(f) OVER (PARTITION BY {ISO_KEY} ORDER BY i) AS pf, lag(s) OVER (PARTITION BY {ISO_KEY} ORDER BY i) AS ps FROM ix",
+    iq=f"""SELECT {ISO_KEY}, min(CASE WHEN f >= 0.5 THEN CASE WHEN pf IS NULL THEN -1.0::DOUBLE WHEN pf >= 0.5 THEN NULL
+         ELSE ps + (0.5::DOUBLE-pf)/(f-pf)*(s-ps) END END) AS cut FROM il GROUP BY ALL""",
+)
+
+
+@query(
+    "fewshot_isotonic", "T10 C13",
+    sql_with("scores", **ISO_SQL) + f"SELECT {ISO_KEY}, round(sum(CASE WHEN score >= coalesce(cut, 9) THEN p ELSE q END)::DOUBLE/sum(p+q),6) AS acc FROM ts JOIN iq USING ({K}) GROUP BY ALL",
+)
 def fewshot_isotonic(spark, sf):
     return rounded(transfer.isotonic_fewshot(parts(spark, sf), fewshot_sample(spark, sf), "run_id"), ["acc"])
 
