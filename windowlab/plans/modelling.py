@@ -9,6 +9,7 @@ from windowlab.functions.hashing import sql_order_key, sql_uniform
 from windowlab.operators import augment, joins, metrics, models, resample, scaling, selection, splits, stats, transfer
 from windowlab.plans.inference import rounded
 from windowlab.plans.registry import query
+from windowlab.plans.splitting import SPLIT_SQL, run_rank_sql
 from windowlab.session import stored
 from windowlab.sources import scans
 
@@ -335,6 +336,33 @@ def ablation_results(spark, sf, configs, seeds, source="static"):
     return stored(out, "ablation")
 
 
+RIDGE_GRID_SQL = dict(
+    rk=run_rank_sql([42, 43]),
+    sp=SPLIT_SQL,
+    al="SELECT seed, domain, part, qty, disc, label FROM wide JOIN sp USING (domain, run_id)",
+    st="SELECT seed, avg(qty) AS mq, stddev_pop(qty) AS sq, avg(disc) AS md, stddev_pop(disc) AS sd FROM al WHERE domain='static' AND part='train' GROUP BY seed",
+    z="""SELECT seed, CASE WHEN domain='static' THEN part ELSE 'target' END AS part, (qty-mq)/sq AS x1, (disc-md)/sd AS x2, label, 2.0::DOUBLE*label-1 AS t
+        FROM al JOIN st USING (seed)""",
+    m="SELECT seed, avg(x1) AS m1, avg(x2) AS m2, avg(t) AS mt FROM z WHERE part='train' GROUP BY seed",
+    ss="""SELECT seed, max(m1) AS m1, max(m2) AS m2, max(mt) AS mt, sum((x1-m1)*(x1-m1))+1 AS a, sum((x2-m2)*(x2-m2))+1 AS b, sum((x1-m1)*(x2-m2)) AS c,
+        sum((x1-m1)*(t-mt)) AS p, sum((x2-m2)*(t-mt)) AS q FROM z JOIN m USING (seed) WHERE part='train' GROUP BY seed""",
+    w="""SELECT seed, m1, m2, mt, 'full' AS config, 2 AS n_kept, (b*p-c*q)/(a*b-c*c) AS w1, (a*q-c*p)/(a*b-c*c) AS w2 FROM ss
+        UNION ALL SELECT seed, m1, m2, mt, 'minus_qty', 1, 0, q/b FROM ss UNION ALL SELECT seed, m1, m2, mt, 'minus_disc', 1, p/a, 0 FROM ss""",
+)
+
+
+@query(
+    "ridge_ablation_grid", "C1 C7 C8 C9 T2 R10",
+    sql_with("wide", **RIDGE_GRID_SQL) + """SELECT config, n_kept, CAST(seed AS INTEGER) AS seed, part,
+      round(avg(CASE WHEN (mt + w1*(x1-m1) + w2*(x2-m2) >= 0) = (label=1) THEN 1.0::DOUBLE ELSE 0 END),6) AS acc
+      FROM z JOIN w USING (seed) WHERE (part IN ('test','target')) GROUP BY 1,2,3,4""",
+)
+def ridge_ablation_grid(spark, sf):
+    """Split, scaling, fit and scoring per (configuration, seed); two features, so that SQL can solve the fit."""
+    configs = {"full": ["qty", "disc"], "minus_qty": ["disc"], "minus_disc": ["qty"]}
+    return rounded(ablation_results(spark, sf, configs, [42, 43]), ["acc"])
+
+
 @query("ablation_breakdown", "C7 C8 R10 J2")
 def ablation_breakdown(spark, sf):
     """Removal configurations against the full set, summary with paired deltas on the target."""
