@@ -88,3 +88,18 @@ def test_soft_set_fills_to_k(spark):
     soft = selection.universal_set(counts, 0.8, "soft").collect()
     assert {r["feature"] for r in soft} == {"a", "b"} or {r["feature"] for r in soft} == {"a", "c"}
     assert len(soft) == 2
+
+
+def test_wide_correlation_and_sketched_information(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 2000)
+    x = np.round(rng.normal(size=(2000, 4)) + 1e4 + 0.7 * y[:, None], 3)
+    d = spark.createDataFrame([("s" if i % 2 else "m", int(y[i]), *map(float, x[i])) for i in range(2000)], "domain string, y int, a double, b double, c double, e double")
+    f = ["a", "b", "c", "e"]
+    narrow = {(r["domain"], r["i"], r["j"]): r["r"] for r in selection.correlation_pairs(d, ["domain"], f).collect()}
+    monkeypatch.setattr(selection, "WIDE", 2)
+    wide = {(r["domain"], r["i"], r["j"]): r["r"] for r in selection.correlation_pairs(d, ["domain"], f).collect()}
+    assert narrow.keys() == wide.keys() and all(abs(narrow[k] - wide[k]) < 1e-9 for k in wide)
+    exact = {r["feature"]: r["mi"] for r in selection.mutual_information(d, [], f, "y").collect()}
+    quick = {r["feature"]: r["mi"] for r in selection.mutual_information(d, [], f, "y", accuracy=10000).collect()}
+    assert all(abs(exact[k] - quick[k]) < 0.01 and exact[k] > 0.02 for k in f)

@@ -99,3 +99,13 @@ def test_column_shuffle_is_a_permutation(data):
     d, _, _, x = data
     out = resample.permute_column(d, "row_key", "a", 1, "s").select("a", "s").collect()
     assert sorted(r["a"] for r in out) == sorted(r["s"] for r in out) and any(r["a"] != r["s"] for r in out)
+
+
+def test_many_feature_sums_take_the_matrix_path(data):
+    d = data[0]
+    f = [f"x{i}" for i in range(13)]
+    w = d.withColumns({c: F.col("a") * (i + 1) + F.col("b") * F.lit(i % 3) for i, c in enumerate(f)})
+    got = {(r["grp"], r["label"]): r["sums"] for r in resample.full_grams(w, f, "label", "domain").collect()}
+    x = np.array([[r[c] for c in f] for r in w.where("domain = 'static' AND label = 1").collect()])
+    iu = np.triu_indices(13)
+    assert np.allclose(got[("static", 1)], np.concatenate([[len(x)], x.sum(0), (x.T @ x)[iu]]))

@@ -147,6 +147,12 @@ def fit_ridge(df: DataFrame, alpha: float, n_rows: int):
     return lr.fit(train)
 
 
+def linear_score(model, features: Sequence[str]) -> Column:
+    """The decision score of a linear model as a plain column expression."""
+    w = model.coefficients.toArray()
+    return sum((dbl(float(c)) * F.col(f) for c, f in zip(w, features)), dbl(model.intercept))
+
+
 def ridge_scored(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return model.transform(df).select(*keep, F.col("prediction").alias("score"), F.lit("decision").alias("score_type"))
 

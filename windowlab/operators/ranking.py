@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from windowlab.functions.hashing import order_key
 
-HASH_DIGITS = 3  # 4096 buckets of md5 order
+HASH_DIGITS = 4  # 65,536 buckets of md5 order: 10^11 rows of one part leave 1.5 million per bucket
 
 
 def hash_ranks(
@@ -147,7 +147,7 @@ def hash_cuts(df: DataFrame, parts: Sequence[str], seed, key: str, positions: di
     """The keys standing at given positions of the (md5(seed|key), key) order, one row per part.
 
     ``positions`` are columns over ``n_part``.  Bucket totals tell which bucket holds a position and
-    only that bucket (a 4096th of the part) is ranked.  Returns ``cut_<name>`` structs (h, k); null for position 0.
+    only that bucket (a 65,536th of the part) is ranked.  Returns ``cut_<name>`` structs (h, k); null for position 0.
     """
     parts = list(parts)
     work = df.select(*parts, F.col(key).alias("k"), order_key(seed, key).alias("h"))

@@ -193,8 +193,13 @@ def permutation_grams(df: DataFrame, features: Sequence[str], label: str, group:
 
 
 def full_grams(df: DataFrame, features: Sequence[str], label: str, group: str) -> DataFrame:
-    """The same sums over the plain data (replicate 0), as built-in aggregates."""
+    """The same sums over the plain data (replicate 0): built-in aggregates, or matrix products for many features."""
     f = list(features)
+    if len(f) > 12:
+        def ones(u, x, g, lo):
+            return {str(name): (g == name)[:, None] for name in np.unique(g)}
+
+        return gram_partials(df, f, label, group, [f[0]], 1, 0, ones)
     terms = [F.count(F.lit(1)).cast("double"), *[F.sum(c) for c in f]]
     terms += [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(f) for b in f[i:]]
     return df.groupBy(F.col(group).alias("grp"), F.col(label).cast("int").alias("label")).agg(F.array(*terms).alias("sums")).withColumn("rep", F.lit(0))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from windowlab.constants import CORRELATION_CUT, FEATURE_CATEGORIES, VARIANCE_FLOOR
 from windowlab.functions.expressions import dbl, first_match
-from windowlab.operators.ranking import prefix_sums, split_points
+from windowlab.operators.ranking import prefix_sums, split_points, with_bucket
 from windowlab.operators.stats import moments
 
 
@@ -18,8 +20,13 @@ def variances(df: DataFrame, keys: Sequence[str], features: Sequence[str], floor
     return m.select(*keys, "feature", F.col("var_p").alias("variance"), (F.col("var_p") > floor).alias("kept"))
 
 
+WIDE = 24  # above this many features, cross products are matrix products per batch instead of single aggregates
+
+
 def correlation_pairs(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """Pearson r of every pair i < j of an ordered feature list, in one pass and one small shuffle."""
+    """Pearson r of every pair i < j of an ordered feature list, with one small shuffle."""
+    if len(features) > WIDE:
+        return _correlation_pairs_wide(df, list(keys), list(features))
     cells = [
         F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(a).alias("feature_i"), F.lit(b).alias("feature_j"), F.corr(a, b).alias("r"))
         for i, a in enumerate(features) for j, b in enumerate(features) if i < j
@@ -27,6 +34,40 @@ def correlation_pairs(df: DataFrame, keys: Sequence[str], features: Sequence[str
     return df.groupBy(*keys).agg(F.array(*cells).alias("_c")).select(*keys, F.inline("_c"))
 
 
+def _correlation_pairs_wide(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """Column means first, then centred cross products: one p x p matrix per key and partition, summed by Spark."""
+    p = len(features)
+    tag = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
+    means = {r["_k"]: [r[f] or 0.0 for f in features] for r in df.groupBy(tag.alias("_k")).agg(*[F.avg(f).alias(f) for f in features]).collect()}
+
+    def partials(batches):
+        acc: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            for k, part in pdf.groupby("_k"):
+                x = part[features].to_numpy(dtype=np.float64) - np.asarray(means[k])
+                x = np.column_stack([np.ones(len(x)), x])
+                acc[k] = acc.get(k, 0.0) + x.T @ x
+        for k, m in acc.items():
+            yield pd.DataFrame({"_k": k, "m": [m.ravel()]})
+
+    cells = df.select(tag.alias("_k"), *features).mapInPandas(partials, "_k string, m array<double>")
+    sums = cells.select("_k", F.posexplode("m").alias("pos", "v")).groupBy("_k", "pos").agg(F.sum("v").alias("v"))
+
+    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf.sort_values("pos")["v"].to_numpy().reshape(p + 1, p + 1)
+        c = m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) / m[0, 0]
+        sd = np.sqrt(np.maximum(np.diag(c), 0.0))
+        i, j = np.triu_indices(p, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = c[i, j] / (sd[i] * sd[j])
+        names = np.asarray(features)
+        return pd.DataFrame({"_k": key[0], "i": i.astype(np.int32), "j": j.astype(np.int32), "feature_i": names[i], "feature_j": names[j], "r": r})
+
+    out = sums.groupBy("_k").applyInPandas(pairs, "_k string, i int, j int, feature_i string, feature_j string, r double")
+    back = [F.split("_k", r"\|")[n].alias(k) for n, k in enumerate(keys)]
+    return out.select(*back, "i", "j", "feature_i", "feature_j", "r")
+
+
 def correlated_to_drop(pairs: DataFrame, keys: Sequence[str], cut: float = CORRELATION_CUT) -> DataFrame:
     """Later members of any pair above the cut.  Not greedy: an earlier feature counts even if dropped itself."""
     return pairs.where(F.abs("r") > cut).select(*keys, F.col("feature_j").alias("feature")).distinct()
@@ -71,20 +112,42 @@ def anova_f(df: DataFrame, keys: Sequence[str], features: Sequence[str], label:
     return grand.select(*keys, "feature", (between / (F.col("_k") - 1) / F.when(within > 0, within)).alias("f_score"))
 
 
-def mutual_information(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, bins: int = 32) -> DataFrame:
+def _sketched_bins(df: DataFrame, keys: list[str], features: Sequence[str], label: str, bins: int, accuracy: int) -> DataFrame:
+    """(keys, feature, bin, c0, c1) with bin edges from one pass of quantile sketches over all keys."""
+    probs = [i / bins for i in range(1, bins)]
+    edges = df.agg(*[F.percentile_approx(f, probs, accuracy).alias(f) for f in features]).first()  # features x bins numbers
+    for f in features:
+        df = with_bucket(df, f, sorted(set(edges[f] or []))).withColumnRenamed("_bucket", f"_bin_{f}")
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_bin_{f}").cast("int").alias("bin")) for f in features])
+    one = F.col(label) == 1
+    return df.select(*keys, label, F.inline(cells)).groupBy(*keys, "feature", "bin").agg(
+        F.sum((~one).cast("bigint")).alias("c0"), F.sum(one.cast("bigint")).alias("c1")
+    )
+
+
+def mutual_information(
+    df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, bins: int = 32, accuracy: int | None = None
+) -> DataFrame:
     """Plug-in mutual information of the quantile-binned feature and the label.
 
     Values are counted per (feature, value, label) first; a value's bin follows from the rank of its
-    first copy, so equal values share a bin and no feature column is sorted in one task.
+    first copy, so equal values share a bin and no feature column is sorted in one task.  ``accuracy``
+    takes the bin edges from quantile sketches instead, and then only bin counts are shuffled.
     """
-    long = df.unpivot([*keys, label], list(features), "feature", "value")
     g = [*keys, "feature"]
+    if accuracy:
+        return _information(_sketched_bins(df, list(keys), features, label, bins, accuracy), g)
+    long = df.unpivot([*keys, label], list(features), "feature", "value")
     counts = long.groupBy(*g, "value").agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col(label) == 1).cast("bigint")).alias("pos")
     )
     ranked = prefix_sums(counts, g, "value", ["n"], points=split_points(long, "value"))
     binned = ranked.withColumn("bin", F.floor(bins * F.col("n_before") / F.col("n_total")).cast("int"))
-    cells = binned.groupBy(*g, "bin").agg(F.sum("pos").alias("c1"), (F.sum("n") - F.sum("pos")).alias("c0"))
+    return _information(binned.groupBy(*g, "bin").agg(F.sum("pos").alias("c1"), (F.sum("n") - F.sum("pos")).alias("c0")), g)
+
+
+def _information(cells: DataFrame, g: list[str]) -> DataFrame:
+    """Sum of p ln(p / (p_bin p_label)) over a contingency table of bins x 2 rows per feature."""
     cells = cells.select(*g, "bin", F.inline(F.array(
         F.struct(F.lit(0).alias("y"), F.col("c0").alias("c")), F.struct(F.lit(1).alias("y"), F.col("c1").alias("c"))
     )))
