@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from windowlab.llm import bpe, tiling
-from windowlab.llm.store import table
+from windowlab.llm import bpe, rules, secrets, tiling
+from windowlab.llm.store import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,11 +29,28 @@ def encoded_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "quality.*")
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("doc_id", *[F.col(f"stats.{c}").alias(c) for c in base], "base_failed", "kept", F.col("rule").cast("bigint").alias("rule"))
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), new_path(spark, "ledger"), "doc_id")
+    return found.select(
+        F.col("path").alias("doc_id"), *[secrets.number(F.col("spans"), k).alias(f"n_{k}") for k in secrets.BASE],
+        F.sha2(secrets.label(F.col("spans"), secrets.BASE), 256).alias("base_sha256"), secrets.label(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a test item that it holds."""
