@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from windowlab.llm import bpe, jaccard, rules, secrets, tiling
+from windowlab.llm import bpe, jaccard, repeats, rules, secrets, tiling
 from windowlab.llm.store import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +22,7 @@ def query(fn):
 def encoded_digests(docs: DataFrame) -> DataFrame:
     """Digests of ids and decoded bytes of every document."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    whole = bpe.assemble(bpe.decode(bpe.encode(docs, path, pattern), path, pattern), ["ids", "bytes"])
+    whole = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
     return whole.select(
         F.col("id").alias("doc_id"), F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"),
@@ -56,6 +56,12 @@ def op8_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("class").alias("component_id"))
 
 
+@query
+def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a test item that it holds."""

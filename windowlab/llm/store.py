@@ -48,24 +48,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> bytes:
-    """A bit set of hashed ids: bounded by ``bits``, whatever the number of ids.
+def bit_filter(slots: DataFrame, bits: int) -> bytes:
+    """A bit set of ``slots`` (column ``slot``, 0 to bits - 1): bounded by ``bits``, whatever the number of rows.
 
-    Tasks use it to leave out rows before a shuffle; what it lets through by mistake the following join removes.
+    Tasks use it to leave out rows before a shuffle; what it lets through by mistake later steps remove.
     """
-    slot = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+    import numpy as np
+
     words = (
-        ids.select(slot.alias("slot"))
-        .select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
+        slots.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
         .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     )
-    import numpy as np
-
     out = np.zeros(bits // 64, np.int64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    out[words["word"].to_numpy().astype(np.int64)] = words["bits"].to_numpy()
     return out.tobytes()
 
 
+def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> bytes:
+    """A bit set of hashed ids; see ``filter_slot``."""
+    return bit_filter(ids.select(filter_slot(column, bits).alias("slot")), bits)
+
+
 def filter_slot(column: str, bits: int = FILTER_BITS):
     return F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
 
