@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from windowlab.llm import bpe, jaccard, repeats, rules, secrets, tiling
+from windowlab.llm import bpe, chat, jaccard, repeats, rules, secrets, tiling, warc
 from windowlab.llm.store import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,11 +37,29 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"stats.{c}").alias(c) for c in base], "base_failed", "kept", F.col("rule").cast("bigint").alias("rule"))
 
 
+@query
+def op2_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], told.schema)
+    read = chat.read_back(chat.format_turns(told.unionByName(trap)))
+    return read.select(
+        F.col("conv").alias("conv_id"), F.col("turns").alias("n_turns"), F.col("sha").alias("turns_sha256"), "loss_chars", F.col("loss_sha").alias("loss_sha256"), F.col("chars").alias("formatted_chars")
+    )
+
+
 @query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    read = warc.read_archives(spark, folder)
+    return read.select(F.col("id").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers").alias("refers_to"))
+
+
 @query
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"), new_path(spark, "ledger"), "doc_id")
