@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from windowlab.llm import bpe, chat, jaccard, repeats, rules, secrets, tiling, warc
+from windowlab.llm import bpe, chat, jaccard, lattice, repeats, rules, secrets, tiling, toxicity, warc
 from windowlab.llm.store import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,15 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lattice.part("doc_id", 7) == 2
+    made = lattice.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ~held_out)
+    return made.select(
+        F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), "train_tokens", F.col("base").alias("base_score"), "score"
+    )
+
+
 @query
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
@@ -60,6 +69,15 @@ def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("id").alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers").alias("refers_to"))
 
 
+@query
+def op6_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = lattice.part("doc_id", 5) != 0
+    made = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn)
+    return made.select(
+        F.col("id").alias("doc_id"), (lattice.part("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("neighbours.example").alias("evidence")
+    )
+
+
 @query
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"), new_path(spark, "ledger"), "doc_id")
