@@ -90,7 +90,7 @@ def scan(versions: DataFrame, ledger: str, path_col: str = "path", text_col: str
     # a run that was cut off between the two writes leaves findings twice: they are made distinct
     known = read_ledger(spark, ledger, "findings", FINDINGS).filter(F.col("rules") == rules).select("blob", "start", "kind", "stop").distinct()
     known = known.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop"))).alias("spans"))
-    known = known.join(held.select("blob", "copies"), "blob")
+    known = held.select("blob", "copies").join(known, "blob", "left")
     out = join_sizes(rows.select("path", "blob"), known, "blob", "copies", "left")
     return out.select("path", "blob", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,kind:int,stop:bigint>>)")).alias("spans"))
 
@@ -104,3 +104,29 @@ def label(spans_col: Column, kinds: tuple[str, ...] | None = None) -> Column:
 
 def number(spans_col: Column, kind: str) -> Column:
     return F.size(F.filter(spans_col, lambda x: x["kind"] == list(KINDS).index(kind))).cast("bigint")
+
+
+def masked(text: Column, spans_col: Column) -> Column:
+    """The text with every run that spans cover replaced by the kind of the first span that touches it, in angle brackets."""
+    names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
+    # overlapping spans become one run: (start, stop, kind), in order
+    start = F.struct(F.expr("cast(array() as array<struct<start:bigint,stop:bigint,kind:int>>)").alias("runs"))
+
+    def add(a: Column, x: Column) -> Column:
+        last = F.get(a["runs"], F.size(a["runs"]) - 1)
+        own = F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"), last["kind"].alias("kind"))
+        inside = F.coalesce(x["start"] < last["stop"], F.lit(False))
+        return F.struct(F.when(inside, F.concat(F.slice(a["runs"], 1, F.greatest(F.size(a["runs"]) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(a["runs"], F.array(own))).alias("runs"))
+
+    runs = F.aggregate(spans_col, start, add)["runs"]
+
+    def pieces(r: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(r, i - 1)["stop"], F.lit(0))
+            return F.concat(F.substring(text, (before + 1).cast("int"), (x["start"] - before).cast("int")), F.get(names, x["kind"]))
+
+        tail = F.substring(text, (F.coalesce(F.get(r, F.size(r) - 1)["stop"], F.lit(0)) + 1).cast("int"), F.length(text))
+        return F.concat(F.array_join(F.transform(r, one), ""), tail)
+
+    return F.get(F.transform(F.array(runs), pieces), F.lit(0))

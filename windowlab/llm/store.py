@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,6 +11,8 @@ from pyspark.sql.types import StructType
 #: Bits of the bounded filter of ids that is sent to every task; more ids only let more rows through.
 FILTER_BITS = 1 << 24
 
+_own: dict[str, str] = {}
+
 
 def folder(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``; an own one only where it is unset and the session is local."""
@@ -17,10 +20,8 @@ def folder(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="shared-")
+        _own[spark.sparkContext.applicationId] = named
     return named.rstrip("/")
 
 
