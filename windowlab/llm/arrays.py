@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 20
 
@@ -51,7 +52,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
     """Row slices of a batch whose texts hold at most ``limit`` bytes; a longer text is a slice of its own."""
     if not batch.num_rows:
         return
-    lengths = np.nan_to_num(np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0)).astype(np.int64))
+    lengths = np.nan_to_num(np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64))
     at, ends = 0, np.cumsum(lengths)
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from windowlab.llm.arrays import pieces
 from windowlab.llm.store import extend
@@ -45,17 +45,18 @@ def boundaries(text: str, pattern: str) -> np.ndarray:
     return np.array([m.end() for m in regex.compile(pattern).finditer(text)], np.int64)
 
 
-def encode_pieces(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(id, part, text) to (id, part, ids): ids as little-endian unsigned 32-bit integers."""
+def encode_rows(df: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Replace ``text`` by ``ids``: little-endian unsigned 32-bit integers."""
+    names = [c for c in df.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         for batch in batches:
             for piece in pieces(batch, "text"):
                 ids = [np.array(enc.encode_ordinary(t), "<u4").tobytes() if t else b"" for t in piece.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("part"), pa.array(ids, pa.binary())], ["id", "part", "ids"])
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(ids, pa.binary())], [*names, "ids"])
 
-    return df.select("id", "part", "text").mapInArrow(run, extend(df.select("id", "part"), "ids binary"))
+    return df.select(*names, "text").mapInArrow(run, extend(df.select(*names), "ids binary"))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -71,14 +72,17 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, extend(encoded, "bytes binary"))
 
 
-def cut_long(rows: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """Long texts (id, copy, text) as pieces (id, copy, part, text) that begin and end at pre-token boundaries."""
-    spark = rows.sparkSession
+def cut_long(rows: DataFrame, pattern: str, chunk: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """Long texts (id, copy, text) as pieces (id, copy, part, text) that begin and end at pre-token boundaries, and (id, copy, copies).
+
+    Chunks are scanned where their text lies; only boundaries inside overlaps are shuffled.  Then every chunk meets its cuts.
+    """
     chunks = rows.select("id", "copy", F.length("text").alias("size"), "text").select(
         "id", "copy", "size", F.expr(f"explode(transform(sequence(0, cast((size - 1) div {chunk} as int)), i -> struct(i as part, substring(text, i * {chunk} + 1, {chunk + overlap}) as text)))").alias("c")
     ).select("id", "copy", "size", "c.part", "c.text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
         for batch in batches:
             head, tail = [], []
             for part, text in zip(batch.column("part").to_pylist(), batch.column("text").to_pylist()):
@@ -86,46 +90,30 @@ def cut_long(rows: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFra
                 head.append((b[b < overlap] + part * chunk).tolist())
                 b = b[:-1]  # the last pre-token may go on beyond the chunk
                 tail.append((b[b >= chunk] + part * chunk).tolist())
-            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "copy", "size", "part")] + [pa.array(head, longs), pa.array(tail, longs)], ["id", "copy", "size", "part", "head", "tail"])
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seen = chunks.repartition(n, "id", "copy", "part").mapInArrow(scan, extend(chunks.select("id", "copy", "size", "part"), "head array<bigint>, tail array<bigint>"))
-    # the tail of a chunk meets the head of the next one
-    a = seen.select("id", "copy", (F.col("part") + 1).alias("part"), "tail")
-    b = seen.filter("part > 0").select("id", "copy", "part", "head")
-    met = b.join(a, ["id", "copy", "part"]).select("id", "copy", "part", F.expr("array_min(array_intersect(tail, head))").alias("cut"))
-    cuts = met.groupBy("id", "copy").agg(
-        F.map_from_entries(F.collect_list(F.struct("part", F.coalesce("cut", F.lit(-1))))).alias("cuts"), F.min(F.col("cut").isNotNull()).alias("whole_step")
-    )
-    joined = chunks.join(cuts, ["id", "copy"], "left")
-    piece = joined.filter(F.coalesce("whole_step", F.lit(True))).select(
-        "id", "copy", "part", "text", (F.col("part") * chunk).alias("base"),
-        F.coalesce(F.expr("cuts[part]"), F.lit(0)).alias("begin"), F.coalesce(F.expr("cuts[part + 1]"), F.col("size")).alias("end"),
-    ).select("id", "copy", "part", F.expr("substring(text, cast(begin - base + 1 as int), cast(end - begin as int))").alias("text"))
-    whole = rows.join(cuts.filter(~F.col("whole_step")).select("id", "copy"), ["id", "copy"]).select("id", "copy", F.lit(0).alias("part"), "text")
-    return piece.unionByName(whole)
+    seen = chunks.mapInArrow(scan, extend(chunks.select("id", "copy", "size", "part"), "head array<bigint>, tail array<bigint>"))
+    # repeated rows of one id and text have the same boundaries
+    seen = seen.groupBy("id", "copy", "part").agg(F.first("size").alias("size"), F.first("head").alias("head"), F.first("tail").alias("tail"), F.count("*").alias("copies"))
+    order = Window.partitionBy("id", "copy").orderBy("part")
+    met = seen.withColumn("begin", F.when(F.col("part") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect(F.lag("tail").over(order), "head"))))
+    step = met.withColumn("end", F.coalesce(F.lead("begin").over(order), "size")).withColumn("in_step", F.min(F.col("begin").isNotNull()).over(Window.partitionBy("id", "copy")))
+    cuts = step.select(F.col("id").alias("_id"), F.col("copy").alias("_copy"), F.col("part").alias("_part"), "begin", "end", "in_step", "copies")
+    met = chunks.join(cuts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")) & (F.col("part") == F.col("_part")))
+    piece = met.filter("in_step").select("id", "copy", "part", F.expr(f"substring(text, cast(begin - part * {chunk} + 1 as int), cast(end - begin as int))").alias("text"))
+    first = cuts.filter("_part = 0")
+    lost = rows.join(first.filter("not in_step"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")), "left_semi")
+    return piece.unionByName(lost.select("id", "copy", F.lit(0).alias("part"), "text")), first.select(F.col("_id").alias("id"), F.col("_copy").alias("copy"), "copies")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(id, copy, part, ids) for every row: texts up to ``chunk`` code points are one part, longer ones several.
-
-    ``copy`` tells repeated rows of one id and text apart; it is null where a text is one part.
-    """
+    """(id, ids) for every row: texts up to ``chunk`` code points are encoded where they lie, longer ones by pieces."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    short = rows.filter(F.length("text") <= chunk).select("id", F.lit(0).alias("part"), "text")
-    long = rows.filter(F.length("text") > chunk).groupBy("id", "text").agg(F.count("*").alias("copies"))
-    # another text under the same id, or the same row again, is another copy
-    long = long.select("id", F.expr("explode(sequence(1L, copies))").alias("nth"), "text").select("id", F.concat_ws(":", F.md5("text"), "nth").alias("copy"), "text")
-    parts = cut_long(long, pattern, chunk, overlap).select(F.struct("id", "copy").alias("id"), "part", "text")
-    a = encode_pieces(short, path, pattern).select("id", F.lit(None).cast("string").alias("copy"), "part", "ids")
-    b = encode_pieces(parts, path, pattern).select("id.id", "id.copy", "part", "ids")
-    return a.unionByName(b)
-
-
-def assemble(parts: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per text: the binary columns of its parts, concatenated in order."""
-    one = parts.filter("copy is null").select("id", *columns)
-    many = parts.filter("copy is not null").groupBy("id", "copy").agg(F.sort_array(F.collect_list(F.struct("part", *columns))).alias("all"))
-    joined = [F.unhex(F.expr(f"array_join(transform(all, x -> hex(x.{c})), '')")).alias(c) for c in columns]
-    return one.unionByName(many.select("id", *joined))
+    short = encode_rows(rows.filter(F.length("text") <= chunk), path, pattern)
+    long = rows.filter(F.length("text") > chunk).select("id", F.md5("text").alias("copy"), "text")
+    parts, copies = cut_long(long, pattern, chunk, overlap)
+    done = encode_rows(parts, path, pattern).groupBy("id", "copy").agg(F.collect_set(F.struct("part", "ids")).alias("all"))
+    whole = F.unhex(F.expr("array_join(transform(array_sort(all), x -> hex(x.ids)), '')")).alias("ids")
+    copies = copies.select(F.col("id").alias("_id"), F.col("copy").alias("_copy"), "copies")
+    many = done.join(copies, F.col("id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))).select("id", whole, F.expr("explode(sequence(1L, copies))").alias("nth"))
+    return short.select("id", "ids").unionByName(many.select("id", "ids"))
