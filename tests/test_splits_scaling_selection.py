@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from windowlab.operators import scaling, selection, splits
+from windowlab.operators import resample, scaling, selection, splits
 
 
 @pytest.fixture(scope="module")
@@ -90,16 +90,40 @@ def test_soft_set_fills_to_k(spark):
     assert len(soft) == 2
 
 
-def test_wide_correlation_and_sketched_information(spark, monkeypatch):
+@pytest.mark.parametrize("p", [12, 13, 24, 25])
+def test_matrix_sums_with_nulls(spark, p):
+    """Correlations are pairwise complete and class sums complete, at any number of features."""
+    rng = np.random.default_rng(p)
+    x = np.round(rng.normal(size=(300, p)) + rng.normal(size=(300, 1)), 3)
+    y = rng.integers(0, 2, 300)
+    x[rng.random((300, p)) < 0.02] = np.nan
+    x[:, p - 1] = 5.0
+    f = [f"f{i}" for i in range(p)]
+    d = spark.createDataFrame([("s", int(y[k]), *[None if np.isnan(v) else float(v) for v in x[k]]) for k in range(300)], "domain string, label int, " + ", ".join(f"{c} double" for c in f)).repartition(5)
+    got = {(r["i"], r["j"]): r["r"] for r in selection.correlation_pairs(d, [], f).collect()}
+    for (i, j), r in got.items():
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        if j == p - 1:
+            assert r is None
+        else:
+            assert abs(r - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-9
+    sums = {r["label"]: np.asarray(r["sums"]) for r in resample.full_grams(d, f, "label", "domain").collect()}
+    full = ~np.isnan(x).any(1)
+    for c in (0, 1):
+        z = x[full & (y == c)]
+        assert np.allclose(sums[c], np.concatenate([[len(z)], z.sum(0), (z.T @ z)[np.triu_indices(p)]]))
+
+
+def test_wide_correlation_and_sketched_information(spark):
     rng = np.random.default_rng(6)
     y = rng.integers(0, 2, 2000)
     x = np.round(rng.normal(size=(2000, 4)) + 1e4 + 0.7 * y[:, None], 3)
     d = spark.createDataFrame([("s" if i % 2 else "m", int(y[i]), *map(float, x[i])) for i in range(2000)], "domain string, y int, a double, b double, c double, e double")
     f = ["a", "b", "c", "e"]
-    narrow = {(r["domain"], r["i"], r["j"]): r["r"] for r in selection.correlation_pairs(d, ["domain"], f).collect()}
-    monkeypatch.setattr(selection, "WIDE", 2)
-    wide = {(r["domain"], r["i"], r["j"]): r["r"] for r in selection.correlation_pairs(d, ["domain"], f).collect()}
-    assert narrow.keys() == wide.keys() and all(abs(narrow[k] - wide[k]) < 1e-9 for k in wide)
+    got = {(r["domain"], r["i"], r["j"]): r["r"] for r in selection.correlation_pairs(d, ["domain"], f).collect()}
+    for dom in "sm":
+        c = np.corrcoef(x[[i for i in range(2000) if (dom == "s") == bool(i % 2)]].T)
+        assert all(abs(got[dom, i, j] - c[i, j]) < 1e-9 for i in range(4) for j in range(i + 1, 4))
     exact = {r["feature"]: r["mi"] for r in selection.mutual_information(d, [], f, "y").collect()}
     quick = {r["feature"]: r["mi"] for r in selection.mutual_information(d, [], f, "y", accuracy=10000).collect()}
     assert all(abs(exact[k] - quick[k]) < 0.01 and exact[k] > 0.02 for k in f)

@@ -250,3 +250,25 @@ def sql_with(*names: str, **extra: str) -> str:
         add(n)
     steps = [f"{n} AS ({SQL[n]})" for n in order] + [f"{n} AS ({q})" for n, q in extra.items()]
     return "WITH " + ",\n".join(steps) + "\n"
+
+
+# ---- many columns with nulls ----------------------------------------------------
+
+MANY = [f"m{i:02d}" for i in range(32)]
+
+
+def _many_text(i: int) -> str:
+    """Column i: integer-valued, related to its neighbours, null in one row of ``i + 23``; the same text in both engines."""
+    value = f"(l_quantity * {i % 5 + 1} + ((l_partkey * {i + 3} + l_suppkey * {i % 7}) % {41 + i}))"
+    return f"CASE WHEN (l_orderkey * {i + 1} + l_linenumber) % {i + 23} = 0 THEN NULL ELSE CAST({value} AS DOUBLE) END AS {MANY[i]}"
+
+
+MANY_COLUMNS = ["CASE WHEN l_linestatus = 'F' THEN 'static' ELSE 'mobile' END AS domain", "CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS label", *[_many_text(i) for i in range(32)]]
+
+
+def many(spark, sf) -> DataFrame:
+    """Line items with 32 features that miss values."""
+    return table(spark, sf, "lineitem").selectExpr(*MANY_COLUMNS)
+
+
+SQL["many"] = f"SELECT {', '.join(MANY_COLUMNS)} FROM lineitem"

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from windowlab.functions.hashing import PRIME, key_code, poisson_cuts, poisson_weight, poly_hash, replicate_axis, replicate_coefficients
 from windowlab.operators.metrics import auc_from_counts
+from windowlab.operators.merging import merge_arrays
 from windowlab.operators.ranking import hash_ranks, split_points
 from windowlab.session import core_count
 
@@ -96,7 +97,7 @@ def _hash_matrix(x: np.ndarray, coef: np.ndarray) -> np.ndarray:
 
 
 GRAM_SCHEMA = T.StructType([
-    T.StructField("rep", T.IntegerType()),
+    T.StructField("rep", T.IntegerType()),  # in partials the first replicate of a block
     T.StructField("grp", T.StringType()),
     T.StructField("label", T.IntegerType()),
     T.StructField("sums", T.ArrayType(T.DoubleType())),
@@ -105,8 +106,16 @@ GRAM_SCHEMA = T.StructType([
 REPLICATE_BLOCK = 256  # replicates held as one weight matrix
 
 
+def complete(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Rows with a value in every feature; nulls and NaN are none.  Moments of several features need all of them."""
+    for f in features:
+        df = df.where(F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")))
+    return df
+
+
 def gram_partials(df: DataFrame, features: Sequence[str], label: str, group: str, unit: Sequence[str], n: int, seed: int, weights: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
-    """Weighted counts, sums and cross products per (rep, group, class): one row each per partition, then summed.
+    """Weighted counts, sums and cross products per (rep, group, class) of the complete rows: one array each per task,
+    merged in a tree.
 
     ``weights(u, x, group)`` turns the hash matrix of a batch into a weight matrix per output group.
     Memory per task is replicates x groups x classes x p^2/2, independent of the rows.
@@ -130,14 +139,17 @@ def gram_partials(df: DataFrame, features: Sequence[str], label: str, group: str
                             out = acc.setdefault((name, c), np.zeros((n, z.shape[1])))
                             out[lo : lo + len(block)] += w[m].T.astype(np.float64) @ z[m]
         for (name, c), s in acc.items():
-            yield pd.DataFrame({"rep": np.arange(n, dtype=np.int32), "grp": name, "label": np.int32(c), "sums": list(s)})
+            for lo in range(0, n, REPLICATE_BLOCK):
+                yield pd.DataFrame({"rep": [np.int32(lo)], "grp": name, "label": np.int32(c), "sums": [s[lo : lo + REPLICATE_BLOCK].ravel()]})
 
-    src = df.select(F.col(label).alias("_y"), F.col(group).alias("_g"), key_code(*unit).alias("_x"), *names)
-    parts = src.mapInPandas(partials, GRAM_SCHEMA)
-    cells = parts.select("rep", "grp", "label", F.posexplode("sums").alias("pos", "v")).groupBy("rep", "grp", "label", "pos").agg(F.sum("v").alias("v"))
-    return cells.groupBy("rep", "grp", "label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("sums")
-    )
+    def unblock(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                s = np.asarray(row.sums).reshape(-1, gram_size(len(names)))
+                yield pd.DataFrame({"rep": np.arange(row.rep, row.rep + len(s), dtype=np.int32), "grp": row.grp, "label": np.int32(row.label), "sums": list(s)})
+
+    src = complete(df, names).select(F.col(label).alias("_y"), F.col(group).alias("_g"), key_code(*unit).alias("_x"), *names)
+    return merge_arrays(src.mapInPandas(partials, GRAM_SCHEMA), ["rep", "grp", "label"], "sums").mapInPandas(unblock, GRAM_SCHEMA)
 
 
 def bootstrap_grams(df: DataFrame, features: Sequence[str], label: str, group: str, unit: Sequence[str], n: int, seed: int) -> DataFrame:
@@ -175,6 +187,7 @@ def permutation_grams(df: DataFrame, features: Sequence[str], label: str, group:
     With ``exact_sizes`` the pseudo-domains have the sizes of the real ones.  Without, a row belongs to the
     first when its hash is below the size share; sizes then vary by about sqrt(rows)/2.
     """
+    df = complete(df, features)
     sizes = df.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(group) == first).cast("bigint")).alias("k")).first()
     if exact_sizes:
         rows = sorted(permutation_cuts(df, unit, sizes["k"], sizes["n"], n, seed).collect())  # one row per replicate
@@ -193,16 +206,13 @@ def permutation_grams(df: DataFrame, features: Sequence[str], label: str, group:
 
 
 def full_grams(df: DataFrame, features: Sequence[str], label: str, group: str) -> DataFrame:
-    """The same sums over the plain data (replicate 0): built-in aggregates, or matrix products for many features."""
+    """The same sums over the plain data (replicate 0), for any number of features."""
     f = list(features)
-    if len(f) > 12:
-        def ones(u, x, g, lo):
-            return {str(name): (g == name)[:, None] for name in np.unique(g)}
-
-        return gram_partials(df, f, label, group, [f[0]], 1, 0, ones)
-    terms = [F.count(F.lit(1)).cast("double"), *[F.sum(c) for c in f]]
-    terms += [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(f) for b in f[i:]]
-    return df.groupBy(F.col(group).alias("grp"), F.col(label).cast("int").alias("label")).agg(F.array(*terms).alias("sums")).withColumn("rep", F.lit(0))
+
+    def ones(u, x, g, lo):
+        return {str(name): (g == name)[:, None] for name in np.unique(g)}
+
+    return gram_partials(df, f, label, group, [f[0]], 1, 0, ones)
 
 
 SEPARATION_SCHEMA = "rep int, grp string, mahalanobis double, lda_ratio double"

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from windowlab.constants import CORRELATION_CUT, FEATURE_CATEGORIES, VARIANCE_FLOOR
 from windowlab.functions.expressions import dbl, first_match
+from windowlab.operators.merging import merge_arrays
 from windowlab.operators.ranking import prefix_sums, split_points, with_bucket
 from windowlab.operators.stats import moments
 
@@ -20,52 +21,51 @@ def variances(df: DataFrame, keys: Sequence[str], features: Sequence[str], floor
     return m.select(*keys, "feature", F.col("var_p").alias("variance"), (F.col("var_p") > floor).alias("kept"))
 
 
-WIDE = 24  # above this many features, cross products are matrix products per batch instead of single aggregates
-
-
 def correlation_pairs(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """Pearson r of every pair i < j of an ordered feature list, with one small shuffle."""
-    if len(features) > WIDE:
-        return _correlation_pairs_wide(df, list(keys), list(features))
-    cells = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(a).alias("feature_i"), F.lit(b).alias("feature_j"), F.corr(a, b).alias("r"))
-        for i, a in enumerate(features) for j, b in enumerate(features) if i < j
-    ]
-    return df.groupBy(*keys).agg(F.array(*cells).alias("_c")).select(*keys, F.inline("_c"))
-
-
-def _correlation_pairs_wide(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
-    """Column means first, then centred cross products: one p x p matrix per key and partition, summed by Spark."""
-    p = len(features)
-    tag = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
-    means = {r["_k"]: [r[f] or 0.0 for f in features] for r in df.groupBy(tag.alias("_k")).agg(*[F.avg(f).alias(f) for f in features]).collect()}
+    """Pearson r of every pair i < j of an ordered feature list, each over the rows where both have a value.
+
+    Nulls and NaN have no value; r is null where a feature does not vary in those rows.  Column means first,
+    then four p x p matrices of centred sums per key and task, merged in a tree.
+    """
+    keys, names, p = list(keys), list(features), len(features)
+    clean_cols = [F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")).alias(f) for f in names]
+    src = df.select(*keys, *clean_cols)
+    key_of = lambda r: tuple(r[k] for k in keys)
+    means = {key_of(r): [r[f] or 0.0 for f in names] for r in src.groupBy(*keys).agg(*[F.avg(f).alias(f) for f in names]).collect()}
 
     def partials(batches):
-        acc: dict[str, np.ndarray] = {}
+        acc: dict[tuple, np.ndarray] = {}
         for pdf in batches:
-            for k, part in pdf.groupby("_k"):
-                x = part[features].to_numpy(dtype=np.float64) - np.asarray(means[k])
-                x = np.column_stack([np.ones(len(x)), x])
-                acc[k] = acc.get(k, 0.0) + x.T @ x
+            groups = pdf.groupby(keys, dropna=False) if keys else [((), pdf)]
+            for k, part in groups:
+                k = tuple(None if pd.isna(v) else v for v in k)
+                x = part[names].to_numpy(dtype=np.float64) - np.asarray(means[k])
+                has = ~np.isnan(x)
+                x, m = np.where(has, x, 0.0), has.astype(np.float64)
+                acc[k] = acc.get(k, 0.0) + np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
         for k, m in acc.items():
-            yield pd.DataFrame({"_k": k, "m": [m.ravel()]})
+            yield pd.DataFrame({**{c: [v] for c, v in zip(keys, k)}, "m": [m.ravel()]})
 
-    cells = df.select(tag.alias("_k"), *features).mapInPandas(partials, "_k string, m array<double>")
-    sums = cells.select("_k", F.posexplode("m").alias("pos", "v")).groupBy("_k", "pos").agg(F.sum("v").alias("v"))
+    schema = T.StructType([*[src.schema[k] for k in keys], T.StructField("m", T.ArrayType(T.DoubleType()))])
+    sums = merge_arrays(src.mapInPandas(partials, schema), keys, "m")
 
-    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.sort_values("pos")["v"].to_numpy().reshape(p + 1, p + 1)
-        c = m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) / m[0, 0]
-        sd = np.sqrt(np.maximum(np.diag(c), 0.0))
+    def pairs(batches):
         i, j = np.triu_indices(p, 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r = c[i, j] / (sd[i] * sd[j])
-        names = np.asarray(features)
-        return pd.DataFrame({"_k": key[0], "i": i.astype(np.int32), "j": j.astype(np.int32), "feature_i": names[i], "feature_j": names[j], "r": r})
-
-    out = sums.groupBy("_k").applyInPandas(pairs, "_k string, i int, j int, feature_i string, feature_j string, r double")
-    back = [F.split("_k", r"\|")[n].alias(k) for n, k in enumerate(keys)]
-    return out.select(*back, "i", "j", "feature_i", "feature_j", "r")
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                n, t, q, c = np.asarray(row["m"]).reshape(4, p, p)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    cov = c - t * t.T / n
+                    var = q - t * t / n  # [a, b]: spread of a where b has a value
+                    flat = (var <= 1e-12 * np.maximum(q, 1e-300)) | (n < 2)
+                    r = np.where(flat | flat.T, np.nan, cov / np.sqrt(np.where(flat, 1.0, var) * np.where(flat.T, 1.0, var.T)))
+                values = [None if np.isnan(v) else float(v) for v in r[i, j]]
+                at = np.asarray(names)
+                yield pd.DataFrame({**{k: [row[k]] * len(i) for k in keys}, "i": i.astype(np.int32), "j": j.astype(np.int32), "feature_i": at[i], "feature_j": at[j], "r": pd.array(values, "Float64")})
+
+    out = T.StructType([*[src.schema[k] for k in keys], *[T.StructField(n, t) for n, t in (
+        ("i", T.IntegerType()), ("j", T.IntegerType()), ("feature_i", T.StringType()), ("feature_j", T.StringType()), ("r", T.DoubleType()))]])
+    return sums.mapInPandas(pairs, out)
 
 
 def correlated_to_drop(pairs: DataFrame, keys: Sequence[str], cut: float = CORRELATION_CUT) -> DataFrame:

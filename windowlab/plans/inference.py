@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from windowlab.fixtures import scores, seed_results, sql_with, wide
+from windowlab.fixtures import MANY, many, scores, seed_results, sql_with, wide
 from windowlab.functions.expressions import logit
 from windowlab.functions.hashing import sql_key_code, sql_poisson, sql_poly_hash, sql_replicates, sql_order_key
 from windowlab.operators import joins, metrics, resample, stats
@@ -182,6 +182,22 @@ def class_separation_all_features(spark, sf):
     return rounded(resample.separation(g, len(FEATURES)), ["mahalanobis", "lda_ratio"])
 
 
+MANY_PAIRS = [(a, b) for i, a in enumerate(MANY) for b in MANY[i:]]
+
+
+@query(
+    "class_moments_wide", "X4 X5",
+    sql_with(
+        "many", c="SELECT * FROM many WHERE " + " AND ".join(f"{m} IS NOT NULL" for m in MANY),
+        s="SELECT domain AS grp, label, count(*)::DOUBLE AS n, [" + ", ".join(f"sum({m})" for m in MANY) + "] AS t, [" + ", ".join(f"sum({a}*{b})" for a, b in MANY_PAIRS) + "] AS q FROM c GROUP BY 1, 2",
+    ) + "SELECT grp, label, CAST(unnest(range(1, 1 + 1 + 32 + 528)) AS INTEGER) AS pos, unnest(list_concat([n], t, q)) AS v FROM s",
+)
+def class_moments_wide(spark, sf):
+    """Counts, sums and cross products of 32 features with nulls per domain and class: what separation and its replicates build on."""
+    g = resample.full_grams(many(spark, sf), MANY, "label", "domain")
+    return g.select("grp", "label", F.posexplode("sums").alias("pos", "v")).withColumn("pos", F.col("pos") + 1)
+
+
 # ---- bootstrap ----------------------------------------------------------------------
 
 N_BOOT = 100

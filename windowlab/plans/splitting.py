@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from windowlab.fixtures import WIDE_FEATURES, importances, sql_with, table, wide
+from windowlab.fixtures import MANY, WIDE_FEATURES, importances, many, sql_with, table, wide
 from windowlab.functions.hashing import sql_order_key
 from windowlab.operators import joins, reshape, scaling, selection, splits
 from windowlab.plans.registry import query
@@ -335,6 +335,17 @@ def rank_aggregation(spark, sf):
     return out.withColumn("mean_rank", F.round("mean_rank", 6))
 
 
+@query(
+    "correlation_pairs_wide", "N6 M12",
+    sql_with("many", l="SELECT domain, unnest([" + ", ".join(f"{{'a': '{a}', 'b': '{b}', 'r': corr({a},{b})}}" for i, a in enumerate(MANY) for b in MANY[i + 1:]) + "]) AS s FROM many GROUP BY domain")
+    + "SELECT domain, s.a AS feature_i, s.b AS feature_j, round(s.r,6) AS r FROM l",
+)
+def correlation_pairs_wide(spark, sf):
+    """All pairs of 32 features with nulls: each pair over the rows where both have a value."""
+    p = selection.correlation_pairs(many(spark, sf), ["domain"], MANY)
+    return p.select("domain", "feature_i", "feature_j", F.round("r", 6).alias("r"))
+
+
 @query(
     "feature_target_correlation", "M12",
     sql_with("wide", c=" UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c},label) AS r FROM wide" for c in WIDE_FEATURES))
