@@ -35,10 +35,10 @@ def test_words_and_shingles():
 LONG = ["word   \n  naïve 漢字 it's 12345 !!! " * 200, "a" * 3000, ("ab " * 300) + "z" * 900 + (" it's" * 400), " " * 2500, "\n \n" * 900, "é" * 999 + " " * 999 + "'ll" * 300]
 
 
-@pytest.mark.parametrize("chunk,overlap", [(64, 16), (300, 40), (1000, 100)])
-def test_bpe_round_trip(spark, chunk, overlap):
+@pytest.mark.parametrize("chunk,overlap,spread", [(64, 16, 64), (300, 40, 500), (1000, 100, 2500), (100, 30, 1 << 22)])
+def test_bpe_round_trip(spark, chunk, overlap, spread):
     rows = AWKWARD[:9] + [(100 + i, t) for i, t in enumerate(LONG)] + [(100, LONG[0]), (None, LONG[2]), (104, LONG[0])]
-    got = bpe.decode(bpe.encode(frame(spark, rows), PATH, P.PATTERN, chunk=chunk, overlap=overlap), PATH, P.PATTERN).collect()
+    got = bpe.decode(bpe.encode(frame(spark, rows), PATH, P.PATTERN, chunk=chunk, overlap=overlap, spread=spread), PATH, P.PATTERN).collect()
     enc = bpe.encoder(PATH, P.PATTERN)
     want = sorted(str((i, np.array(enc.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode())) for i, t in rows)
     assert sorted(str((r.id, bytes(r.ids), bytes(r.bytes))) for r in got) == want

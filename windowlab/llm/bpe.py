@@ -23,6 +23,8 @@ from windowlab.llm.store import extend
 
 CHUNK = 16384
 OVERLAP = 512
+#: Longer texts (about a second of work) have their chunks spread over tasks; others are cut and stitched where they lie.
+SPREAD = 1 << 22
 
 _encoders: dict[tuple[str, str], object] = {}
 
@@ -45,15 +47,34 @@ def boundaries(text: str, pattern: str) -> np.ndarray:
     return np.array([m.end() for m in regex.compile(pattern).finditer(text)], np.int64)
 
 
-def encode_rows(df: DataFrame, path: str, pattern: str) -> DataFrame:
+def cut(text: str, pattern: str, chunk: int, overlap: int) -> list[str]:
+    """Pieces of a text that begin and end at pre-token boundaries: its chunks are scanned one by one and stitched."""
+    places, tail = [0], None
+    for at in range(0, max(len(text), 1), chunk):
+        b = boundaries(text[at : at + chunk + overlap], pattern) + at
+        if at:
+            both = np.intersect1d(tail, b[b < at + overlap], assume_unique=True)
+            if not len(both):
+                return [text]
+            places.append(int(both[0]))
+        tail = b[:-1][b[:-1] >= at + chunk]  # the last pre-token may go on beyond the chunk
+    return [text[a:b] for a, b in zip(places, [*places[1:], len(text)])]
+
+
+def encode_rows(df: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
     """Replace ``text`` by ``ids``: little-endian unsigned 32-bit integers."""
+
+    def one(enc, text: str) -> bytes:
+        parts = cut(text, pattern, chunk, overlap) if len(text) > chunk + overlap else [text]
+        return b"".join(np.array(enc.encode_ordinary(t), "<u4").tobytes() for t in parts if t)
+
     names = [c for c in df.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         for batch in batches:
             for piece in pieces(batch, "text"):
-                ids = [np.array(enc.encode_ordinary(t), "<u4").tobytes() if t else b"" for t in piece.column("text").to_pylist()]
+                ids = [one(enc, t) for t in piece.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(ids, pa.binary())], [*names, "ids"])
 
     return df.select(*names, "text").mapInArrow(run, extend(df.select(*names), "ids binary"))
@@ -106,13 +127,13 @@ def cut_long(rows: DataFrame, pattern: str, chunk: int, overlap: int) -> tuple[D
     return piece.unionByName(lost.select("id", "copy", F.lit(0).alias("part"), "text")), first.select(F.col("_id").alias("id"), F.col("_copy").alias("copy"), "copies")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(id, ids) for every row: texts up to ``chunk`` code points are encoded where they lie, longer ones by pieces."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
+    """(id, ids) for every row: texts up to ``spread`` code points are chunked and stitched where they lie, longer ones over many tasks."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    short = encode_rows(rows.filter(F.length("text") <= chunk), path, pattern)
-    long = rows.filter(F.length("text") > chunk).select("id", F.md5("text").alias("copy"), "text")
+    short = encode_rows(rows.filter(F.length("text") <= spread), path, pattern, chunk, overlap)
+    long = rows.filter(F.length("text") > spread).select("id", F.md5("text").alias("copy"), "text")
     parts, copies = cut_long(long, pattern, chunk, overlap)
-    done = encode_rows(parts, path, pattern).groupBy("id", "copy").agg(F.collect_set(F.struct("part", "ids")).alias("all"))
+    done = encode_rows(parts, path, pattern, chunk, overlap).groupBy("id", "copy").agg(F.collect_set(F.struct("part", "ids")).alias("all"))
     whole = F.unhex(F.expr("array_join(transform(array_sort(all), x -> hex(x.ids)), '')")).alias("ids")
     copies = copies.select(F.col("id").alias("_id"), F.col("copy").alias("_copy"), "copies")
     many = done.join(copies, F.col("id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))).select("id", whole, F.expr("explode(sequence(1L, copies))").alias("nth"))
