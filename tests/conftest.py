@@ -12,6 +12,7 @@ def spark():
 
     s = build_session("tests", master="local[8]", partitions=4)
     s.sparkContext.setLogLevel("ERROR")
+    s.conf.set("spark.windowlab.fixtures.spread", "8")
     yield s
     s.stop()
 

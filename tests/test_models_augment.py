@@ -107,4 +107,7 @@ def test_search_and_params(train):
     d = models.assemble(train, ["a", "b"])
     best, tried = models.search(d, models.random_forest(3, 2), {"maxDepth": [1, 2], "numTrees": [2, 3]}, "fold", limit=3)
     assert len(tried) == 3 and all(0.5 < acc <= 1 for _, acc in tried)
-    assert models.mapped_params({"max_depth": None, "n_estimators": 5, "gamma": 1}, "rf") == {"maxDepth": 30, "numTrees": 5}
+    assert models.mapped_params({"max_depth": None, "n_estimators": 5, "gamma": 1}, "rf", ["gamma"], models.MAX_DEPTH) == {"maxDepth": 30, "numTrees": 5}
+    for refused in ({"gamma": 1}, {"max_depth": None}):
+        with pytest.raises(ValueError):
+            models.mapped_params(refused, "rf")

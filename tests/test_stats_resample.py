@@ -72,9 +72,9 @@ def test_separation_against_numpy(data):
 
 def test_hash_twins_and_weights(spark, data):
     d = data[0]
-    codes = np.array([r[0] for r in d.select(hashing.key_code("row_key")).collect()], dtype=np.int64)
+    codes, more = np.array(d.select(hashing.key_code("row_key"), hashing.second_code("row_key")).collect(), dtype=np.int64).T
     coef = np.array(hashing.replicate_coefficients(42, 50), dtype=np.int64)
-    w = np.searchsorted(np.array(hashing.poisson_cuts()), resample._hash_matrix(codes, coef), side="right")
+    w = np.searchsorted(np.array(hashing.poisson_cuts()), resample._hash_matrix(codes, more, coef), side="right")
     r = resample.replicates(d.select("row_key"), ["row_key"], 50, 42).groupBy("rep").agg(F.sum("w").alias("s")).collect()
     assert {x["rep"]: x["s"] for x in r} == dict(enumerate(w.sum(0).tolist()))
     assert abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.06

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from windowlab.session import spread_small
 
 EVENT_METRICS = ["click", "error", "purchase", "signup", "view"]
 WIDE_FEATURES = ["qty", "disc", "tax", "size", "price", "qty_dup"]
@@ -16,11 +15,14 @@ SEED_COUNT = 20
 
 
 FACTS = {"lineitem", "events", "documents"}
+#: Set by bench and tests: the given fact tables are files of one row group, which one task would read.
+SPREAD = "spark.windowlab.fixtures.spread"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread_small(df) if name in FACTS else df
+    parts = spark.conf.get(SPREAD, None)
+    return df.repartition(int(parts)) if parts and name in FACTS else df
 
 
 def tall(spark, sf) -> DataFrame:

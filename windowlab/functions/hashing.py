@@ -29,8 +29,8 @@ def hash_int(md5_text: Column) -> Column:
 
 
 def uniform(md5_text: Column) -> Column:
-    """Uniform double in [0, 1) from an md5 text."""
-    return hash_int(md5_text) / F.lit(4294967296.0)
+    """Uniform double in [0, 1) from 52 bits of an md5 text."""
+    return F.conv(F.substring(md5_text, 1, 13), 16, 10).cast("bigint") / F.lit(4503599627370496.0)
 
 
 def key_code(*cols) -> Column:
@@ -38,13 +38,18 @@ def key_code(*cols) -> Column:
     return hash_int(order_key("code", *cols)) % F.lit(PRIME)
 
 
-def replicate_coefficients(seed: int, n: int) -> list[tuple[int, int, int, int]]:
-    """(replicate, a, b, c) for replicates 0..n-1, from md5 of (seed, replicate)."""
+def second_code(*cols) -> Column:
+    """Another residue of the same key, independent of the first: together they tell 10^18 keys apart."""
+    return hash_int(order_key("second", *cols)) % F.lit(PRIME)
+
+
+def replicate_coefficients(seed: int, n: int) -> list[tuple[int, int, int, int, int]]:
+    """(replicate, a, b, c, d) for replicates 0..n-1, from md5 of (seed, replicate)."""
     out = []
     for r in range(n):
         h = hashlib.md5(f"{seed}|{r}".encode()).hexdigest()
-        a, b, c = (int(h[i : i + 8], 16) % PRIME for i in (0, 8, 16))
-        out.append((r, a, b, c))
+        a, b, c, d = (int(h[i : i + 8], 16) % PRIME for i in (0, 8, 16, 24))
+        out.append((r, a, b, c, d))
     return out
 
 
@@ -53,13 +58,14 @@ def replicate_axis(seed: int, n: int) -> Column:
 
     It is a folded literal: no join and no shuffle is needed to give every row its replicates.
     """
-    rows = [dict(rep=r, a=a, b=b, c=c) for r, a, b, c in replicate_coefficients(seed, n)]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<rep:int,a:bigint,b:bigint,c:bigint>>")
+    rows = [dict(rep=r, a=a, b=b, c=c, d=d) for r, a, b, c, d in replicate_coefficients(seed, n)]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<rep:int,a:bigint,b:bigint,c:bigint,d:bigint>>")
 
 
-def poly_hash(x: Column, a: Column, b: Column, c: Column) -> Column:
-    """((a x + b) x + c) mod p: a pseudo-random integer in [0, p) per (row, replicate)."""
-    return (((a * x + b) % F.lit(PRIME)) * x + c) % F.lit(PRIME)
+def poly_hash(x: Column, y: Column, r: Column) -> Column:
+    """((a x + b) x + c + d y) mod p: a pseudo-random integer in [0, p) per (row, replicate)."""
+    first = (((r["a"] * x + r["b"]) % F.lit(PRIME)) * x + r["c"]) % F.lit(PRIME)
+    return (first + r["d"] * y) % F.lit(PRIME)
 
 
 def poisson_cuts() -> list[int]:
@@ -92,22 +98,23 @@ def sql_hash_int(md5_text: str) -> str:
 
 
 def sql_uniform(md5_text: str) -> str:
-    return f"({sql_hash_int(md5_text)} / 4294967296.0::DOUBLE)"
+    return f"(CAST(('0x' || substr({md5_text}, 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE)"
 
 
 def sql_key_code(*cols: str) -> str:
-    return f"({sql_hash_int(sql_order_key('code', *cols))} % {PRIME})"
+    """Both codes of a key, as columns x and y."""
+    return ", ".join(f"({sql_hash_int(sql_order_key(tag, *cols))} % {PRIME}) AS {c}" for tag, c in (("code", "x"), ("second", "y")))
 
 
 def sql_replicates(seed: int, n: int) -> str:
     def part(i: int) -> str:
         return f"CAST(('0x' || substr(md5('{seed}|' || range), {i}, 8)) AS BIGINT) % {PRIME}"
 
-    return f"SELECT CAST(range AS INTEGER) AS rep, {part(1)} AS a, {part(9)} AS b, {part(17)} AS c FROM range({n})"
+    return f"SELECT CAST(range AS INTEGER) AS rep, {part(1)} AS a, {part(9)} AS b, {part(17)} AS c, {part(25)} AS d FROM range({n})"
 
 
-def sql_poly_hash(x: str) -> str:
-    return f"((((a * {x} + b) % {PRIME}) * {x} + c) % {PRIME})"
+def sql_poly_hash() -> str:
+    return f"((((((a * x + b) % {PRIME}) * x + c) % {PRIME}) + d * y) % {PRIME})"
 
 
 def sql_poisson(u: str) -> str:

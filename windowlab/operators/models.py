@@ -81,26 +81,34 @@ PARAM_MAP = {
     "min_child_samples": {"gbt": "minInstancesPerNode"},
     "border_count": {"gbt": "maxBins"},
 }
-MAX_DEPTH = 30  # MLlib's limit; an open-ended depth becomes this
+MAX_DEPTH = 30  # MLlib's limit
 
 
-def mapped_params(params: dict, kind: str) -> dict:
-    """Tuned parameters of another library in MLlib's names; parameters without a counterpart are left out."""
+def mapped_params(params: dict, kind: str, without_counterpart: Sequence[str] = (), open_depth: int | None = None) -> dict:
+    """Tuned parameters of another library in MLlib's names.
+
+    A parameter that MLlib has no counterpart for is an error unless ``without_counterpart`` names it; so is an open-ended
+    depth unless ``open_depth`` says which depth stands for it (MLlib's largest is ``MAX_DEPTH``).
+    """
     out = {}
     for name, value in params.items():
         target = PARAM_MAP.get(name, {}).get(kind)
         if target is None:
+            if name not in without_counterpart:
+                raise ValueError(f"parameter {name} has no counterpart for {kind}")
             continue
         if target == "maxDepth" and (value is None or value == -1):
-            value = MAX_DEPTH
+            if open_depth is None:
+                raise ValueError("an open-ended depth needs open_depth")
+            value = open_depth
         if target == "featureSubsetStrategy":
             value = str(value)
         out[target] = value
     return out
 
 
-def build(name: str, n_rows: int, **params) -> Estimator:
-    """Estimator of a model name with tuned parameters applied."""
+def build(name: str, n_rows: int, without_counterpart: Sequence[str] = (), open_depth: int | None = None, **params) -> Estimator:
+    """Estimator of a model name with tuned parameters applied; see ``mapped_params`` for what it refuses."""
     small = dict(params)
     c = float(small.pop("C", 1.0))
     if name == "logisticregression":
@@ -114,7 +122,7 @@ def build(name: str, n_rows: int, **params) -> Estimator:
     if name not in made:
         raise ValueError(f"unknown model {name}")
     factory, kind = made[name]
-    return factory().setParams(**mapped_params(small, kind))
+    return factory().setParams(**mapped_params(small, kind, without_counterpart, open_depth))
 
 
 def score_column(predictions: DataFrame) -> tuple[Column, str]:

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from windowlab.functions.hashing import PRIME, key_code, poisson_cuts, poisson_weight, poly_hash, replicate_axis, replicate_coefficients
+from windowlab.functions.hashing import PRIME, key_code, poisson_cuts, poisson_weight, poly_hash, replicate_axis, replicate_coefficients, second_code
 from windowlab.operators.metrics import auc_from_counts
 from windowlab.operators.merging import merge_arrays
 from windowlab.operators.ranking import hash_ranks, split_points
@@ -27,9 +27,9 @@ def replicates(df: DataFrame, unit: Sequence[str], n: int, seed: int, weight: st
     rows x replicates while the rows may be few bytes, so the rows are spread over all cores first:
     adaptive coalescing sizes partitions by bytes and would leave a few.
     """
-    x = df.repartition(core_count(df.sparkSession), *df.columns).withColumn("_x", key_code(*unit)).withColumn("_r", F.explode(replicate_axis(seed, n)))
-    u = poly_hash(F.col("_x"), F.col("_r.a"), F.col("_r.b"), F.col("_r.c"))
-    return x.withColumn(weight, poisson_weight(u)).withColumn("rep", F.col("_r.rep")).drop("_x", "_r")
+    x = df.repartition(core_count(df.sparkSession), *df.columns).withColumn("_x", key_code(*unit)).withColumn("_y", second_code(*unit)).withColumn("_r", F.explode(replicate_axis(seed, n)))
+    u = poly_hash(F.col("_x"), F.col("_y"), F.col("_r"))
+    return x.withColumn(weight, poisson_weight(u)).withColumn("rep", F.col("_r.rep")).drop("_x", "_y", "_r")
 
 
 def run_sums(df: DataFrame, keys: Sequence[str], run: str, **sums: Column) -> DataFrame:
@@ -90,10 +90,10 @@ def _design(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((len(x), 1)), x, x[:, i] * x[:, j]], axis=1)
 
 
-def _hash_matrix(x: np.ndarray, coef: np.ndarray) -> np.ndarray:
+def _hash_matrix(x: np.ndarray, y: np.ndarray, coef: np.ndarray) -> np.ndarray:
     """rows x replicates of hash values, the same numbers as :func:`poly_hash`."""
-    x = x[:, None]
-    return ((coef[:, 1] * x + coef[:, 2]) % PRIME * x + coef[:, 3]) % PRIME
+    x, y = x[:, None], y[:, None]
+    return (((coef[:, 1] * x + coef[:, 2]) % PRIME * x + coef[:, 3]) % PRIME + coef[:, 4] * y) % PRIME
 
 
 GRAM_SCHEMA = T.StructType([
@@ -126,13 +126,13 @@ def gram_partials(df: DataFrame, features: Sequence[str], label: str, group: str
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[tuple[str, int], np.ndarray] = {}
         for pdf in batches:
-            y = pdf["_y"].to_numpy()
-            x = pdf["_x"].to_numpy(dtype=np.int64)
+            y = pdf["_label"].to_numpy()
+            x, x2 = pdf["_x"].to_numpy(dtype=np.int64), pdf["_y"].to_numpy(dtype=np.int64)
             g = pdf["_g"].to_numpy()
             z = _design(pdf[names].to_numpy(dtype=np.float64))
             for lo in range(0, n, REPLICATE_BLOCK):
                 block = coef[lo : lo + REPLICATE_BLOCK]
-                for name, w in weights(_hash_matrix(x, block), x, g, lo).items():
+                for name, w in weights(_hash_matrix(x, x2, block), (x, x2), g, lo).items():
                     for c in (0, 1):
                         m = y == c
                         if m.any():
@@ -148,7 +148,7 @@ def gram_partials(df: DataFrame, features: Sequence[str], label: str, group: str
                 s = np.asarray(row.sums).reshape(-1, gram_size(len(names)))
                 yield pd.DataFrame({"rep": np.arange(row.rep, row.rep + len(s), dtype=np.int32), "grp": row.grp, "label": np.int32(row.label), "sums": list(s)})
 
-    src = complete(df, names).select(F.col(label).alias("_y"), F.col(group).alias("_g"), key_code(*unit).alias("_x"), *names)
+    src = complete(df, names).select(F.col(label).alias("_label"), F.col(group).alias("_g"), key_code(*unit).alias("_x"), second_code(*unit).alias("_y"), *names)
     return merge_arrays(src.mapInPandas(partials, GRAM_SCHEMA), ["rep", "grp", "label"], "sums").mapInPandas(unblock, GRAM_SCHEMA)
 
 
@@ -164,21 +164,21 @@ def bootstrap_grams(df: DataFrame, features: Sequence[str], label: str, group: s
 
 
 def permutation_cuts(df: DataFrame, unit: Sequence[str], n_first: int, total: int, n: int, seed: int) -> DataFrame:
-    """Per replicate the n_first-th smallest (hash, code): the exact cut that keeps the group sizes.
+    """Per replicate the n_first-th smallest (hash, codes): the exact cut that keeps the group sizes.
 
     A histogram of about sqrt(rows) bins per replicate locates the cut; only the rows of that bin are ranked.
     """
     bins = max(16, int(total ** 0.5))
-    x = df.select(key_code(*unit).alias("x")).repartition(core_count(df.sparkSession), "x").withColumn("_r", F.explode(replicate_axis(seed, n)))
-    x = x.select("x", F.col("_r.rep").alias("rep"), poly_hash(F.col("x"), F.col("_r.a"), F.col("_r.b"), F.col("_r.c")).alias("u"))
+    x = df.select(key_code(*unit).alias("x"), second_code(*unit).alias("y")).repartition(core_count(df.sparkSession), "x").withColumn("_r", F.explode(replicate_axis(seed, n)))
+    x = x.select("x", "y", F.col("_r.rep").alias("rep"), poly_hash(F.col("x"), F.col("y"), F.col("_r")).alias("u"))
     x = x.withColumn("bin", F.floor(F.col("u") * bins / F.lit(PRIME)).cast("int"))
     hist = x.groupBy("rep", "bin").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("rep").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
     at = hist.where((F.lit(n_first) > F.col("before")) & (F.lit(n_first) <= F.col("before") + F.col("c"))).select("rep", "bin", "before")
     inside = x.join(F.broadcast(at), ["rep", "bin"])  # one row per replicate
-    r = inside.withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("u", "x")))
-    return r.where(F.col("rn") == F.lit(n_first) - F.col("before")).select("rep", "u", "x")
+    r = inside.withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("u", "x", "y")))
+    return r.where(F.col("rn") == F.lit(n_first) - F.col("before")).select("rep", "u", "x", "y")
 
 
 def permutation_grams(df: DataFrame, features: Sequence[str], label: str, group: str, unit: Sequence[str], n: int, seed: int, first: str = "static", second: str = "mobile", exact_sizes: bool = True) -> DataFrame:
@@ -192,14 +192,15 @@ def permutation_grams(df: DataFrame, features: Sequence[str], label: str, group:
     if exact_sizes:
         rows = sorted(permutation_cuts(df, unit, sizes["k"], sizes["n"], n, seed).collect())  # one row per replicate
         cut_u = np.array([r["u"] for r in rows], dtype=np.int64)
-        cut_x = np.array([r["x"] for r in rows], dtype=np.int64)
+        cut_x, cut_y = (np.array([r[c] for r in rows], dtype=np.int64) for c in "xy")
     else:
         cut_u = np.full(n, int(PRIME * sizes["k"] / sizes["n"]), dtype=np.int64)
-        cut_x = np.full(n, -1, dtype=np.int64)
+        cut_x = cut_y = np.full(n, -1, dtype=np.int64)
 
     def weights(u, x, g, lo):
-        cu, cx = cut_u[lo : lo + u.shape[1]], cut_x[lo : lo + u.shape[1]]
-        in_first = (u < cu) | ((u == cu) & (x[:, None] <= cx))
+        cu, cx, cy = (c[lo : lo + u.shape[1]] for c in (cut_u, cut_x, cut_y))
+        a, b = x[0][:, None], x[1][:, None]
+        in_first = (u < cu) | ((u == cu) & ((a < cx) | ((a == cx) & (b <= cy))))
         return {first: in_first, second: ~in_first}
 
     return gram_partials(df, features, label, group, unit, n, seed, weights)

@@ -21,9 +21,13 @@ def widen(
     timing: bool = False,
     temporal: bool = False,
     counts: bool = False,
+    only_listed: bool = False,
 ) -> DataFrame:
     """One row per window: mean value per metric, 0 where a metric is absent.
 
+    A window without any of the ``metrics`` is a row of zeros; with ``only_listed`` rows of other metrics are left out
+    first, and such a window has no row.  The other flags only add columns.
+
     All aggregates sit in one ``groupBy`` (means per metric as conditional
     averages), so the table is shuffled once, after map-side combining.  Labels
     must agree inside a window; a window with two labels raises.
@@ -53,8 +57,7 @@ def widen(
         ]
     if counts:
         aggs.append(F.count(F.lit(1)).alias("n_rows"))
-    wanted = F.col("Metric").isin(*metrics)
-    src = tall if (timing or temporal or counts) else tall.where(wanted)
+    src = tall.where(F.col("Metric").isin(*metrics)) if only_listed else tall
     out = src.groupBy(*keys).agg(*aggs)
     return out.na.fill(0.0) if temporal else out
 
@@ -88,7 +91,7 @@ def sample_runs(df: DataFrame, run: str, n: int, seed: int) -> DataFrame:
         F.when(F.col("n_part") < n, F.raise_error(F.lit(f"limit of {n} runs exceeds the number of runs")).cast("boolean"))
         .otherwise(F.col("rn") <= n)
     ).select(run)
-    return df.join(picked, run, "left_semi")
+    return df.join(F.broadcast(picked), run, "left_semi")  # at most n rows
 
 
 def require_columns(df: DataFrame, needed: Sequence[str]) -> None:

@@ -43,12 +43,12 @@ def apply_scaler(df: DataFrame, params: DataFrame, keys: Sequence[str], features
     """Scale ``features`` of ``df`` with the parameters of its key.
 
     The parameters are turned to one row per key set (keys x 2 values per feature), so the join
-    side is as small as the number of fitted models and is broadcast by its size.
+    side has as many rows as models were fitted and is broadcast.
     """
     pick = lambda f, c: F.max(F.when(F.col("feature") == f, F.col(c)))
     wide = params.groupBy(*keys).agg(*[pick(f, c).alias(f"_{c}_{f}") for f in features for c in ("centre", "scale")])
     if keys:
-        j = df.join(wide, list(keys))
+        j = df.join(F.broadcast(wide), list(keys))  # one row per fitted model
     else:
         j = df.join(F.broadcast(wide))  # exactly one row
     out = j.withColumns({f: (F.col(f) - F.col(f"_centre_{f}")) / F.col(f"_scale_{f}") for f in features})

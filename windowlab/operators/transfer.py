@@ -213,16 +213,16 @@ def isotonic_cut(score: np.ndarray, fit: np.ndarray, at: float = 0.5) -> float:
     return float(score[i - 1] + (at - lo) / (hi - lo) * (score[i] - score[i - 1]))
 
 
-def isotonic_fewshot(parts: DataFrame, sample: DataFrame, run: str, min_runs: int = 250, digits: int = 4, y: str = "y", score: str = "score") -> DataFrame:
+def isotonic_fewshot(parts: DataFrame, sample: DataFrame, run: str, min_runs: int = 250, y: str = "y", score: str = "score") -> DataFrame:
     """Isotonic arm of the few-shot curve: accuracy at the calibrated .5 cut, per (direction, seed, model, n_runs, r).
 
-    Scores are pooled to ``digits`` decimals, so the curve of a cell has at most 10^digits + 1 points.
+    The fit is on exact scores; a cell holds the distinct scores of its n_runs sampled runs.
     """
     key = [*CELL, "n_runs", "r"]
     sample = stored(sample.where(F.col("n_runs") >= min_runs), "sample")
     drawn = F.broadcast(sample.select("domain", "seed", run).distinct())
     pool = parts.where("tgt_part = 'calib'").join(drawn, ["domain", "seed", run], "left_semi")
-    pooled = pool.groupBy("domain", "seed", "model", run, F.round(score, digits).alias("s")).agg(
+    pooled = pool.groupBy("domain", "seed", "model", run, F.col(score).alias("s")).agg(
         F.sum(F.col(y).cast("double")).alias("p"), F.count(F.lit(1)).cast("double").alias("w")
     )
     cells = pooled.withColumn("direction", as_target()).join(sample, ["domain", "seed", run])

@@ -206,8 +206,8 @@ N_BOOT = 100
 def boot_sql(unit: str, seed: int, n: int, source: str, cols: str) -> dict[str, str]:
     return dict(
         rp=sql_replicates(seed, n),
-        bx=f"SELECT {cols}, {sql_key_code(unit)} AS x FROM {source}",
-        bw=f"SELECT * FROM (SELECT bx.*, rep, {sql_poisson(sql_poly_hash('x'))} AS w FROM bx, rp) WHERE w > 0",
+        bx=f"SELECT {cols}, {sql_key_code(unit)} FROM {source}",
+        bw=f"SELECT * FROM (SELECT bx.*, rep, {sql_poisson(sql_poly_hash())} AS w FROM bx, rp) WHERE w > 0",
     )
 
 
@@ -293,9 +293,9 @@ N_PERM = 60
 
 PERM_SQL = dict(
     rp=sql_replicates(12345, N_PERM),
-    px=f"SELECT domain, label, qty, disc, {sql_key_code('row_key')} AS x FROM wide",
-    pu=f"SELECT px.*, rep, {sql_poly_hash('x')} AS u FROM px, rp",
-    pk="SELECT rep, label, qty, disc, row_number() OVER (PARTITION BY rep ORDER BY u, x) <= (SELECT count(*) FROM wide WHERE domain='static') AS s FROM pu",
+    px=f"SELECT domain, label, qty, disc, {sql_key_code('row_key')} FROM wide",
+    pu=f"SELECT px.*, rep, {sql_poly_hash()} AS u FROM px, rp",
+    pk="SELECT rep, label, qty, disc, row_number() OVER (PARTITION BY rep ORDER BY u, x, y) <= (SELECT count(*) FROM wide WHERE domain='static') AS s FROM pu",
     ps="SELECT rep, label, qty, disc, CASE WHEN s THEN 'static' ELSE 'mobile' END AS pd FROM pk",
 )
 PERM_DIFF = "SELECT rep, max(mahalanobis) FILTER (grp='mobile') - max(mahalanobis) FILTER (grp='static') AS value FROM se GROUP BY rep"

@@ -65,7 +65,7 @@ def transfer_cell_extra_trees(spark, sf):
 
 @query("transfer_cell_boosted", "C1 T5")
 def transfer_cell_boosted(spark, sf):
-    tuned = models.mapped_params({"iterations": 8, "depth": 3, "learning_rate": 0.3, "l2_leaf_reg": 3}, "gbt")
+    tuned = models.mapped_params({"iterations": 8, "depth": 3, "learning_rate": 0.3, "l2_leaf_reg": 3}, "gbt", ["l2_leaf_reg"])
     return show(cell(prepared(spark, sf), models.boosted().setParams(**tuned)))
 
 
@@ -155,7 +155,7 @@ def calibrated_model(spark, sf):
     val, test = d.where("part = 'val'"), d.where("part IN ('test', 'target')")
 
     def fit_score(train):
-        m = models.logistic(1.0, 10000).fit(train)
+        m = models.logistic(1.0, train.count()).fit(train)
         return lambda x: m.transform(x).withColumn("score", models.vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
 
     out = models.calibrate(val, test, fit_score, "label", ["label"], "row_key", folds=3)
@@ -169,7 +169,7 @@ def stacked_ensemble(spark, sf):
     train = d.where("part = 'train'")
     folds = splits.grouped_folds(train, ["domain"], "run_id").select("run_id", "fold")
     train = stored(train.join(folds, "run_id"), "train")
-    bases = {"lr": models.logistic(1.0, 10000), "rf": models.random_forest(5, 4), "et": models.extra_trees(5, 4)}
+    bases = {"lr": models.logistic(1.0, train.count()), "rf": models.random_forest(5, 4), "et": models.extra_trees(5, 4)}
     out, _ = models.stack(train, d.where("part <> 'train'"), bases, "fold", ["part", "row_key"])
     return show(judged(out.select("part", "row_key", F.col("label").cast("int").alias("y"), "score")))
 
@@ -183,7 +183,7 @@ def grid_search(spark, sf):
     d = stored(splits.stratified_folds(d, ["label"], "row_key", 42), "folds")
     log = {}
     for name, est, space, limit in (
-        ("logisticregression", models.logistic(1.0, 10000, 20), {"regParam": [0.0001, 0.01, 1.0]}, None),
+        ("logisticregression", models.logistic(1.0, d.count(), 20), {"regParam": [0.0001, 0.01, 1.0]}, None),
         ("randomforest", models.random_forest(4, 3), {"maxDepth": [2, 4], "numTrees": [3, 6]}, 3),
     ):
         _, tried = models.search(d, est, space, "fold", limit)
@@ -218,7 +218,8 @@ def permutation_importance(spark, sf):
     """Accuracy lost on a held-out fifth when one column is shuffled, mean over repeats, clipped and normalised."""
     w = wide(spark, sf).where("domain = 'static'")
     part = splits.stratified_split(w, ["label"], "row_key", 42, test=0.2, val=0)
-    m = models.logistic(1.0, 10000).fit(models.assemble(part.where("part = 'train'"), FEATURES))
+    train = models.assemble(part.where("part = 'train'"), FEATURES)
+    m = models.logistic(1.0, train.count()).fit(train)
     test = stored(part.where("part = 'test'").select("row_key", "label", *FEATURES), "test")
     right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
     base = m.transform(models.assemble(test, FEATURES)).agg(right.alias("base"))
@@ -392,7 +393,7 @@ def both_directions_cell(spark, sf):
     out = None
     for source, name in (("static", "SM"), ("mobile", "MS")):
         d = prepared(spark, sf, 42, source)
-        c = cell(d, models.logistic(1.0, 20000)).select(F.lit(name).alias("direction"), "part", "accuracy", "auc")
+        c = cell(d, models.logistic(1.0, d.where("part = 'train'").count())).select(F.lit(name).alias("direction"), "part", "accuracy", "auc")
         out = c if out is None else out.unionByName(c)
     at = lambda d, p: F.max(F.when((F.col("direction") == d) & (F.col("part") == p), F.col("accuracy")))
     r = out.agg(at("SM", "test").alias("acc_S"), at("MS", "test").alias("acc_M"), at("SM", "target").alias("acc_SM"), at("MS", "target").alias("acc_MS"))
@@ -411,7 +412,7 @@ def in_domain_pipeline(spark, sf):
     grown = stored(augment.smote(train, kept, "label", "row_key"), "grown")
     x, rest = models.assemble(grown, kept), models.assemble(z.where("part <> 'train'"), kept)
     out = None
-    for name, est in (("lr", models.logistic(1.0, 20000)), ("rf", models.random_forest(6, 5)), ("gbt", models.boosted(5, 3))):
+    for name, est in (("lr", models.logistic(1.0, grown.count())), ("rf", models.random_forest(6, 5)), ("gbt", models.boosted(5, 3))):
         s = stored(models.scored(est.fit(x), rest, ["part", F.col("label").cast("int").alias("y")]), "scored")
         t = metrics.best_threshold(s.where("part = 'val'"), [], "y", "score", grid=(10, 89)).select("t")
         test = s.where("part = 'test'").join(F.broadcast(t))

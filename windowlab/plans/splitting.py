@@ -323,7 +323,7 @@ def mutual_information(spark, sf):
              rk2="SELECT *, rank() OVER (PARTITION BY domain, method ORDER BY score DESC) + (count(*) OVER (PARTITION BY domain, method, score)-1)/2.0 AS rr FROM s",
              ag="SELECT domain, feature, avg(rr)::DOUBLE AS mean_rank FROM rk2 GROUP BY 1, 2",
              ps="SELECT *, row_number() OVER (PARTITION BY domain ORDER BY mean_rank, feature) AS position FROM ag")
-    + "SELECT domain, feature, round(mean_rank,6) AS mean_rank, position FROM ps WHERE position <= 4",
+    + "SELECT domain, feature, round(mean_rank,6) AS mean_rank, position FROM ps WHERE position <= 150",
 )
 def rank_aggregation(spark, sf):
     w = wide(spark, sf)
@@ -331,7 +331,7 @@ def rank_aggregation(spark, sf):
     f = selection.anova_f(w, ["domain"], WIDE_FEATURES, "label").select("domain", F.lit("f").alias("method"), "feature", F.round("f_score", 3).alias("score"))
     r = w.groupBy("domain").agg(*[F.abs(F.corr(c, "label")).alias(c) for c in WIDE_FEATURES]).unpivot(["domain"], WIDE_FEATURES, "feature", "s")
     r = r.select("domain", F.lit("corr").alias("method"), "feature", F.round("s", 6).alias("score"))
-    out = selection.aggregate_ranks(mi.unionByName(f).unionByName(r), ["domain"], 4)
+    out = selection.aggregate_ranks(mi.unionByName(f).unionByName(r), ["domain"], 150)
     return out.withColumn("mean_rank", F.round("mean_rank", 6))
 
 
@@ -349,11 +349,11 @@ def correlation_pairs_wide(spark, sf):
 @query(
     "feature_target_correlation", "M12",
     sql_with("wide", c=" UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c},label) AS r FROM wide" for c in WIDE_FEATURES))
-    + "SELECT feature, round(r,6) AS r FROM c ORDER BY abs(r) DESC, feature LIMIT 4",
+    + "SELECT feature, round(r,6) AS r FROM c ORDER BY abs(r) DESC, feature LIMIT 20",
 )
 def feature_target_correlation(spark, sf):
     w = wide(spark, sf).agg(*[F.corr(c, "label").alias(c) for c in WIDE_FEATURES]).unpivot([], WIDE_FEATURES, "feature", "r")
-    return w.orderBy(F.desc(F.abs("r")), "feature").limit(4).withColumn("r", F.round("r", 6))
+    return w.orderBy(F.desc(F.abs("r")), "feature").limit(20).withColumn("r", F.round("r", 6))
 
 
 # ---- stability selection --------------------------------------------------------
@@ -442,7 +442,7 @@ def split_artifacts(spark, sf):
     w, sp = wide(spark, sf), split(spark, sf, [42])
     tr = train_part(spark, sf).where("part = 'train'")
     scaler = scaling.fit_standard(tr, ["domain"], WIDE_FEATURES)
-    chosen = selection.filter_features(w, WIDE_FEATURES)
+    chosen = selection.filter_features(tr, WIDE_FEATURES)
     names = scaler.select("feature").distinct().where(F.col("feature").isin(*chosen))
     sinks.write_split_artifacts(sp, scaler, names, root)
     read = lambda x: spark.read.parquet(f"{root}/{x}")

@@ -207,8 +207,8 @@ _c = lambda m, t: f"count(*) FILTER (model='{m}' AND (score>={t}/100.0::DOUBLE)=
              ru=f"""SELECT direction, seed, run_id, count(*) FILTER (model='by_qty') AS n, {_c('by_qty', 't_src')} AS a4, {_c('by_disc', 't_src')} AS a33,
                {_c('by_qty', 't_orc')} AS o4, {_c('by_disc', 't_orc')} AS o33 FROM tt JOIN th USING ({K}) GROUP BY 1,2,3""",
              rp=sql_replicates(12345, N_AVG),
-             bx=f"SELECT *, {sql_key_code('seed', 'run_id')} AS x FROM ru",
-             bw=f"SELECT bx.*, rep, {sql_poisson(sql_poly_hash('x'))} AS w FROM bx, rp",
+             bx=f"SELECT *, {sql_key_code('seed', 'run_id')} FROM ru",
+             bw=f"SELECT bx.*, rep, {sql_poisson(sql_poly_hash())} AS w FROM bx, rp",
              g="SELECT direction, seed, rep, sum(w*n)::DOUBLE AS n, sum(w*(a4-a33))::DOUBLE AS t, sum(w*(o4-o33))::DOUBLE AS r FROM bw GROUP BY 1,2,3",
              l="""SELECT direction, rep, 'delta_total' AS component, avg(t/n) AS value FROM g GROUP BY 1,2 UNION ALL SELECT direction, rep, 'delta_ranking', avg(r/n) FROM g GROUP BY 1,2
                UNION ALL SELECT direction, rep, 'delta_threshold', avg((t-r)/n) FROM g GROUP BY 1,2""")

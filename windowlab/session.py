@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_dirs: dict[str, str] = {}
+
+
+def package_archive() -> str:
+    """The package as a zip for the executors' Python path."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="windowlab-package-"), "windowlab.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.join("windowlab", os.path.relpath(path, root)))
+    return target
+
+
 def build_session(app: str = "windowlab", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """A session with adaptive execution on; cluster settings win where already given."""
     b = (
@@ -23,18 +41,24 @@ def build_session(app: str = "windowlab", master: str | None = None, partitions:
         b = b.master(master).config("spark.driver.memory", "12g")
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    if not getattr(spark.sparkContext, "_windowlab_shipped", False):
+        spark.sparkContext.addPyFile(package_archive())
+        spark.sparkContext._windowlab_shipped = True
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests, one machine) is an own folder made, once per session.
+    Only a local session that names none (tests, one machine) gets an own folder; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = tempfile.mkdtemp(prefix="windowlab-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        named = _own_dirs.get(app) or _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="windowlab-"))
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -62,18 +86,3 @@ def core_count(spark: SparkSession) -> int:
     Adaptive coalescing and file packing size partitions by bytes and would leave most cores idle.
     """
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-SMALL_SPLITS = 32
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a table of few file splits over the cores.
-
-    A small file is one or two splits and would be worked on by as many tasks.  Only tables below
-    ``SMALL_SPLITS`` splits (a few GB) are touched; larger ones bring enough splits and are read in place.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < min(cores, SMALL_SPLITS):
-        return df.repartition(min(cores, SMALL_SPLITS))
-    return df
