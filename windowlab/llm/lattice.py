@@ -267,7 +267,7 @@ def score(docs: DataFrame, path: str, train: Column, id_col: str = "doc_id", tex
                 k = np.minimum(np.searchsorted(codes, h), max(len(codes) - 1, 0))
                 hit = codes[k] == h if len(codes) else np.zeros(len(h), bool)
                 k = np.where(hit, k, len(codes))
-                got = [np.bincount(w.row, t[k], w.rows) for t in tables]
+                got = [np.bincount(w.row, t[k], w.rows).astype(float) for t in tables]
                 rest, row = h[~hit], w.row[~hit]
                 ends_at = np.searchsorted(row, np.arange(w.rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
