@@ -8,9 +8,9 @@
 3. Between regions that share a cell only pivots are compared.  By the triangle inequality members can be linked only if
    d(p, q) <= limit + radius(p) + radius(q).  What passes is joined again member by member, with the windows
    d(x, q) <= limit + radius(q) and |d(x, p) - d(y, p)| <= limit.
-4. A cell of very many regions is left out of step 3; a pair that shares only such cells consists of two sets most of whose
-   window lies in such cells.  Those sets are split by pivots again, recursively, with windows of twice the limit
-   around the nearest pivot, until the parts are small.
+4. A cell of very many regions is left out of step 3.  Fresh pivots first connect the dense groups in such cells.  A pair
+   that shares only such cells consists of two sets with ``need`` of them each: those sets draw their cells again, rarest
+   shingles first, and meet there, where sizes, places and bitmaps allow a link.
 
 Equal sets are one set throughout, and sets known to be connected are not compared again, so a group of copies costs
 its size and not its square, while no link between different texts is lost.  Sets are told apart by 64-bit hashes.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from windowlab.llm.arrays import Words, mix, pieces, shingles, text_bytes
 from windowlab.llm.graph import components, jump
@@ -37,7 +37,10 @@ PERCENT = 75
 LIMIT = 0.25
 #: Regions of one cell that are compared pairwise; cells with more are split by pivots first.
 CELL_REGIONS = 64
-SPLIT_PIVOTS, MAX_DEPTH = 8, 6
+#: Bits of the bitmap that bounds a distance before whole sets are compared.
+BITS = 1024
+#: Rounds of fresh pivots that connect dense groups before crowded cells are joined; any number gives the same result.
+MERGE_ROUNDS = 4
 
 
 def least_common(n):
@@ -92,6 +95,20 @@ def read_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, extend(docs.select("id"), "key bigint, n bigint, low array<bigint>"))
 
 
+def parities(h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A bitmap of every set: bit i is the parity of its members in slot i.  Two bitmaps differ in at most as many bits as the sets differ in members."""
+    row = np.repeat(np.arange(len(n)), n)
+    odd = np.bincount(row * BITS + (h & np.uint64(BITS - 1)).astype(np.int64), minlength=len(n) * BITS) & 1
+    words = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (BITS // 64)), pa.array(words))
+
+
+def least_distance(a: str, b: str, na: str, nb: str) -> Column:
+    """A lower bound of the distance of two sets from their bitmaps and sizes."""
+    differ = sum((F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    return 2 * differ / (F.col(na) + F.col(nb) + differ)
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(key, members) of the wanted (id, key); rows of other ids are left out before the shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "id"))
@@ -101,44 +118,50 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             batch = batch.filter(pa.array(in_filter(np.asarray(batch.column("slot")), held.value)))
             for piece in pieces(batch, "text"):
                 h, first, n = set_rows(piece, size)
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(set_keys(h, first, n)), lists(h, first, n)], ["id", "key", "members"])
+                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(set_keys(h, first, n)), lists(h, first, n), parities(h, n)], ["id", "key", "members", "bits"])
 
-    made = docs.select("id", filter_slot("id").alias("slot"), "text").mapInArrow(run, extend(docs.select("id"), "key bigint, members array<bigint>"))
-    return made.join(wanted.select("id", "key"), ["id", "key"]).select("key", "members")
+    made = docs.select("id", filter_slot("id").alias("slot"), "text").mapInArrow(run, extend(docs.select("id"), "key bigint, members array<bigint>, bits array<bigint>"))
+    return made.join(wanted.select("id", "key"), ["id", "key"]).select("key", "members", "bits")
 
 
 def shared_cells(rows: DataFrame) -> DataFrame:
-    """(token, key, n) of the cells that hold at least two different sets; a cell streams through, whatever its size."""
+    """(token, key) of the cells that hold at least two different sets; a cell streams through, whatever its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, shared = None, False  # the last row, and whether its cell has an earlier one
         for batch in batches:
-            t, k, n = (np.asarray(batch.column(c)) for c in ("token", "key", "n"))
+            t, k = (np.asarray(batch.column(c)) for c in ("token", "key"))
             if held is not None:
-                t, k, n = (np.concatenate([[a], b]) for a, b in zip(held, (t, k, n)))
+                t, k = (np.concatenate([[a], b]) for a, b in zip(held, (t, k)))
             if not len(t):
                 continue
             new = np.ones(len(t), bool)
             new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-            t, k, n = t[new], k[new], n[new]
+            t, k = t[new], k[new]
             same = np.zeros(len(t) + 1, bool)
             same[1:-1] = t[1:] == t[:-1]
             same[0] = shared
             keep = (same[:-1] | same[1:])[:-1]
-            held, shared = (t[-1], k[-1], n[-1]), bool(same[-2])
+            held, shared = (t[-1], k[-1]), bool(same[-2])
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (t, k, n)], ["token", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (t, k)], ["token", "key"])
         if held is not None and shared:
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held], ["token", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held], ["token", "key"])
+
+    return rows.repartition(partitions(rows.sparkSession), "token").sortWithinPartitions("token", "key").mapInArrow(run, "token bigint, key bigint")
 
-    return rows.repartition(partitions(rows.sparkSession), "token").sortWithinPartitions("token", "key").mapInArrow(run, "token bigint, key bigint, n bigint")
 
+def measured(pairs: DataFrame, sets: DataFrame, most: Column) -> DataFrame:
+    """The pairs (a, b, ...) at a distance ``d`` of at most ``most``, with ``common`` and ``total`` (sizes of intersection and union).
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Add ``common`` and ``total`` (sizes of intersection and union) to the pairs (a, b, ...)."""
-    a, b = sets.select(F.col("key").alias("a"), F.col("members").alias("_a")), sets.select(F.col("key").alias("b"), F.col("members").alias("_b"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("_a", "_b")).cast("bigint"))
-    return both.withColumn("total", F.size("_a") + F.size("_b") - F.col("common")).drop("_a", "_b").withColumn("d", 1 - F.col("common") / F.col("total"))
+    Bitmaps leave out most of the others before whole sets are moved.
+    """
+    side = lambda k, c: sets.select(F.col("key").alias(k), c.alias(f"_{k}{k}"), F.size("members").alias(f"_n{k}"))
+    near = pairs.join(side("a", F.col("bits")), "a").join(side("b", F.col("bits")), "b").filter(least_distance("_aa", "_bb", "_na", "_nb") <= most + 1e-9)
+    near = near.drop("_aa", "_bb", "_na", "_nb")
+    both = near.join(side("a", F.col("members")), "a").join(side("b", F.col("members")), "b").withColumn("common", F.size(F.array_intersect("_aa", "_bb")).cast("bigint"))
+    both = both.withColumn("total", F.col("_na") + F.col("_nb") - F.col("common")).drop("_aa", "_bb", "_na", "_nb")
+    return both.withColumn("d", 1 - F.col("common") / F.col("total")).filter(F.col("d") <= most + 1e-9)
 
 
 def linked() -> Column:
@@ -150,35 +173,62 @@ def near_sizes(a: str, b: str) -> Column:
     return (100 * F.col(a) >= PERCENT * F.col(b)) & (100 * F.col(b) >= PERCENT * F.col(a))
 
 
-def split_hot(hot: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) inside crowded cells, by recursive pivots: rows (token, key, n) to candidate pairs.
+def needed_cells(a: str, b: str) -> Column:
+    """Cells that two linked sets of these sizes share at least: of their ceil(3/7 (a + b)) common shingles, those that
+    stand in the shorter window of the two; never less than ``need_of`` of either size."""
+    return F.expr(f"(3 * ({a} + {b}) + 6) div 7 + least(1 + {a} div 10 - ({PERCENT} * {a} + 99) div 100, 1 + {b} div 10 - ({PERCENT} * {b} + 99) div 100)")
 
-    A part is split around pivots drawn by hash: a set is native to its nearest pivot and a guest wherever
-    d(x, q) <= d(x, nearest) + 2 * limit; every link has a part where one end is native and both are present.
+
+def merge_dense(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """(links, (root, top)): groups of near copies in crowded cells (token, key, root), connected by fresh pivots.
+
+    Every round draws one pivot per cell; a set tries the pivot of another root that it shares most cells with.  The work
+    is one comparison per set and round, and what is connected here is not compared in pairs later.
+    """
+    links, top, spark = None, None, rows.sparkSession
+    for k in range(MERGE_ROUNDS):
+        drawn = rows.groupBy("token").agg(F.min_by(F.struct(F.col("key").alias("b"), F.col("root").alias("rb")), F.xxhash64("key", F.lit(k))).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        tried = rows.join(drawn.filter("lo <> hi").select("token", "p.b", "p.rb"), "token").filter("root <> rb").groupBy("key", "root", "b", "rb").agg(F.count("*").alias("c"))
+        best = tried.groupBy("key", "root").agg(F.max(F.struct("c", "b", "rb")).alias("x")).select(F.col("key").alias("a"), F.col("x.b").alias("b"), F.col("root").alias("ra"), F.col("x.rb").alias("rb"))
+        found = stored(measured(best, sets, F.lit(LIMIT)).filter(linked()).select("a", "b", "ra", "rb"), "found")
+        links = found.select("a", "b") if links is None else links.unionByName(found.select("a", "b"))
+        up = components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        if not up.limit(1).count():
+            break
+        rows = stored(rows.join(up, "root", "left").select("token", "key", F.coalesce("top", "root").alias("root")), "merged")
+        if top is None:
+            top = up
+        else:
+            top = stored(top.join(up.select(F.col("root").alias("top"), F.col("top").alias("higher")), "top", "left").select("root", F.coalesce("higher", "top").alias("top")).unionByName(up.join(top.select("root"), "root", "left_anti")), "top")
+    return links, top if top is not None else spark.createDataFrame([], "root bigint, top bigint")
+
+
+def split_hot(heavy: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, candidate pairs): both (a, b), of sets (key, n, root) that may meet in crowded cells only; equal roots are not paired.
+
+    The cells are drawn once more, from the whole sets, rarest shingle first: linked sets still meet in the first quarter.
+    A pair must fit the place of the shingle in both sets, their sizes and the distance that their bitmaps allow.
     """
-    spark = hot.sparkSession
-    parts = stored(hot.select(F.col("token").cast("string").alias("part"), "key", "n", F.lit(True).alias("native")), "part")
-    out, last = None, None
-    for depth in range(MAX_DEPTH):
-        sizes = stored(parts.groupBy("part").agg(F.count("*").alias("m")), "sizes")
-        crowded = sizes.filter(F.col("m") > CELL_REGIONS)
-        total = sizes.agg(F.max("m")).first()[0]
-        done = depth == MAX_DEPTH - 1 or total is None or total <= CELL_REGIONS or total == last
-        last = total
-        leaf = parts if done else parts.join(crowded.select("part"), "part", "left_anti")
-        x, y = leaf.select("part", F.col("key").alias("a"), F.col("n").alias("na"), F.col("native").alias("va")), leaf.select("part", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("native").alias("vb"))
-        pairs = x.join(y, "part").filter((F.col("a") < F.col("b")) & (F.col("va") | F.col("vb")) & near_sizes("na", "nb")).select("a", "b").distinct()
-        out = stored(pairs if out is None else out.unionByName(pairs), "pairs")
-        if done:
-            return out.distinct()
-        busy = parts.join(crowded.select("part"), "part")
-        ranked = busy.filter("native").groupBy("part").agg(F.array(*[F.min_by("key", F.xxhash64("key", F.lit(depth * SPLIT_PIVOTS + k))) for k in range(SPLIT_PIVOTS)]).alias("p"))
-        pivots = ranked.select("part", F.explode(F.array_distinct("p")).alias("b"))
-        far = measured(busy.select("part", F.col("key").alias("a"), "n", "native").join(pivots, "part"), sets)
-        near = Window.partitionBy("part", "a")
-        far = far.withColumn("best", F.min(F.struct("d", "b")).over(near)).filter(F.col("d") <= F.col("best.d") + 2 * LIMIT)
-        parts = stored(far.select(F.concat_ws("/", "part", "b").alias("part"), F.col("a").alias("key"), "n", (F.col("native") & (F.col("best.b") == F.col("b"))).alias("native")), "part")
-    return out if out is not None else spark.createDataFrame([], "a bigint, b bigint")
+    window = F.expr(f"cast(n - (({PERCENT} * n + 99) div 100) + 1 as int)")
+    tokens = stored(sets.join(heavy, "key").select("key", "n", "root", F.explode("members").alias("token")), "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    low = tokens.join(often, "token").groupBy("key", "n", "root").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("all"))
+    cells = low.select("key", "n", "root", F.posexplode(F.slice("all", F.lit(1), window)).alias("before", "t")).filter("t.often > 1")
+    # with ``before`` shingles ahead of the first common one, n - before bounds the intersection, ceil(3/7 (n + m));
+    # so of two linked sets at least one has 7 * before <= n
+    cells = stored(cells.select(F.col("t.token").alias("token"), "key", "n", "before", (7 * F.col("before") <= F.col("n")).alias("early"), "root"), "cells")
+    links, top = merge_dense(cells.select("token", "key", "root"), sets)
+    cells = stored(cells.join(top, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"), "cells")
+    by_root = cells.groupBy("token", "root").agg(F.count("*").alias("c"), F.max("early").alias("any"))
+    useful = by_root.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.max("any").alias("any")).filter("roots > 1 and any")
+    cells = cells.join(useful.select("token", "main"), "token").join(sets.select("key", "bits"), "key")
+    # of two roots in a cell at least one is not its largest
+    x, y = (cells.select("token", "main", *(F.col(c).alias(k + c) for c in ("key", "n", "before", "early", "root", "bits"))) for k in "xy")
+    fits = lambda k: 7 * (F.col(f"{k}n") - F.col(f"{k}before")) >= 3 * (F.col("xn") + F.col("yn"))
+    met = x.filter("xroot <> main").drop("main").join(y.drop("main"), "token").filter(
+        (F.col("xroot") != F.col("yroot")) & (F.col("xearly") | F.col("yearly")) & near_sizes("xn", "yn") & fits("x") & fits("y") & (least_distance("xbits", "ybits", "xn", "yn") <= LIMIT + 1e-9)
+    )
+    return links, met.select(F.least("xkey", "ykey").alias("a"), F.greatest("xkey", "ykey").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -192,14 +242,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         for batch in batches:
             yield batch.filter(pa.array(in_filter(np.asarray(batch.column("slot")), reps.value)))
 
-    once = made.filter("n > 0").select(filter_slot("id").alias("slot"), "key", "n", "low")
+    once = made.filter("n > 0").select(filter_slot("id").alias("slot"), "key", "low")
     once = once.mapInArrow(first_only, once.schema)
-    cells = stored(shared_cells(once.select(F.explode("low").alias("token"), "key", "n")), "cells")
+    cells = stored(shared_cells(once.select(F.explode("low").alias("token"), "key")), "cells")
 
     # sets that share too few cells have no links; what is left is cells between the others
-    small = F.expr(f"1 + (({PERCENT} * n + 99) div 100) div 10")
-    counts = cells.groupBy("key", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= small)
-    live = stored(counts.join(keys.select("key", "id"), "key").select("key", "n", "id"), "live")
+    small = F.expr("1 + n div 10")
+    counts = cells.groupBy("key").agg(F.count("*").alias("c"))
+    live = stored(counts.join(keys.select("key", "id", "n"), "key").filter(F.col("c") >= small).select("key", "n", "id"), "live")
     cells = cells.join(live.select("key"), "key", "left_semi")
     pivot = cells.groupBy("token").agg(F.min("key").alias("pivot"), F.count("*").alias("m")).filter("m > 1")
     cells = stored(cells.join(pivot.select("token", "pivot"), "token"), "cells")
@@ -207,7 +257,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 
     # regions
     best = cells.filter("key <> pivot").groupBy("key", "pivot").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", F.col("pivot"))).alias("b"))
-    homes = stored(measured(best.select(F.col("key").alias("a"), F.col("b.pivot").alias("b")), sets).filter(linked()).select("a", "b", "d"), "homes")
+    homes = stored(measured(best.select(F.col("key").alias("a"), F.col("b.pivot").alias("b")), sets, F.lit(LIMIT)).filter(linked()).select("a", "b", "d"), "homes")
     heads = homes.groupBy("b").agg(F.max("d").alias("radius"))
     roots = jump(stored(homes.select(F.col("a").alias("node"), F.col("b").alias("parent")), "homes"))
     region = live.select("key", "n").join(homes.select(F.col("a").alias("key"), F.col("b").alias("home"), "d"), "key", "left").join(heads.select(F.col("b").alias("key"), "radius"), "key", "left")
@@ -220,38 +270,52 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 
     # cells that connect regions of different roots
     placed = cells.select("token", "key").join(region.select("key", "n", "region", "root"), "key")
-    crossing = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.approx_count_distinct("region").alias("regions")).filter("lo <> hi")
-    placed = stored(placed.join(crossing.select("token", (F.col("regions") > CELL_REGIONS).alias("hot")), "token"), "placed")
+    wide = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.approx_count_distinct("region").alias("regions")).filter("lo <> hi")
+    placed = stored(placed.join(wide.select("token", (F.col("regions") > CELL_REGIONS).alias("hot")), "token"), "placed")
+    merged = None
+    if placed.filter("hot").limit(1).count():
+        merged, top = merge_dense(placed.filter("hot").select("token", "key", "root"), sets)
+        region = stored(region.join(top, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"), "region")
+        placed = stored(placed.drop("root").join(region.select("key", "root"), "key"), "placed")
     calm = placed.filter("not hot").select("token", "region", "root").distinct()
+    # two sets share at least ``need`` cells; what their regions share, hot cells included, bounds that
+    heat = placed.filter("hot").groupBy("key").agg(F.count("*").alias("h"))
+    bound = region.join(heat, "key", "left").groupBy("region").agg(F.min(small).alias("need"), F.max(F.coalesce("h", F.lit(0))).alias("h"), F.min("n").alias("n"), F.max("n").alias("most"))
     x, y = (calm.select("token", F.col("region").alias(a), F.col("root").alias(r)) for a, r in (("a", "ra"), ("b", "rb")))
-    pairs = x.join(y, "token").filter("a < b and ra <> rb").select("a", "b").distinct()
-    heavy = placed.filter("hot").groupBy("key").agg(F.count("*").alias("h"), F.first("n").alias("n")).filter(F.col("h") >= small)
-    hot = placed.filter("hot").join(heavy.select("key"), "key", "left_semi").select("token", "key", "n")
+    pairs = x.join(y, "token").filter("a < b and ra <> rb").groupBy("a", "b").agg(F.count("*").alias("c"))
+    side = lambda k: bound.select(F.col("region").alias(k), *(F.col(c).alias(c + k) for c in ("need", "h", "n", "most")))
+    needed = F.when((F.col("na") == F.col("mosta")) & (F.col("nb") == F.col("mostb")), F.when(near_sizes("na", "nb"), needed_cells("na", "nb"))).otherwise(F.least("needa", "needb"))
+    pairs = stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(F.col("c") + F.least("ha", "hb") >= needed).select("a", "b"), "pairs")
+    heavy = stored(heat.join(region.select("key", "n", "root"), "key").filter(F.col("h") >= small).select("key", "n", "root"), "heavy")
     radius = region.filter("key = region").select("key", "radius")
-    near = measured(pairs, sets).join(radius.select(F.col("key").alias("a"), F.col("radius").alias("ra")), "a").join(radius.select(F.col("key").alias("b"), F.col("radius").alias("rb")), "b")
-    near = stored(near.filter(F.col("d") <= LIMIT + F.col("ra") + F.col("rb") + 1e-9), "near")
-    links = stored(homes.select("a", "b").unionByName(near.filter(linked()).select("a", "b")), "links")
+    placed_pairs = pairs.join(radius.select(F.col("key").alias("a"), F.col("radius").alias("ra")), "a").join(radius.select(F.col("key").alias("b"), F.col("radius").alias("rb")), "b")
+    near = stored(measured(placed_pairs, sets, LIMIT + F.col("ra") + F.col("rb")), "near")
+    links = homes.select("a", "b").unionByName(near.filter(linked()).select("a", "b"))
+    links = stored(links if merged is None else links.unionByName(merged), "links")
+
+    joined = components(links)
 
     # members of neighbouring regions that are still apart
     open_ = near.filter(~linked() & ((F.col("ra") > 0) | (F.col("rb") > 0)))
     if open_.limit(1).count():
-        joined = components(links)
         root = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
         apart = open_.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "ra", "rb")
         apart = stored(apart, "apart")
         m = region.select("region", "key", "n", F.col("d").alias("own"))
         left = apart.join(m.select(F.col("region").alias("a"), F.col("key").alias("x"), F.col("n").alias("nx"), F.col("own").alias("xa")), "a")
         right = apart.join(m.select(F.col("region").alias("b"), F.col("key").alias("y"), F.col("n").alias("ny"), F.col("own").alias("yb")), "b")
-        left = measured(left.select(F.col("x").alias("a"), "b", F.col("a").alias("p"), F.col("b").alias("q"), "nx", "xa", "rb"), sets).filter(F.col("d") <= LIMIT + F.col("rb") + 1e-9)
-        right = measured(right.select(F.col("y").alias("b"), "a", F.col("a").alias("p"), F.col("b").alias("q"), "ny", "yb", "ra"), sets).filter(F.col("d") <= LIMIT + F.col("ra") + 1e-9)
+        left = measured(left.select(F.col("x").alias("a"), "b", F.col("a").alias("p"), F.col("b").alias("q"), "nx", "xa", "rb"), sets, LIMIT + F.col("rb"))
+        right = measured(right.select(F.col("y").alias("b"), "a", F.col("a").alias("p"), F.col("b").alias("q"), "ny", "yb", "ra"), sets, LIMIT + F.col("ra"))
         left, right = stored(left.select("p", "q", F.col("a").alias("x"), "nx", "xa", F.col("d").alias("xb"), "common", "total"), "left"), stored(right.select("p", "q", F.col("b").alias("y"), "ny", "yb", F.col("d").alias("ya"), "common", "total"), "right")
         links = links.unionByName(left.filter(linked()).select(F.col("x").alias("a"), F.col("q").alias("b"))).unionByName(right.filter(linked()).select(F.col("y").alias("a"), F.col("p").alias("b")))
         inner = left.drop("common", "total").join(right.drop("common", "total"), ["p", "q"]).filter(
             near_sizes("nx", "ny") & (F.abs(F.col("xa") - F.col("ya")) <= LIMIT + 1e-9) & (F.abs(F.col("xb") - F.col("yb")) <= LIMIT + 1e-9) & (F.col("x") != F.col("y"))
         )
-        links = links.unionByName(measured(inner.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets).filter(linked()).select("a", "b"))
-    if heavy.limit(1).count():
-        links = links.unionByName(measured(split_hot(stored(hot, "hot"), sets), sets).filter(linked()).select("a", "b"))
+        links = links.unionByName(measured(inner.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets, F.lit(LIMIT)).filter(linked()).select("a", "b"))
+    heavy = heavy.drop("root").join(joined.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    if heavy.limit(2).count() > 1:
+        more, pairs = split_hot(heavy, sets)
+        links = links.unionByName(more).unionByName(measured(pairs, sets, F.lit(LIMIT)).filter(linked()).select("a", "b"))
 
     joined = components(links)
     labels = keys.join(joined.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "id", "copies", F.coalesce("root", "key").alias("root"))
