@@ -237,7 +237,7 @@ def score(docs: DataFrame, path: str, train: Column, id_col: str = "doc_id", tex
     share = 1.0 / max(sum(start.values()), 1e-300)
     weights = {p: fitted.get(p, 0.0) + v * share for p, v in start.items()} | {p: v for p, v in fitted.items() if p not in start}
     model = spark.sparkContext.broadcast((weights, n + 0.2))
-    new = types / (tokens + types) if tokens else 1.0
+    new = types / (tokens + types) if tokens else 0.5  # without training rows a token is an end or a new word alike
     denominator = math.log10(tokens + types + 1)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +255,7 @@ def score(docs: DataFrame, path: str, train: Column, id_col: str = "doc_id", tex
     top = judged.orderBy(F.desc("seen"), "code").limit(frequent).select("code", (F.col("trained") > 0).alias("known"), "base", "score").toPandas().sort_values("code")
     head = spark.sparkContext.broadcast(tuple(top[c].to_numpy() for c in ("code", "known", "base", "score")))
     end_base = math.log10(ends + 1)
-    end_score = math.log10((1 - new) * ends / tokens) if ends else math.log10(new)
+    end_score = math.log10((1 - new) * ends / tokens) if ends else math.log10(0.5)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, known, base, value = head.value
