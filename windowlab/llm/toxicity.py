@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and their beginnings of four to six bytes (stems), so that inflected forms of a known word meet it.
-At most ``SAMPLE`` labelled rows (the first in order of a hash of their id) are the examples; the terms that tell their
-classes apart (likelihood ratio, at least ``LIFT`` times more or less often) are the vocabulary, at most ``TERMS``.
+At most ``SAMPLE`` labelled rows (the first in order of a hash of their id) are the examples; terms that toxic examples hold
+at least ``LIFT`` times as often as others (and significantly so) are the vocabulary, at most ``TERMS``.
 Document frequencies are counted over all rows.
 
 The index keeps, for every term and block of examples, the largest weight.  A query adds these up to a bound for
@@ -28,6 +28,8 @@ from windowlab.llm.arrays import BYTE_CODE, LOWER, Words, mix, pieces, powers, t
 from windowlab.llm.store import extend
 
 SAMPLE, TERMS, LIFT, LEAST_ROWS = 20_000, 4096, 3.0, 4
+#: Likelihood ratio (twice its logarithm) that a term must reach: chance alone reaches it once in ten thousand terms.
+SIGNIFICANT = 15.0
 NEIGHBOURS, BLOCK = 15, 64
 #: Weight of the prior, in units of a neighbour with cosine 1.
 PRIOR_WEIGHT = 1.0
@@ -93,14 +95,25 @@ class BlockMax:
         bound = weight @ self.most[term]
         self.dense[term] = weight
         ids, values, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(ids) == k and bound[b] < least - 1e-12):
-                break
-            lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.toxic))
-            a, z = self.first[lo], self.first[hi]
-            got = np.bincount(np.repeat(np.arange(hi - lo), np.diff(self.first[lo : hi + 1])), self.weight[a:z] * self.dense[self.term[a:z]], hi - lo)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        at, step = 0, 4
+        while at < len(order):
+            # the next few blocks at once: more of them each time
+            now = order[at : at + step]
+            if len(ids) == k:
+                now = now[bound[now] >= least - 1e-12]
+                if not len(now):
+                    break
+            at, step = at + step, 2 * step
+            rows = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            rows = rows[rows < len(self.toxic)]
+            size = self.first[rows + 1] - self.first[rows]
+            ends = np.cumsum(size)
+            take = np.repeat(self.first[rows] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+            got = np.bincount(np.repeat(np.arange(len(rows)), size), self.weight[take] * self.dense[self.term[take]], len(rows))
             on = np.flatnonzero(got > 0)
-            ids, values = np.concatenate([ids, on + lo]), np.concatenate([values, got[on]])
+            ids, values = np.concatenate([ids, rows[on]]), np.concatenate([values, got[on]])
             best = np.lexsort((ids, -np.round(values, 12)))[:k]
             ids, values = ids[best], values[best]
             least = values[-1] if len(ids) == k else 0.0
@@ -116,7 +129,7 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 
 
 def choose_terms(taught: DataFrame, most: int) -> np.ndarray:
-    """Hashes of the terms that tell the classes apart, sorted."""
+    """Hashes of the terms that mark toxic examples, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,9 +147,9 @@ def choose_terms(taught: DataFrame, most: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     held = taught.select("toxic", "text").mapInArrow(run, "code bigint, p bigint, m bigint").groupBy("code").agg(F.sum("p").alias("p"), F.sum("m").alias("m")).filter(F.col("m") >= LEAST_ROWS)
     p, n = (F.col("p") + 0.5) / (p0 + 1), (F.col("m") - F.col("p") + 0.5) / (n0 + 1)
-    lift = F.greatest(p / n, n / p)
+    lift = p / n
     ratio = F.col("p") * F.log(p / ((F.col("m") + 1) / (p0 + n0 + 2))) + (F.col("m") - F.col("p")) * F.log(n / ((F.col("m") + 1) / (p0 + n0 + 2)))
-    got = held.filter(lift >= LIFT).orderBy(F.desc(F.round(ratio, 9)), "code").limit(most).select("code").toPandas()
+    got = held.filter((lift >= LIFT) & (2 * ratio >= SIGNIFICANT)).orderBy(F.desc(F.round(ratio, 9)), "code").limit(most).select("code").toPandas()
     return np.sort(got["code"].to_numpy().astype(np.int64).view(np.uint64))
 
 
