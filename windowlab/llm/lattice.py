@@ -6,7 +6,7 @@ of the training rows (forward and backward) fits them to the corpus.  A word tha
 probability mixes its share of the training tokens with the lattice by the share of tokens that were new types
 (Witten-Bell), so the lattice carries exactly the mass of unseen words.
 
-Words are counted by hash before anything is shuffled.  The most frequent ``FREQUENT`` words (a fixed number) are sent to
+Words are counted by hash before anything is shuffled.  The most frequent words (at most ``FREQUENT``) are sent to
 all tasks; the others meet their counts in a join in which no word can weigh more than the least frequent of those.
 
 Results: null text has only the end token; rows with a null id are training rows; with no training rows all counts are
@@ -252,7 +252,15 @@ def score(docs: DataFrame, path: str, train: Column, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column("code"), batch.column("trained"), batch.column("seen"), pa.array(np.log10(c + 1)), pa.array(both)], ["code", "trained", "seen", "base", "score"])
 
     judged = stored(words.mapInArrow(judge, "code bigint, trained bigint, seen bigint, base double, score double"), "judged")
-    top = judged.orderBy(F.desc("seen"), "code").limit(frequent).select("code", (F.col("trained") > 0).alias("known"), "base", "score").toPandas().sort_values("code")
+    # the largest power of two of counts that at most ``frequent`` words reach: no task sends more than its share of them
+    steps = judged.groupBy(F.floor(F.log2("seen")).alias("step")).count().collect()
+    least, held = 62, 0
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        held += r["count"]
+        if held > frequent:
+            break
+        least = r["step"]
+    top = judged.filter(F.col("seen") >= 2**least).select("code", (F.col("trained") > 0).alias("known"), "base", "score").toPandas().sort_values("code")
     head = spark.sparkContext.broadcast(tuple(top[c].to_numpy() for c in ("code", "known", "base", "score")))
     end_base = math.log10(ends + 1)
     end_score = math.log10((1 - new) * ends / tokens) if ends else math.log10(0.5)
