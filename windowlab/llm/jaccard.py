@@ -82,17 +82,34 @@ def lists(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.Array:
 
 
 def read_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(id, key, n, low): the key of the set, its size and the shingles of its window."""
+    """(id, key, n): the key of the set and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 h, first, n = set_rows(piece, size)
-                small = least_common(n)
-                low = np.minimum(n, n - small + need_of(n)) * (n > 0)
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(set_keys(h, first, n)), pa.array(n.astype(np.int64)), lists(h, first, low)], ["id", "key", "n", "low"])
+                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(set_keys(h, first, n)), pa.array(n.astype(np.int64))], ["id", "key", "n"])
 
-    return docs.mapInArrow(run, extend(docs.select("id"), "key bigint, n bigint, low array<bigint>"))
+    return docs.mapInArrow(run, extend(docs.select("id"), "key bigint, n bigint"))
+
+
+def window_cells(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(token, key): the shingles of each set's window, read from one text of every set (``wanted`` has its id).
+
+    Texts are hashed a second time, which costs less than to keep the windows of all rows on disk.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(in_filter(np.asarray(batch.column("slot")), held.value)))
+            for piece in pieces(batch, "text"):
+                h, first, n = set_rows(piece, size)
+                low = np.minimum(n, n - least_common(n) + need_of(n)) * (n > 0)
+                tokens = lists(h, first, low)
+                yield pa.RecordBatch.from_arrays([tokens.flatten(), pa.array(np.repeat(set_keys(h, first, n), low))], ["token", "key"])
+
+    return docs.select(filter_slot("id").alias("slot"), "text").mapInArrow(run, "token bigint, key bigint")
 
 
 def parities(h: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -236,15 +253,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     made = stored(read_sets(docs, size), "sets")
     keys = stored(made.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("copies")), "keys")
-    reps = docs.sparkSession.sparkContext.broadcast(id_filter(keys, "id"))
-
-    def first_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_filter(np.asarray(batch.column("slot")), reps.value)))
-
-    once = made.filter("n > 0").select(filter_slot("id").alias("slot"), "key", "low")
-    once = once.mapInArrow(first_only, once.schema)
-    cells = stored(shared_cells(once.select(F.explode("low").alias("token"), "key")), "cells")
+    cells = stored(shared_cells(window_cells(docs, keys, size)), "cells")
 
     # sets that share too few cells have no links; what is left is cells between the others
     small = F.expr("1 + n div 10")
