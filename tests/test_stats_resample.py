@@ -31,6 +31,13 @@ def test_variance_ratio_ignores_single_window_runs(spark):
     assert abs(r["var_within"] - 5.0) < 1e-12 and abs(r["var_between"] - np.var([2, 6, 9], ddof=1)) < 1e-12
 
 
+def test_failing_share(spark):
+    imp = spark.createDataFrame([("m", "a", 3.0), ("m", "b", 1.0), ("m", "c", None), ("m", "d", 4.0), ("z", "a", 0.0)], "method string, feature string, importance double")
+    ratio = spark.createDataFrame([("a", False), ("b", True), ("c", False), ("e", False)], "feature string, passes boolean")
+    r = {x["method"]: x for x in stats.failing_share(imp, ratio, ["method"]).collect()}
+    assert r["m"]["n_failing"] == 2 and abs(r["m"]["failing_share"] - 3 / 8) < 1e-12 and r["z"]["failing_share"] is None
+
+
 def test_wasserstein(spark):
     rng = np.random.default_rng(4)
     a, b = np.round(rng.normal(size=300), 2), np.round(rng.normal(0.5, 2, 300), 2)

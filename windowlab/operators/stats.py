@@ -173,6 +173,20 @@ def variance_ratio(df: DataFrame, parts: Sequence[str], run: str, features: Sequ
     )
 
 
+def failing_share(imp: DataFrame, ratio: DataFrame, keys: Sequence[str], value: str = "importance") -> DataFrame:
+    """Part of all importance that features failing the variance ratio hold, one row per key.
+
+    ``imp`` has (keys, feature, value), ``ratio`` (a subset of keys, feature, passes) as ``variance_ratio`` gives it.  A feature
+    without a ratio does not fail; null importances count nothing; where no importance is left the share is null.
+    """
+    on = [k for k in keys if k in ratio.columns] + ["feature"]
+    fails = F.coalesce(~F.col("passes"), F.lit(False))
+    sums = imp.join(ratio.select(*on, "passes"), on, "left").groupBy(*keys).agg(
+        F.count(F.when(fails, 1)).alias("n_failing"), F.sum(F.when(fails, F.col(value)).otherwise(0.0)).alias("_f"), F.sum(value).alias("_t")
+    )
+    return sums.select(*keys, "n_failing", F.when(F.col("_t") > 0, F.col("_f") / F.col("_t")).alias("failing_share"))
+
+
 def wasserstein_from_counts(counts: DataFrame, keys: Sequence[str], value: str, points: Sequence[float] | None = None) -> DataFrame:
     """W1 distance of two samples given as counts ``a`` and ``b`` per distinct value: the integral of |F - G|.
 

@@ -138,6 +138,25 @@ def variance_decomposition(spark, sf):
     return v.select("domain", "feature", F.round("ratio", 5).alias("ratio"), "passes")
 
 
+@query(
+    "failing_feature_share", "X15",
+    sql_with("wide", wr="SELECT *, CAST(CAST(run_id AS BIGINT) % 7 AS DOUBLE) AS run_setting FROM wide",
+             u=" UNION ALL ".join(f"SELECT domain, run_id, label, '{c}' AS feature, {c} AS x FROM wr" for c in [*FEATURES, "run_setting"]),
+             r="SELECT domain, feature, run_id, var_samp(x) AS w, avg(x) AS b FROM u GROUP BY 1,2,3",
+             v="SELECT domain, feature, avg(w)/(var_samp(b)+1e-12) >= 0.5 AS passes FROM r GROUP BY 1, 2",
+             i="SELECT domain, feature, abs(corr(x, label)) AS importance FROM u GROUP BY 1, 2")
+    + """SELECT domain, count(*) FILTER (NOT passes) AS n_failing,
+      round(coalesce(sum(importance) FILTER (NOT passes), 0)/sum(importance), 5) AS failing_share FROM i JOIN v USING (domain, feature) GROUP BY 1""",
+)
+def failing_feature_share(spark, sf):
+    """Share of importance (absolute correlation with the label) held by features whose variance lies between runs; one feature is a setting of the run."""
+    w, features = wide(spark, sf).withColumn("run_setting", (F.col("run_id").cast("bigint") % 7).cast("double")), [*FEATURES, "run_setting"]
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.abs(F.corr(f, "label")).alias("importance")) for f in features])
+    imp = w.groupBy("domain").agg(cells.alias("_c")).select("domain", F.inline("_c"))
+    out = stats.failing_share(imp, stats.variance_ratio(w, ["domain"], "run_id", features), ["domain"])
+    return out.withColumn("failing_share", F.round("failing_share", 5))
+
+
 @query(
     "score_drift_distance", "X16",
     sql_with("scores", z="SELECT model, domain='static' AS s, ln(q/(1-q)) AS x FROM (SELECT model, domain, greatest(1e-6::DOUBLE, least(1-1e-6::DOUBLE, score)) AS q FROM scores)",

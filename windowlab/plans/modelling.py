@@ -201,7 +201,7 @@ def grid_search(spark, sf):
 
 @query("forest_importance", "N11 N13 X15")
 def forest_importance(spark, sf):
-    """Impurity importance of two forests per domain, normalised, with the share held by features that fail the variance ratio."""
+    """Impurity importance of two forests per domain, normalised, and the share of it that features failing the variance ratio hold."""
     w, out = wide(spark, sf), None
     for d in ("static", "mobile"):
         x = models.assemble(w.where(F.col("domain") == d), FEATURES)
@@ -210,7 +210,8 @@ def forest_importance(spark, sf):
             out = i if out is None else out.unionByName(i)
     out = selection.normalise_importance(out, ["method", "domain"])
     ratio = stats.variance_ratio(w, ["domain"], "run_id", FEATURES).select("domain", "feature", "passes")
-    return rounded(out.join(ratio, ["domain", "feature"]), ["importance"])
+    share = stats.failing_share(out, ratio, ["method", "domain"])
+    return rounded(out.join(ratio, ["domain", "feature"]).join(share, ["method", "domain"]), ["importance", "failing_share"])
 
 
 @query("permutation_importance", "N14 P13")
