@@ -62,6 +62,17 @@ def test_classes_equal_all_pairs(spark, monkeypatch, seed, hot, cell):
     assert got == plain_classes(rows)
 
 
+def test_repeated_rows_in_crowded_cells(spark, monkeypatch):
+    """Rows repeated with id and text are one set: they do not push its partners out of its windows."""
+    monkeypatch.setattr(jaccard, "CELL_REGIONS", 3)
+    rows = planted(3, 60)
+    rows = rows + [r for i, r in enumerate(rows) if i % 2 and r[0] >= 1000 for _ in range(6)]
+    docs = frame(spark, rows)
+    found = jaccard.full_sets(docs.selectExpr("doc_id as id", "text"), jaccard.read_sets(docs.selectExpr("doc_id as id", "text"), 5).filter("n > 0").groupBy("key").agg({"id": "min"}).withColumnRenamed("min(id)", "id"), 5)
+    assert found.count() == found.select("key").distinct().count()
+    assert sorted((r.id, r.n, r["class"]) for r in jaccard.classes(docs).collect()) == plain_classes(rows)
+
+
 def test_empty_and_chain(spark):
     assert jaccard.classes(frame(spark, [])).count() == 0
     chain = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 99), (7, 7)], "a long, b long")

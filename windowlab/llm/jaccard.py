@@ -127,18 +127,24 @@ def least_distance(a: str, b: str, na: str, nb: str) -> Column:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(key, members) of the wanted (id, key); rows of other ids are left out before the shuffle."""
+    """(key, members, bits): one row for each wanted key, however often its text is repeated; rows of other ids are left out before the shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task sends every set once
         for batch in batches:
             batch = batch.filter(pa.array(in_filter(np.asarray(batch.column("slot")), held.value)))
             for piece in pieces(batch, "text"):
                 h, first, n = set_rows(piece, size)
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(set_keys(h, first, n)), lists(h, first, n), parities(h, n)], ["id", "key", "members", "bits"])
-
-    made = docs.select("id", filter_slot("id").alias("slot"), "text").mapInArrow(run, extend(docs.select("id"), "key bigint, members array<bigint>, bits array<bigint>"))
-    return made.join(wanted.select("id", "key"), ["id", "key"]).select("key", "members", "bits")
+                key = set_keys(h, first, n)
+                fresh = [i for i in np.sort(np.unique(key, return_index=True)[1]).tolist() if int(key[i]) not in seen]
+                seen.update(key[fresh].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(key), lists(h, first, n), parities(h, n)], ["key", "members", "bits"]).take(pa.array(fresh, pa.int64()))
+
+    # equal keys are equal sets, so any row of a wanted key will do, also one without an id
+    made = docs.select(filter_slot("id").alias("slot"), "text").mapInArrow(run, "key bigint, members array<bigint>, bits array<bigint>")
+    made = made.repartition(partitions(docs.sparkSession), "key").groupBy("key").agg(F.first("members").alias("members"), F.first("bits").alias("bits"))
+    return made.join(wanted.select("key"), "key")
 
 
 def shared_cells(rows: DataFrame) -> DataFrame:
