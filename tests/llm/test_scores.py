@@ -116,6 +116,37 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in none} == {0.0} and toxicity.score(frame(spark, []), labels, F.lit(True)).count() == 0
 
 
+def test_toxicity_indexes_all_terms(spark, monkeypatch):
+    """Neighbours are those of the TF-IDF cosine of whole texts, also of texts without a term that marks toxic ones."""
+    monkeypatch.setattr(toxicity, "PART", 40)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 30) % 400) + (" scum" if i % 4 == 0 else "")) for i in range(200)]
+    rows += [(900, rows[1][1] + " once"), (901, "onlyhere w1"), (902, "onlyhere w2")]
+    learn = (F.col("doc_id") < 150) | (F.col("doc_id") == 901)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0 or i == 901)) for i, _ in rows], "doc_id long, toxic int")
+    got = {r.id: r.neighbours for r in toxicity.score(frame(spark, rows), labels, learn).collect()}
+    bag = {}
+    for i, t in rows:
+        bag[i] = {}
+        for w in words(t):
+            for x in [(0, w)] + [(n, w[:n]) for n in toxicity.STEMS if len(w) > n]:
+                bag[i][x] = bag[i].get(x, 0) + 1
+    known = [i for i in bag if i < 150 or i == 901]
+    vocabulary = {x for i in known for x in bag[i]}
+    df = {x: sum(x in b for b in bag.values()) for x in vocabulary}
+    unit = {}
+    for i, b in bag.items():
+        v = {x: (1 + math.log(c)) * (math.log((1 + len(rows)) / (1 + df[x])) + 1) for x, c in b.items() if x in vocabulary}
+        norm = math.sqrt(sum(y * y for y in v.values()))
+        unit[i] = {x: y / norm for x, y in v.items()}
+    for i in bag:
+        cosine = {e: sum(y * unit[e].get(x, 0.0) for x, y in unit[i].items()) for e in known}
+        assert all(abs(cosine[n.example] - n.cosine) < 1e-6 for n in got[i])
+        want = sorted((c for c in cosine.values() if c > 0), reverse=True)[:15]
+        assert np.allclose([n.cosine for n in got[i]][: len(want)], want, atol=1e-6)
+    assert got[900][0].example == 1 and got[902][0].example == 901
+
+
 def test_op6_over_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.QUERIES["op6_toxic_neighbours"](spark, sf).collect()

@@ -1,22 +1,25 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine of whole texts.
 
 Terms are words and their beginnings of four to six bytes (stems), so that inflected forms of a known word meet it.
-At most ``SAMPLE`` labelled rows (the first in order of a hash of their id) are the examples; terms that toxic examples hold
-at least ``LIFT`` times as often as others (and significantly so) are the vocabulary, at most ``TERMS``.
-Document frequencies are counted over all rows.
+At most ``SAMPLE`` labelled rows (the first in order of a hash of their id) are the examples, and every term that one of them
+holds is in the index.  Document frequencies are counted over all rows.
 
-The index keeps, for every term and block of examples, the largest weight.  A query adds these up to a bound for
-every block, visits blocks in falling order of their bounds and stops when no bound reaches its k-th best cosine, so
-the neighbours are exact.  Their votes, weighted by cosine and mixed with the prior, are the score; the neighbours are the
-evidence.
+Neighbours are the ``NEIGHBOURS`` examples of largest cosine, found among all of them: the terms that many examples hold are a
+matrix that is multiplied with a piece of texts at a time, the others are postings that are added up.
 
-Results: a text without any term (null and empty texts too) has no neighbours and the prior as its score; without labelled
-rows the prior is 0; ties go to the smaller example; repeated rows are scored alike; labels, languages and sources are
+Label statistics weight votes: terms that toxic examples hold at least ``LIFT`` times as often as others (and significantly
+so) are marks, and examples vote by their cosine plus their cosine over the marks alone.  The ``NEIGHBOURS`` largest of the latter
+vote besides the nearest.  The votes, mixed with the prior, are the score; all who voted are the evidence.
+
+Results: a text without any term of an example (null and empty texts too) has no neighbours and the prior as its score; without
+labelled rows the prior is 0; ties go to the smaller example; repeated rows are scored alike; labels, languages and sources are
 never read for a score.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +30,16 @@ from pyspark.sql.types import StructType
 from windowlab.llm.arrays import BYTE_CODE, LOWER, Words, mix, pieces, powers, text_bytes
 from windowlab.llm.store import extend
 
-SAMPLE, TERMS, LIFT, LEAST_ROWS = 20_000, 4096, 3.0, 4
-#: Likelihood ratio (twice its logarithm) that a term must reach: chance alone reaches it once in ten thousand terms.
+SAMPLE, LIFT, LEAST_ROWS = 20_000, 3.0, 4
+#: Likelihood ratio (twice its logarithm) that a mark must reach: chance alone reaches it once in ten thousand terms.
 SIGNIFICANT = 15.0
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS = 15
+#: Terms of more than this share of the examples, at most ``COLUMNS``, are a matrix; any numbers give the same result.
+FREQUENT, COLUMNS = 0.06, 2000
+#: Texts that are multiplied with the matrix at once.
+ROWS = 256
+#: Examples that pass through the driver at once.
+PART = 1000
 #: Weight of the prior, in units of a neighbour with cosine 1.
 PRIOR_WEIGHT = 1.0
 STEMS = (4, 5, 6)
@@ -72,53 +81,113 @@ def look_up(vocabulary: np.ndarray, row: np.ndarray, code: np.ndarray) -> tuple[
     return row[hit], k[hit]
 
 
-def vectors(piece: pa.RecordBatch, vocabulary: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, weight) of the unit vectors of a batch."""
-    row, term, tf = counts(*look_up(vocabulary, *terms(Words(*text_bytes(piece.column("text"))))))
-    weight = (1 + np.log(tf)) * idf[term]
-    norm = np.sqrt(np.bincount(row, weight**2, piece.num_rows))
-    return row, term, weight / norm[row]
+def term_counts(piece: pa.RecordBatch, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, times) of a batch."""
+    row, term = look_up(vocabulary, *terms(Words(*text_bytes(piece.column("text")))))
+    both, tf = np.unique(row.astype(np.int64) * max(len(vocabulary), 1) + term, return_counts=True)
+    return *np.divmod(both, max(len(vocabulary), 1)), tf
 
 
-class BlockMax:
-    """Examples in blocks: the largest weight of every term in every block, and the examples' own vectors."""
+def unit(row: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+    """Weights of the unit vectors of ``n`` rows."""
+    weight = (1 + np.log(tf)) * idf[term]
+    return weight / np.sqrt(np.bincount(row, weight**2, n))[row]
 
-    def __init__(self, n_terms: int, first: np.ndarray, term: np.ndarray, weight: np.ndarray, toxic: np.ndarray):
-        self.first, self.term, self.weight, self.toxic = first, term, weight, toxic
-        example = np.repeat(np.arange(len(toxic)), np.diff(first))
-        self.most = np.zeros((n_terms, -(-max(len(toxic), 1) // BLOCK)), np.float64)
-        np.maximum.at(self.most, (term, example // BLOCK), weight)
-        self.dense = np.zeros(n_terms)
+
+def vectors(piece: pa.RecordBatch, vocabulary: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, weight) of the unit vectors of a batch."""
+    row, term, tf = term_counts(piece, vocabulary)
+    return row, term, unit(row, term, tf, idf, piece.num_rows)
+
+
+def pack(term: np.ndarray, tf: np.ndarray) -> bytes:
+    """Sorted terms and their counts in about two bytes a term."""
+    both = np.concatenate([np.diff(term, prepend=0), tf]).astype(np.int32)
+    return zlib.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+    return np.cumsum(both[: len(both) // 2], dtype=np.int32), both[len(both) // 2 :]
+
+
+def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of runs of ``size``, one after another."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Examples:
+    """The examples' unit vectors: a matrix over the frequent terms and postings of the others."""
+
+    def __init__(self, n_terms: int, first: np.ndarray, term: np.ndarray, weight: np.ndarray, toxic: np.ndarray, mark: np.ndarray | None = None):
+        self.toxic, self.mark = toxic, np.zeros(n_terms, bool) if mark is None else mark
+        example = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(first))
+        on = self.mark[term]
+        self.mark_norm = np.sqrt(np.bincount(example[on], np.square(weight[on], dtype=np.float64), len(toxic)))
+        held = np.bincount(term, minlength=n_terms) * ~self.mark
+        often = np.argsort(-held, kind="stable")[:COLUMNS]
+        often = often[held[often] > FREQUENT * len(toxic)]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        column = self.column[term]
+        self.matrix = np.zeros((len(often), len(toxic)), np.float32)
+        self.matrix[column[column >= 0], example[column >= 0]] = weight[column >= 0]
+        on = np.flatnonzero(column < 0)
+        on = on[np.argsort(term[on], kind="stable")]
+        self.post_example, self.post_weight = example[on], weight[on]
+        self.post_first = np.searchsorted(term[on], np.arange(n_terms + 1))
+
+    def sums(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The products with all examples over the given terms that have postings."""
+        size = self.post_first[term + 1] - self.post_first[term]
+        take = spans(self.post_first[term], size)
+        return np.bincount(self.post_example[take], self.post_weight[take] * np.repeat(weight, size), len(self.toxic))
+
+    def products(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """The products of ``n`` texts with all examples over the frequent terms."""
+        column = self.column[term]
+        texts = np.zeros((n, len(self.matrix)), np.float32)
+        texts[row[column >= 0], column[column >= 0]] = weight[column >= 0]
+        return texts @ self.matrix
+
+    def cosines(self, term: np.ndarray, weight: np.ndarray, product: np.ndarray | None = None) -> np.ndarray:
+        """The cosines of a text with all examples."""
+        if product is None:
+            product = self.products(np.zeros(len(term), np.int64), term, weight, 1)[0]
+        rare = self.column[term] < 0
+        return self.sums(term[rare], weight[rare]) + product
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a positive cosine."""
-        bound = weight @ self.most[term]
-        self.dense[term] = weight
-        ids, values, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        at, step = 0, 4
-        while at < len(order):
-            # the next few blocks at once: more of them each time
-            now = order[at : at + step]
-            if len(ids) == k:
-                now = now[bound[now] >= least - 1e-12]
-                if not len(now):
-                    break
-            at, step = at + step, 2 * step
-            rows = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            rows = rows[rows < len(self.toxic)]
-            size = self.first[rows + 1] - self.first[rows]
-            ends = np.cumsum(size)
-            take = np.repeat(self.first[rows] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-            got = np.bincount(np.repeat(np.arange(len(rows)), size), self.weight[take] * self.dense[self.term[take]], len(rows))
-            on = np.flatnonzero(got > 0)
-            ids, values = np.concatenate([ids, rows[on]]), np.concatenate([values, got[on]])
-            best = np.lexsort((ids, -np.round(values, 12)))[:k]
-            ids, values = ids[best], values[best]
-            least = values[-1] if len(ids) == k else 0.0
-        self.dense[term] = 0.0
-        return ids, values
+        values = self.cosines(term, weight)
+        rows = largest(values, k)
+        return rows, values[rows]
+
+    def votes(self, term: np.ndarray, weight: np.ndarray, k: int, product: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(examples, cosines, weights of their votes): the k nearest, and the k nearest over the marks."""
+        values = self.cosines(term, weight, product)
+        rows = largest(values, k)
+        on = self.mark[term]
+        if not on.any():
+            return rows, values[rows], values[rows]
+        marked = self.sums(term[on], weight[on])
+        marked /= np.where(self.mark_norm > 0, self.mark_norm, 1) * np.sqrt(np.sum(weight[on] ** 2))
+        rows = np.concatenate([rows, np.setdiff1d(largest(marked, k), rows)])
+        return rows, values[rows], values[rows] + marked[rows]
+
+
+def largest(values: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest positive values, largest first; values that agree to seven digits go by place."""
+    least = np.partition(values, len(values) - k)[len(values) - k] if len(values) > k else 0.0
+    rows = np.flatnonzero((values > 0) & (values >= least - 1e-6))
+    return rows[np.lexsort((rows, -np.round(values[rows], 7)))[:k]]
+
+
+#: The name under which tests know the index.
+BlockMax = Examples
+#: The index of the last model that this worker has read: it is built once and not in every task.
+_kept: dict[str, tuple[list, Examples]] = {}
 
 
 def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column, sample: int) -> DataFrame:
@@ -128,8 +197,8 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(taught), "_id").select(F.col("_id").alias("id"), "toxic", "text")
 
 
-def choose_terms(taught: DataFrame, most: int) -> np.ndarray:
-    """Hashes of the terms that mark toxic examples, sorted."""
+def example_terms(taught: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of all terms of the examples, and which of them mark toxic ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,14 +212,14 @@ def choose_terms(taught: DataFrame, most: int) -> np.ndarray:
 
     all_ = taught.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     p0, n0 = float(all_[0]), float(all_[1] - all_[0])
-    if not p0 or not n0:
-        return np.zeros(0, np.uint64)
-    held = taught.select("toxic", "text").mapInArrow(run, "code bigint, p bigint, m bigint").groupBy("code").agg(F.sum("p").alias("p"), F.sum("m").alias("m")).filter(F.col("m") >= LEAST_ROWS)
+    held = taught.select("toxic", "text").mapInArrow(run, "code bigint, p bigint, m bigint").groupBy("code").agg(F.sum("p").alias("p"), F.sum("m").alias("m"))
     p, n = (F.col("p") + 0.5) / (p0 + 1), (F.col("m") - F.col("p") + 0.5) / (n0 + 1)
-    lift = p / n
     ratio = F.col("p") * F.log(p / ((F.col("m") + 1) / (p0 + n0 + 2))) + (F.col("m") - F.col("p")) * F.log(n / ((F.col("m") + 1) / (p0 + n0 + 2)))
-    got = held.filter((lift >= LIFT) & (2 * ratio >= SIGNIFICANT)).orderBy(F.desc(F.round(ratio, 9)), "code").limit(most).select("code").toPandas()
-    return np.sort(got["code"].to_numpy().astype(np.int64).view(np.uint64))
+    mark = (F.col("m") >= LEAST_ROWS) & (p / n >= LIFT) & (2 * ratio >= SIGNIFICANT) & F.lit(p0 > 0 and n0 > 0)
+    got = held.select("code", mark.alias("mark")).toPandas()
+    code = got["code"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(code)
+    return code[order], got["mark"].to_numpy().astype(bool)[order]
 
 
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
@@ -161,19 +230,20 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         total = np.zeros(len(held.value), np.int64)
         for batch in batches:
             for piece in pieces(batch, "text"):
-                _, term, _ = counts(*look_up(held.value, *terms(Words(*text_bytes(piece.column("text"))))))
-                total += np.bincount(term, minlength=len(total))
+                row, term = look_up(held.value, *terms(Words(*text_bytes(piece.column("text")))))
+                both = np.unique(row.astype(np.int64) * max(len(total), 1) + term)
+                total += np.bincount(both % max(len(total), 1), minlength=len(total))
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], ["term", "rows"])
 
     out = np.zeros(len(vocabulary), np.int64)
-    for r in docs.select("text").mapInArrow(run, "term bigint, rows bigint").groupBy("term").agg(F.sum("rows").alias("rows")).collect():
-        out[r["term"]] = r["rows"]
+    got = docs.select("text").mapInArrow(run, "term bigint, rows bigint").groupBy("term").agg(F.sum("rows").alias("rows")).toPandas()
+    out[got["term"].to_numpy().astype(np.int64)] = got["rows"].to_numpy().astype(np.int64)
     return out
 
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          sample: int = SAMPLE, n_terms: int = TERMS, neighbours: int = NEIGHBOURS) -> DataFrame:
+          sample: int = SAMPLE, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(id, score, neighbours) of every row; ``learn`` says which rows of ``labels`` may be learned from."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
@@ -181,7 +251,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     from windowlab.llm.store import stored
 
     taught = stored(taught, "taught")
-    vocabulary = choose_terms(taught, n_terms)
+    vocabulary, mark = example_terms(taught)
     all_rows = rows.count()
     idf = np.log((1 + all_rows) / (1 + document_frequencies(rows, vocabulary))) + 1 if len(vocabulary) else np.zeros(0)
     words = spark.sparkContext.broadcast((vocabulary, idf))
@@ -189,29 +259,51 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                row, term, weight = vectors(piece, *words.value)
-                ends = np.searchsorted(row, np.arange(piece.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("toxic"), pa.ListArray.from_arrays(pa.array(ends), pa.array(term.astype(np.int64))), pa.ListArray.from_arrays(pa.array(ends), pa.array(weight))], ["id", "toxic", "term", "weight"])
-
-    # at most ``sample`` vectors over at most ``n_terms`` terms
-    held = taught.mapInArrow(index, extend(taught.select("id", "toxic"), "term array<bigint>, weight array<double>")).orderBy("id", "toxic").toPandas()
-    prior = float(held["toxic"].mean()) if len(held) else 0.0
-    held = held[held["term"].map(len) > 0]
-    sizes = held["term"].map(len).to_numpy(dtype=np.int64)
-    flat = lambda c, t: np.concatenate([np.asarray(x, t) for x in held[c]]) if len(held) else np.zeros(0, t)
-    model = spark.sparkContext.broadcast((held["id"].tolist(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat("term", np.int64), flat("weight", np.float64), held["toxic"].to_numpy(dtype=np.float64), prior))
+                row, term, tf = term_counts(piece, words.value[0])
+                edge = np.searchsorted(row, np.arange(piece.num_rows + 1)).tolist()
+                packed = pa.array([pack(term[a:b], tf[a:b]) for a, b in zip(edge, edge[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("toxic"), packed], ["id", "toxic", "vector"])
+
+    held = stored(taught.mapInArrow(index, extend(taught.select("id", "toxic"), "vector binary")), "index")
+    who = held.select("id", "toxic").orderBy("id", "toxic").toPandas()
+    prior = float(who["toxic"].mean()) if len(who) else 0.0
+    # the vectors pass through the driver in parts, in order of their ids
+    edges, parts = who["id"].drop_duplicates().tolist()[::PART], []
+    for lo, hi in zip(edges, [*edges[1:], None]):
+        part = held.filter((F.col("id") >= F.lit(lo)) & (F.lit(True) if hi is None else F.col("id") < F.lit(hi))).toPandas().sort_values(["id", "toxic"])
+        parts.append(spark.sparkContext.broadcast((part["id"].tolist(), part["vector"].tolist(), part["toxic"].to_numpy(dtype=np.float64))))
+    name, model = uuid.uuid4().hex, spark.sparkContext.broadcast((mark, prior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, first, term, weight, toxic, prior = model.value
-        near = BlockMax(len(words.value[0]), first, term, weight, toxic)
+        mark, prior = model.value
+        if name not in _kept:
+            _kept.clear()
+            ids, found, toxic = [], [], [np.zeros(0)]
+            for p in parts:
+                ids += p.value[0]
+                found += [unpack(v) for v in p.value[1]]
+                toxic.append(p.value[2])
+                vars(p).pop("_value", None)  # it can be read again
+            first = np.concatenate([[0], np.cumsum([len(t) for t, _ in found], dtype=np.int64)])
+            term, tf = (np.concatenate([np.zeros(0, np.int32), *(x[k] for x in found)]) for k in (0, 1))
+            del found
+            weight = unit(np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(first)), term, tf.astype(np.float32), words.value[1].astype(np.float32), len(ids)).astype(np.float32)
+            _kept[name] = ids, Examples(len(mark), first, term, weight, np.concatenate(toxic), mark)
+            del term, tf, weight
+        ids, near = _kept[name]
+        toxic = near.toxic
         for batch in batches:
             for piece in pieces(batch, "text"):
                 row, t, w = vectors(piece, *words.value)
-                edge = np.searchsorted(row, np.arange(piece.num_rows + 1))
+                edge, at, to = np.searchsorted(row, np.arange(piece.num_rows + 1)), 0, 0
                 scores, evidence = np.full(piece.num_rows, prior), [[] for _ in range(piece.num_rows)]
                 for r in np.flatnonzero(np.diff(edge)).tolist() if len(ids) else ():
-                    found, cosine = near.nearest(t[edge[r] : edge[r + 1]], w[edge[r] : edge[r + 1]], neighbours)
-                    scores[r] = (cosine @ toxic[found] + PRIOR_WEIGHT * prior) / (cosine.sum() + PRIOR_WEIGHT)
+                    if r >= to:  # the next texts at once
+                        at, to = r, min(r + ROWS, piece.num_rows)
+                        on = slice(edge[at], edge[to])
+                        product = near.products(row[on] - at, t[on], w[on], to - at)
+                    found, cosine, vote = near.votes(t[edge[r] : edge[r + 1]], w[edge[r] : edge[r + 1]], neighbours, product[r - at])
+                    scores[r] = (vote @ toxic[found] + PRIOR_WEIGHT * prior) / (vote.sum() + PRIOR_WEIGHT)
                     evidence[r] = [{"example": ids[k], "cosine": float(c)} for k, c in zip(found.tolist(), cosine)]
                 yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(scores), pa.array(evidence, pa.list_(pa.struct([("example", piece.column("id").type), ("cosine", pa.float64())])))], ["id", "score", "neighbours"])
 
