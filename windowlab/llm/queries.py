@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from windowlab.llm import bpe, chat, jaccard, lattice, repeats, rules, secrets, tiling, toxicity, warc
+from windowlab.llm import bpe, chat, jaccard, lattice, repeats, resampling, rules, search, secrets, subwords, tiling, toxicity, warc
 from windowlab.llm.store import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,60 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a test item that it holds."""
     pairs = tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return pairs.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "item_words", "covered_words", "tiles")
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return made.select(F.col("id").alias("doc_id"), F.col("features").alias("n_features"), "weight", "score", "rank")
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+@query
+def op13_quality_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), lattice.part("doc_id", 4) == 2
+    model = subwords.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    made = subwords.score(docs, model)
+    return made.select(F.col("id").alias("doc_id"), (lattice.part("id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op11_importance_resampling"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM d) GROUP BY w),
+bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM b) GROUP BY w),
+codes AS (SELECT list(list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(0, 256)) AS i)),
+spelt AS (SELECT w, list_transform(range(1, octet_length(encode(w)) + 1), lambda i: ('0x' || substr(hex(encode(w)), 2 * i - 1, 2))::BIGINT) AS s FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+bucket AS (SELECT w, xor(4294967295, list_reduce([4294967295] || s, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) % 10000 AS k FROM spelt, codes),
+ds AS (SELECT k, sum(n)::BIGINT AS s FROM dw JOIN bucket USING (w) GROUP BY k),
+bs AS (SELECT k, sum(n)::BIGINT AS t FROM bw JOIN bucket USING (w) GROUP BY k),
+gain AS (SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM ds) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM bs) + 10000)::DOUBLE)))::BIGINT AS g
+  FROM ds FULL JOIN bs USING (k)),
+numbered AS (SELECT row_number() OVER () AS r, doc_id, w FROM d),
+weights AS (SELECT r, sum(g)::BIGINT AS weight FROM (SELECT r, unnest(w) AS w FROM numbered) JOIN bucket USING (w) JOIN gain USING (k) GROUP BY r),
+scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT)::BIGINT AS score
+  FROM numbered LEFT JOIN weights USING (r)),
+ordered AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank FROM ordered
+"""
+
+ORACLES["op12_ranked_search"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '{search.TERM}') AS w FROM documents),
+held AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT r, w, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS w FROM d) GROUP BY r, w),
+df AS (SELECT w, count(*)::BIGINT AS df FROM tf GROUP BY w),
+wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER}, '{search.TERM}')) AS w FROM benchmark),
+weight AS (SELECT w, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM df, held),
+size AS (SELECT r, doc_id, 50 + (50 * len(w) * n_docs) // n_terms AS m FROM d, held),
+scored AS (SELECT item_id, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM wanted JOIN weight USING (w) JOIN tf USING (w) JOIN size USING (r) GROUP BY item_id, r),
+placed AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored JOIN size USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM placed WHERE rank <= 50
+"""
