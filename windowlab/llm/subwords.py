@@ -19,7 +19,8 @@ Memory follows a mebibyte of text or the longest single text, about 100 bytes fo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,10 +31,11 @@ from windowlab.llm.arrays import pieces, text_bytes
 from windowlab.llm.store import extend, stored
 
 #: Labelled rows that the model is fitted on, at most.
-SAMPLE = 8_000
-BITS, WIDTH = 17, 8
+SAMPLE = 6_000
+BITS, WIDTH = 16, 8
 GRAMS = (3, 4)
-SHARDS, ROUNDS, RATE = 4, 8, 1.0
+#: Tasks that train side by side, rounds after which their models are averaged, passes over the rows in a round, first step.
+SHARDS, ROUNDS, PASSES, RATE = 4, 4, 2, 1.0
 SEED = 20240229
 SPACE = 32
 MULTIPLIER, SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
@@ -117,10 +119,11 @@ class Model:
         e = np.exp(z - z.max())
         return mean, e / e.sum()
 
-    def descend(self, rows: list[tuple[int, np.ndarray, np.ndarray]], rate: float, past: np.ndarray) -> None:
+    def descend(self, rows: Iterable[tuple[int, np.ndarray, np.ndarray]], rate: float, past: np.ndarray) -> None:
         """One pass of stochastic gradient descent; ``past`` holds the summed squared gradients of every feature."""
         past_out, past_bias = np.full_like(self.output, 1e-6), np.full_like(self.bias, 1e-6)
-        for label, ids, share in rows:
+        for label, ids, counts in rows:
+            share = counts / max(counts.sum(), 1)
             mean, p = self.probabilities(ids, share)
             wrong = p.copy()
             wrong[label] -= 1
@@ -139,8 +142,19 @@ class Model:
         return self.vectors.astype(np.float64) @ (self.output[:, 1].astype(np.float64) - self.output[:, 0])
 
 
+def pack(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted features and their counts in about two bytes a feature."""
+    both = np.concatenate([np.diff(ids, prepend=0), counts]).astype(np.int32)
+    return zlib.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+    return np.cumsum(both[: len(both) // 2], dtype=np.int32), both[len(both) // 2 :].astype(np.float32)
+
+
 def sampled(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
-    """(shard, place, label, ids, counts) of at most ``sample`` labelled documents; ``learn`` says which rows may teach."""
+    """(shard, place, label, features) of at most ``sample`` labelled documents; ``learn`` says which rows may teach."""
     taught = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
     rows = docs.filter(learn & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     # both sides know whether an id may teach, so the sample is drawn from those alone
@@ -155,10 +169,11 @@ def sampled(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text
                 both, n = np.unique(rows.astype(np.int64) << BITS | buckets, return_counts=True)
                 row, ids = both >> BITS, (both & ((1 << BITS) - 1)).astype(np.int32)
                 cuts = np.searchsorted(row, np.arange(1, piece.num_rows))
-                out = [[x.tobytes() for x in np.split(a, cuts)] for a in (ids, n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([piece.column("place"), piece.column("label"), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["place", "label", "ids", "counts"])
+                out = [pack(i, c) for i, c in zip(np.split(ids, cuts), np.split(n, cuts))]
+                yield pa.RecordBatch.from_arrays([piece.column("place"), piece.column("label"), pa.array(out, pa.binary())], ["place", "label", "features"])
 
-    return stored(found.mapInArrow(read, "place bigint, label int, ids binary, counts binary"), "taught_features")
+    made = found.mapInArrow(read, "place bigint, label int, features binary")
+    return stored(made.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(SHARDS))), "taught_features")
 
 
 def fit(
@@ -166,21 +181,20 @@ def fit(
     sample: int = SAMPLE, rounds: int = ROUNDS, rate: float = RATE,
 ) -> Model:
     """The model of labels 0 and 1, by rounds of parallel descent and averaging."""
-    rows = sampled(docs, labels, learn, id_col, text_col, label_col, sample)
-    shards = stored(rows.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(SHARDS))).repartition(SHARDS, "shard").sortWithinPartitions("shard", "place"), "shards")
+    shards = sampled(docs, labels, learn, id_col, text_col, label_col, sample)
     model = Model.start()
     for k in range(rounds):
         packed, pace = model.pack(), rate * (1 - k / rounds)
 
         def train(key, table):
-            own, rows = Model.unpack(packed), []
-            for label, ids, counts in zip(table.column("label").to_pylist(), table.column("ids"), table.column("counts")):
-                n = np.frombuffer(counts.as_buffer(), np.int32).astype(np.float32)
-                rows.append((1 if label else 0, np.frombuffer(ids.as_buffer(), np.int32), n / max(n.sum(), 1)))
-            order = np.random.Generator(np.random.PCG64([SEED, k])).permutation(len(rows))
+            own = Model.unpack(packed)
             at = np.argsort(np.asarray(table.column("place")), kind="stable")
-            own.descend([rows[at[i]] for i in order], pace, np.full(len(own.vectors), 1e-12, np.float32))
-            return pa.table({"model": pa.array([own.pack()], pa.binary()), "n": pa.array([len(rows)], pa.int64())})
+            labels, texts = table.column("label").to_pylist(), table.column("features")
+            past = np.full(len(own.vectors), 1e-12, np.float32)
+            for p in range(PASSES):
+                order = np.random.Generator(np.random.PCG64([SEED, k, p])).permutation(len(at))
+                own.descend(((1 if labels[i] else 0, *unpack(texts[i].as_buffer())) for i in map(int, at[order])), pace, past)
+            return pa.table({"model": pa.array([own.pack()], pa.binary()), "n": pa.array([len(at)], pa.int64())})
 
         made = shards.groupBy("shard").applyInArrow(train, "model binary, n bigint").collect()
         if not made:
