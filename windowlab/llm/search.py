@@ -1,7 +1,7 @@
 """Ranked lexical search by dense blocked products: item vocabulary tiles times document impact tiles.
 
 A document's impact for a term is ``10^9 tf div (1000 tf + 20 m)`` with ``m = 50 + 50 n N div L``; a term weighs
-``floor(1000 ln((2N + 2) / (2df + 1)))``.  Items are dealt into blocks of at most ``BLOCK_TERMS`` (item, term) pairs, so what a
+``floor(1000 ln((2N + 2) / (2df + 1)))``.  Items are dealt into blocks of about ``BLOCK_TERMS`` (item, term) pairs, so what a
 task gets of them is bounded.  For a block one pass over the whole texts keeps (n, terms, frequencies) of the block's
 vocabulary, and counts over that table give N, L and document frequencies.  Scoring takes tiles of ``DOC_ROWS`` documents,
 ``ITEM_COLUMNS`` items and of their compact vocabulary as many terms as keep every partial sum below 2^53: the product in
@@ -35,7 +35,7 @@ for _first, _last in ((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)):
 FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
 
 DEPTH = 50
-#: (item, term) pairs of a block, unless one item alone has more.
+#: (item, term) pairs of a block, apart from those of its last item.
 BLOCK_TERMS = 100_000
 DOC_ROWS, ITEM_COLUMNS, TERM_TILE = 1024, 256, 2048
 #: An impact is below this number whatever the frequency.
@@ -52,27 +52,32 @@ def integer_id(df: DataFrame, name: str) -> Column:
 
 
 def item_terms(items: DataFrame, id_col: str, text_col: str, block_terms: int) -> DataFrame:
-    """(block, item, terms): distinct terms of every item, items in order of id dealt into blocks of bounded size."""
+    """(block, item, terms): distinct terms of every item, items in order of id dealt into blocks of bounded size.
+
+    The number of pairs before an item decides its block, so the number of blocks does not depend on how rows are dealt to tasks.
+    """
     text = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     pairs = items.select(integer_id(items, id_col).alias("item"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))).alias("term"))
-    whole = pairs.distinct().groupBy("item").agg(F.collect_list("term").alias("terms"))
-    parts = partitions(items.sparkSession)
+    whole = stored(pairs.distinct().groupBy("item").agg(F.collect_list("term").alias("terms")), "item_terms")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, held = TaskContext.get().partitionId() << 32, 0
+        part, before = TaskContext.get().partitionId(), 0
         for b in batches:
-            out = []
-            for n in pc.list_value_length(b.column("terms")).to_pylist():
-                if held and held + n > block_terms:
-                    block, held = block + 1, 0
-                out.append(block)
-                held += n
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), b.column("item"), b.column("terms")], ["block", "item", "terms"])
-
-    ordered = whole.repartitionByRange(parts, "item").sortWithinPartitions("item")
-    return stored(ordered.mapInArrow(deal, "block bigint, item bigint, terms array<string>"), "items")
+            ends = before + np.cumsum(np.asarray(pc.list_value_length(b.column("terms")), np.int64))
+            starts = np.concatenate([[before], ends])[:-1]
+            before = int(ends[-1]) if len(ends) else before
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part)), pa.array(starts), b.column("item"), b.column("terms")], ["part", "before", "item", "terms"])
+
+    ordered = whole.repartitionByRange(partitions(items.sparkSession), "item").sortWithinPartitions("item")
+    placed = stored(ordered.mapInArrow(place, "part bigint, before bigint, item bigint, terms array<string>"), "items")
+    begin, total = [], 0
+    for part, size in sorted((r[0], r[1]) for r in placed.groupBy("part").agg(F.sum(F.size("terms"))).collect()):
+        begin.append((part, total))
+        total += size
+    begins = items.sparkSession.createDataFrame(begin, "part bigint, begin bigint")
+    return placed.join(F.broadcast(begins), "part").select(F.expr(f"(begin + before) div {block_terms}").alias("block"), "item", "terms")
 
 
 def term_codes(raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
