@@ -12,7 +12,7 @@ CHOSEN = [
     "grouped_split_windows", "robust_scaler", "correlation_pruning", "mutual_information", "rank_aggregation", "universal_set_soft", "anchored_top_k",
     "best_threshold", "best_quantile_threshold", "roc_auc", "rescaled_confusion", "paired_analysis", "score_drift_distance", "bootstrap_separation",
     "cluster_bootstrap_accuracy", "permutation_test", "gap_decomposition", "fewshot_curve", "resumable_grid", "edge_parameters", "isotonic_curve",
-    "failing_feature_share",
+    "failing_feature_share", "subset_comparison", "k_sweep_cells", "ablation_17_sets", "drop_column_all", "feature_config_sums", "single_precision_rates", "correlation_pairs_wide",
 ]
 
 

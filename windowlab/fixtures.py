@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from windowlab.constants import METRICS
 
 EVENT_METRICS = ["click", "error", "purchase", "signup", "view"]
 WIDE_FEATURES = ["qty", "disc", "tax", "size", "price", "qty_dup"]
@@ -274,3 +275,30 @@ def many(spark, sf) -> DataFrame:
 
 
 SQL["many"] = f"SELECT {', '.join(MANY_COLUMNS)} FROM lineitem"
+
+
+# ---- the named metrics -------------------------------------------------------------
+
+LABEL_TEXT = """CASE WHEN (CASE WHEN l_linestatus = 'F' THEN l_quantity / 50 ELSE l_quantity / 100 + 5 * l_tax END)
+  + 2 * l_discount + l_extendedprice / 200000 > CAST(0.85 AS DOUBLE) THEN 1 ELSE 0 END"""
+
+
+def _metric_text(i: int, name: str) -> str:
+    """Metric i: what drives the label in varying shares, noise from keys, and a shift between the domains; the same text in both engines."""
+    drive = f"l_quantity * {i % 5} + 100 * l_discount * {i % 3} + 200 * l_tax * {(i + 1) % 4}"
+    noise = f"(l_partkey * {i + 3} + l_suppkey * {i % 7} + l_linenumber * {i}) % {41 + i}"
+    return f"CAST({drive} + {noise} + CASE WHEN l_linestatus = 'F' THEN 0 ELSE {i % 6} END AS DOUBLE) AS {name}"
+
+
+METERED_COLUMNS = [
+    "l_orderkey AS run_id", "CASE WHEN l_linestatus = 'F' THEN 'static' ELSE 'mobile' END AS domain", f"{LABEL_TEXT} AS label",
+    *[_metric_text(i, m) for i, m in enumerate(METRICS)], "CAST(CASE WHEN l_linenumber = 7 THEN 0 ELSE 40 END AS DOUBLE) AS _measurement_duration",
+]
+
+
+def metered(spark, sf) -> DataFrame:
+    """Line items as windows with all named metrics and the label of ``wide``."""
+    return table(spark, sf, "lineitem").selectExpr(*METERED_COLUMNS)
+
+
+SQL["metered"] = f"SELECT {', '.join(METERED_COLUMNS)} FROM lineitem"

@@ -144,14 +144,14 @@ def temporal_features(spark, sf):
 @query(
     "single_precision_rates", "F15 D6",
     sql_with("network") + """SELECT row_key,
-      round(CASE WHEN "_measurement_duration"=0 THEN 0.0::DOUBLE WHEN "FlowCount"=0 THEN 0.0::DOUBLE ELSE
+      round(CASE WHEN "_measurement_duration"=0 THEN 0.0::DOUBLE ELSE
         ("TcMessageRate"::FLOAT/(("AvgTxPacketsPerFlow"::FLOAT*"FlowCount"::FLOAT)/"_measurement_duration"::FLOAT+1e-10::FLOAT))::DOUBLE END, 4) AS "CDR",
       round(("TcMessageRate"::FLOAT*"AverageAdvertisedLinksPerTCMessage"::FLOAT)::DOUBLE, 4) AS "TDR" FROM network""",
 )
 def single_precision_rates(spark, sf):
     d = features.cdr_tdr_float()
     return network(spark, sf).select(
-        "row_key", F.round(F.when(F.col("FlowCount") == 0, F.lit(0.0)).otherwise(d["CDR"]), 4).alias("CDR"), F.round(d["TDR"], 4).alias("TDR"))
+        "row_key", F.round(d["CDR"], 4).alias("CDR"), F.round(d["TDR"], 4).alias("TDR"))
 
 
 @query(
