@@ -116,3 +116,48 @@ def test_many_feature_sums_take_the_matrix_path(data):
     x = np.array([[r[c] for c in f] for r in w.where("domain = 'static' AND label = 1").collect()])
     iu = np.triu_indices(13)
     assert np.allclose(got[("static", 1)], np.concatenate([[len(x)], x.sum(0), (x.T @ x)[iu]]))
+
+
+def _weights(spark, runs, n, seed):
+    frame = spark.createDataFrame([(r,) for r in runs], "run int").select("run", hashing.key_code("run"), hashing.second_code("run")).collect()
+    coef = np.array(hashing.replicate_coefficients(seed, n), dtype=np.int64)
+    at = {r[0]: k for k, r in enumerate(frame)}
+    u = resample._hash_matrix(np.array([r[1] for r in frame]), np.array([r[2] for r in frame]), coef)
+    return resample._poisson_matrix(u).astype(float), at
+
+
+@pytest.mark.parametrize("rows_at_once", [3, 16_384])
+def test_auc_replicates_equal_weighted_pairs(spark, monkeypatch, rows_at_once):
+    monkeypatch.setattr(resample, "ROW_BLOCK", rows_at_once)
+    monkeypatch.setattr(resample, "REPLICATE_BLOCK", 7)
+    r = np.random.Generator(np.random.PCG64(3))
+    rows = [(m, int(k // 3), int(r.random() < 0.5), float(r.choice([0.2, 0.5]) if r.random() < 0.6 else round(r.random(), 3))) for m in "ab" for k in range(200)]
+    rows += [("a", 5, 1, None)] + [("one", k, 1, 0.1 * k) for k in range(4)]
+    d = spark.createDataFrame(rows, "model string, run int, y int, score double")
+    got = {(x["model"], x["rep"]): x["value"] for x in resample.cluster_bootstrap_auc(d, ["model"], "run", "y", "score", 20, 9).collect()}
+    w, at = _weights(spark, sorted({x[1] for x in rows}), 20, 9)
+    assert len(got) == 60
+    for m in ("a", "b", "one"):
+        part = [x for x in rows if x[0] == m and x[3] is not None]
+        run, y, s = np.array([at[x[1]] for x in part]), np.array([x[2] for x in part]), np.array([x[3] for x in part])
+        pairs = (s[:, None] > s) + 0.5 * (s[:, None] == s)
+        for rep in range(20):
+            p, q = w[run, rep] * (y == 1), w[run, rep] * (y == 0)
+            want = p @ pairs @ q / (p.sum() * q.sum()) if p.sum() * q.sum() else None
+            assert got[m, rep] == (None if want is None else pytest.approx(want, abs=1e-12))
+
+
+@pytest.mark.parametrize("first,width", [(1, 7.0), (37, 7.0), (100, 0.01), (300, 7.0)])
+def test_permutation_cut_is_the_order_statistic(spark, monkeypatch, first, width):
+    monkeypatch.setattr(resample, "REPLICATE_BLOCK", 5)
+    d = spark.range(300).withColumnRenamed("id", "row_key")
+    codes = np.array(d.select(hashing.key_code("row_key"), hashing.second_code("row_key")).collect(), dtype=np.int64)
+    coef = np.array(hashing.replicate_coefficients(4, 12), dtype=np.int64)
+    u = resample._hash_matrix(codes[:, 0], codes[:, 1], coef)
+    got = {r["rep"]: (r["u"], r["x"], r["y"]) for r in resample.permutation_cuts(d, ["row_key"], first, 300, 12, 4, width).collect()}
+    assert got == {k: sorted(zip(u[:, k].tolist(), *codes.T.tolist()))[first - 1] for k in range(12)}
+
+
+def test_residue_equals_modulo():
+    v = np.concatenate([np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 62, 5000), [0, hashing.PRIME - 1, hashing.PRIME, 2 * hashing.PRIME, hashing.PRIME**2, (1 << 62) - 1]])
+    assert (resample._residue(v) == v % hashing.PRIME).all()

@@ -14,9 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from windowlab.functions.hashing import PRIME, key_code, poisson_cuts, poisson_weight, poly_hash, replicate_axis, replicate_coefficients, second_code
-from windowlab.operators.metrics import auc_from_counts
 from windowlab.operators.merging import merge_arrays
-from windowlab.operators.ranking import hash_ranks, split_points
+from windowlab.operators.ranking import hash_ranks, split_points, with_bucket
 from windowlab.session import core_count
 
 
@@ -37,6 +36,42 @@ def run_sums(df: DataFrame, keys: Sequence[str], run: str, **sums: Column) -> Da
     return df.groupBy(*keys, run).agg(*[F.sum(c).alias(k) for k, c in sums.items()])
 
 
+def _weighted_arrays(df: DataFrame, keys: Sequence[str], unit: Sequence[str], sums: Sequence[str], n: int, seed: int) -> DataFrame:
+    """(keys, m): weighted sums of all replicates as one array per key, sums x replicates.
+
+    A task makes the weights of a batch as one matrix (rows x replicates, a block of replicates at a time) and multiplies; no row is
+    repeated.  Rows are few bytes and much work, so they are spread over all cores first.
+    """
+    keys, names = list(keys), list(sums)
+    src = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in names], key_code(*unit).alias("_x"), second_code(*unit).alias("_y"))
+    src = src.repartition(core_count(df.sparkSession), *src.columns)
+    coef = np.array(replicate_coefficients(seed, n), dtype=np.int64)
+
+    def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            groups = {() : np.arange(len(pdf))} if not keys else {k if isinstance(k, tuple) else (k,): i for k, i in pdf.groupby(keys, dropna=False).indices.items()}
+            x, y, v = pdf["_x"].to_numpy(np.int64), pdf["_y"].to_numpy(np.int64), pdf[names].to_numpy(np.float64)
+            for lo in range(0, n, REPLICATE_BLOCK):
+                w = _poisson_matrix(_hash_matrix(x, y, coef[lo : lo + REPLICATE_BLOCK])).astype(np.float64)
+                for k, i in groups.items():
+                    if len(i):
+                        acc.setdefault(k, np.zeros((len(names), n)))[:, lo : lo + REPLICATE_BLOCK] += v[i].T @ w[i]
+        for k, m in acc.items():
+            yield pd.DataFrame({**{c: [None if pd.isna(v) else v] for c, v in zip(keys, k)}, "m": [m.ravel()]})
+
+    schema = T.StructType([*[src.schema[k] for k in keys], T.StructField("m", T.ArrayType(T.DoubleType()))])
+    return merge_arrays(src.mapInPandas(partials, schema), keys, "m")
+
+
+def weighted_sums(df: DataFrame, keys: Sequence[str], unit: Sequence[str], sums: Sequence[str], n: int, seed: int) -> DataFrame:
+    """(keys, rep, sums): the sums of every replicate; a unit's rows share its weight."""
+    arrays = _weighted_arrays(df, keys, unit, sums, n, seed)
+    m = len(list(sums))
+    row = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: F.struct(r.alias("rep"), *[F.get("m", r + k * n).alias(c) for k, c in enumerate(sums)])))
+    return arrays.select(*keys, row.alias("_s")).select(*keys, "_s.*") if m else arrays
+
+
 def cluster_bootstrap(runs: DataFrame, keys: Sequence[str], run: str, sums: Sequence[str], statistic: Callable[..., Column], n: int, seed: int, unit: Sequence[str] | None = None) -> DataFrame:
     """Replicates (keys, rep, value) of a statistic of run sums.
 
@@ -44,21 +79,73 @@ def cluster_bootstrap(runs: DataFrame, keys: Sequence[str], run: str, sums: Sequ
     difference of run-level sums stays inside the engine.  ``unit`` names what the draw depends on
     (the run; with a seed column in it, seeds are drawn independently).
     """
-    r = replicates(runs, unit or [run], n, seed)
-    g = r.groupBy(*keys, "rep").agg(*[F.sum(F.col("w") * F.col(s)).alias(s) for s in sums])
+    g = weighted_sums(runs, keys, unit or [run], sums, n, seed)
     return g.select(*keys, "rep", statistic(*[F.col(s) for s in sums]).alias("value"))
 
 
+ROW_BLOCK = 16_384  # rows of a score range that are weighted at once
+
+
 def cluster_bootstrap_auc(df: DataFrame, keys: Sequence[str], run: str, y: str, score: str, n: int, seed: int) -> DataFrame:
-    """Replicates of the AUC under run-level resampling; null where a replicate has one class only."""
-    cells = df.groupBy(*keys, run, score).agg(
-        F.sum((F.col(y) == 1).cast("bigint")).alias("p"), F.sum((F.col(y) == 0).cast("bigint")).alias("q")
-    )
-    counts = replicates(cells, [run], n, seed).groupBy(*keys, "rep", score).agg(
-        F.sum(F.col("w") * F.col("p")).alias("pos"), F.sum(F.col("w") * F.col("q")).alias("neg")
+    """Replicates of the AUC under run-level resampling; null where a replicate has one class only.  Null scores are left out.
+
+    Scores are cut at quantiles.  Rows of one score value at a cut need no order: their weighted sums are combined in the tasks, however
+    many they are.  The rows between two cuts, a bounded share, meet in one task that adds up their area for all replicates.  What
+    leaves a range are three numbers per replicate, and the ranges are put together in order.
+    """
+    keys = list(keys)
+    points = split_points(df.where(F.col(score).isNotNull()), score)
+    cells = df.where(F.col(score).isNotNull()).groupBy(*keys, run, F.col(score).cast("double").alias("_score")).agg(
+        F.sum((F.col(y) == 1).cast("bigint")).alias("_p"), F.sum((F.col(y) == 0).cast("bigint")).alias("_q")
     )
-    out = auc_from_counts(counts, [*keys, "rep"], score, split_points(df, score))
-    return out.withColumnRenamed("auc", "value")
+    on_cut = F.col("_score").isin(points) if points else F.lit(False)
+    cells = with_bucket(cells, "_score", points).withColumn("_at", (F.col("_bucket") * 2 + F.when(on_cut, 0).otherwise(1)).cast("int"))
+    tied = _weighted_arrays(cells.where(on_cut), [*keys, "_at"], [run], ["_p", "_q"], n, seed)
+    coef = np.array(replicate_coefficients(seed, n), dtype=np.int64)
+
+    def area(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_score")
+        s, x, x2 = pdf["_score"].to_numpy(), pdf["_x"].to_numpy(np.int64), pdf["_y"].to_numpy(np.int64)
+        p, q = pdf["_p"].to_numpy(np.float64)[:, None], pdf["_q"].to_numpy(np.float64)[:, None]
+        out = np.zeros((3, n))  # positives, negatives, area
+        for lo in range(0, n, REPLICATE_BLOCK):
+            block = coef[lo : lo + REPLICATE_BLOCK]
+            pos = neg = below = total = np.zeros(len(block))  # of the score value that is open
+            for at in range(0, len(s), ROW_BLOCK):
+                part = slice(at, at + ROW_BLOCK)
+                w = _poisson_matrix(_hash_matrix(x[part], x2[part], block)).astype(np.float64)
+                first = np.flatnonzero(np.concatenate([[True], s[part][1:] != s[part][:-1]]))
+                a, b = np.add.reduceat(w * p[part], first), np.add.reduceat(w * q[part], first)
+                if at and s[at] == s[at - 1]:
+                    a[0] += pos
+                    b[0] += neg
+                else:
+                    out[0, lo : lo + len(block)] += pos
+                    total, below = total + pos * (below + neg / 2), below + neg
+                before = below + np.cumsum(b, axis=0) - b
+                total = total + (a[:-1] * (before[:-1] + b[:-1] / 2)).sum(axis=0)
+                out[0, lo : lo + len(block)] += a[:-1].sum(axis=0)
+                pos, neg, below = a[-1], b[-1], before[-1]
+            out[0, lo : lo + len(block)] += pos
+            out[1, lo : lo + len(block)] = below + neg
+            out[2, lo : lo + len(block)] = total + pos * (below + neg / 2)
+        return pd.DataFrame({**{k: pdf[k].iloc[:1].to_numpy() for k in [*keys, "_at"]}, "m": [out.ravel()]})
+
+    schema = tied.schema
+    between = cells.where(~on_cut).withColumns({"_x": key_code(run), "_y": second_code(run)}).groupBy(*keys, "_at").applyInPandas(area, schema)
+
+    def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        below, positives, total = np.zeros(n), np.zeros(n), np.zeros(n)
+        for m in pdf.sort_values("_at")["m"]:
+            m = np.asarray(m).reshape(-1, n)
+            inner = m[2] if len(m) == 3 else m[0] * m[1] / 2
+            total, below, positives = total + inner + m[0] * below, below + m[1], positives + m[0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = np.where(positives * below > 0, total / (positives * below), np.nan)
+        return pd.DataFrame({**{k: [None if pd.isna(pdf[k].iloc[0]) else pdf[k].iloc[0]] * n for k in keys}, "rep": np.arange(n, dtype=np.int32), "value": value})
+
+    out = T.StructType([*[df.schema[k] for k in keys], T.StructField("rep", T.IntegerType()), T.StructField("value", T.DoubleType())])
+    return tied.unionByName(between).groupBy(*keys).applyInPandas(join_up, out)
 
 
 def replicate_summary(reps: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -90,10 +177,26 @@ def _design(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((len(x), 1)), x, x[:, i] * x[:, j]], axis=1)
 
 
+def _residue(v: np.ndarray) -> np.ndarray:
+    """``v`` modulo 2^31 - 1 without a division: the high bits count as ones."""
+    v = (v & PRIME) + (v >> 31)
+    v = (v & PRIME) + (v >> 31)
+    v[v >= PRIME] -= PRIME
+    return v
+
+
 def _hash_matrix(x: np.ndarray, y: np.ndarray, coef: np.ndarray) -> np.ndarray:
     """rows x replicates of hash values, the same numbers as :func:`poly_hash`."""
     x, y = x[:, None], y[:, None]
-    return (((coef[:, 1] * x + coef[:, 2]) % PRIME * x + coef[:, 3]) % PRIME + coef[:, 4] * y) % PRIME
+    return _residue(_residue(_residue(coef[:, 1] * x + coef[:, 2]) * x + coef[:, 3]) + coef[:, 4] * y)
+
+
+def _poisson_matrix(u: np.ndarray) -> np.ndarray:
+    """The same weights as :func:`poisson_weight`, for a matrix of hash values."""
+    w = np.zeros(u.shape, np.int8)
+    for cut in poisson_cuts():
+        w += u >= cut
+    return w
 
 
 GRAM_SCHEMA = T.StructType([
@@ -154,31 +257,64 @@ def gram_partials(df: DataFrame, features: Sequence[str], label: str, group: str
 
 def bootstrap_grams(df: DataFrame, features: Sequence[str], label: str, group: str, unit: Sequence[str], n: int, seed: int) -> DataFrame:
     """Bootstrap partials per domain: Poisson weights, drawn inside each class by construction."""
-    cuts = np.array(poisson_cuts(), dtype=np.int64)
 
     def weights(u, x, g, lo):
-        w = np.searchsorted(cuts, u, side="right")
+        w = _poisson_matrix(u)
         return {str(name): w * (g == name)[:, None] for name in np.unique(g)}
 
     return gram_partials(df, features, label, group, unit, n, seed, weights)
 
 
-def permutation_cuts(df: DataFrame, unit: Sequence[str], n_first: int, total: int, n: int, seed: int) -> DataFrame:
+CUT_BINS = 64  # parts of the window in which a cut is looked for
+
+
+def permutation_cuts(df: DataFrame, unit: Sequence[str], n_first: int, total: int, n: int, seed: int, width: float = 7.0) -> DataFrame:
     """Per replicate the n_first-th smallest (hash, codes): the exact cut that keeps the group sizes.
 
-    A histogram of about sqrt(rows) bins per replicate locates the cut; only the rows of that bin are ranked.
+    Hashes are even, so the cut lies within a few standard errors of its expected place, in a window that is the same for all
+    replicates.  One pass counts per replicate the rows below the window and in its parts; a second one gathers the rows of the one part that
+    holds the cut, about ``sqrt(total)`` / 10 per replicate, and only they are ranked.  A window that misses a cut is widened.
     """
-    bins = max(16, int(total ** 0.5))
-    x = df.select(key_code(*unit).alias("x"), second_code(*unit).alias("y")).repartition(core_count(df.sparkSession), "x").withColumn("_r", F.explode(replicate_axis(seed, n)))
-    x = x.select("x", "y", F.col("_r.rep").alias("rep"), poly_hash(F.col("x"), F.col("y"), F.col("_r")).alias("u"))
-    x = x.withColumn("bin", F.floor(F.col("u") * bins / F.lit(PRIME)).cast("int"))
-    hist = x.groupBy("rep", "bin").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("rep").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
-    at = hist.where((F.lit(n_first) > F.col("before")) & (F.lit(n_first) <= F.col("before") + F.col("c"))).select("rep", "bin", "before")
-    inside = x.join(F.broadcast(at), ["rep", "bin"])  # one row per replicate
-    r = inside.withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("u", "x", "y")))
-    return r.where(F.col("rn") == F.lit(n_first) - F.col("before")).select("rep", "u", "x", "y")
+    if not 0 < n_first <= total:
+        return df.sparkSession.createDataFrame([], "rep int, u bigint, x bigint, y bigint")
+    share = n_first / total
+    half = width * (share * (1 - share) / total) ** 0.5 + width / total
+    low, high = max(0, int(PRIME * (share - half))), min(PRIME, int(PRIME * (share + half)) + CUT_BINS)
+    edges = np.array([low + (high - low) * k // CUT_BINS for k in range(CUT_BINS + 1)], dtype=np.int64)
+    coef = np.array(replicate_coefficients(seed, n), dtype=np.int64)
+    rows = df.select(key_code(*unit).alias("x"), second_code(*unit).alias("y")).repartition(core_count(df.sparkSession), "x")
+
+    def hashes(batches: Iterator[pd.DataFrame]):
+        for pdf in batches:
+            x, y = pdf["x"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64)
+            for lo in range(0, n, REPLICATE_BLOCK):
+                yield lo, x, y, _hash_matrix(x, y, coef[lo : lo + REPLICATE_BLOCK])
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros((n, CUT_BINS + 1), np.int64)
+        for lo, _, _, u in hashes(batches):
+            counts[lo : lo + u.shape[1], 0] += (u < low).sum(axis=0)
+            row, rep = np.nonzero((u >= low) & (u < high))
+            part = np.searchsorted(edges, u[row, rep], side="right")
+            counts[lo : lo + u.shape[1]] += np.bincount(rep * (CUT_BINS + 1) + np.minimum(part, CUT_BINS), minlength=u.shape[1] * (CUT_BINS + 1)).reshape(-1, CUT_BINS + 1)
+        yield pd.DataFrame({"m": [counts.ravel()]})
+
+    found = merge_arrays(rows.mapInPandas(tally, "m array<bigint>"), [], "m").first()  # bounded by the replicates
+    ends = np.cumsum(np.asarray(found["m"]).reshape(n, CUT_BINS + 1), axis=1)
+    if not ((ends[:, 0] < n_first) & (n_first <= ends[:, -1])).all():
+        return permutation_cuts(df, unit, n_first, total, n, seed, width * 4)
+    part = (ends < n_first).sum(axis=1)  # 1 is the first part of the window
+    before, start, stop = ends[np.arange(n), part - 1], edges[part - 1], edges[part]
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for lo, x, y, u in hashes(batches):
+            at = slice(lo, lo + u.shape[1])
+            row, rep = np.nonzero((u >= start[at]) & (u < stop[at]))
+            yield pd.DataFrame({"rep": (rep + lo).astype(np.int32), "u": u[row, rep], "x": x[row], "y": y[row], "need": n_first - before[rep + lo]})
+
+    inside = rows.mapInPandas(gather, "rep int, u bigint, x bigint, y bigint, need bigint")
+    ranked = inside.withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("u", "x", "y")))
+    return ranked.where("rn = need").select("rep", "u", "x", "y")
 
 
 def permutation_grams(df: DataFrame, features: Sequence[str], label: str, group: str, unit: Sequence[str], n: int, seed: int, first: str = "static", second: str = "mobile", exact_sizes: bool = True) -> DataFrame:

@@ -10,6 +10,7 @@ from windowlab.functions.hashing import sql_key_code, sql_poisson, sql_poly_hash
 from windowlab.operators import joins, metrics, resample, stats
 from windowlab.plans.registry import query
 from windowlab.plans.scoring import CM_SQL, KEYS, predicted, threshold_sql, thresholded
+from windowlab.session import stored
 
 FEATURES = ["qty", "disc", "tax", "size", "price"]
 TWO = ["qty", "disc"]
@@ -275,7 +276,7 @@ def bootstrap_welch(spark, sf):
     return rounded(rounded(w, ["mean_diff"], 6), ["t_stat", "dof", "cohens_d"], 3)
 
 
-N_CLUSTER = 200
+N_CLUSTER = 2000
 
 
 @query(
@@ -295,20 +296,20 @@ def cluster_bootstrap_accuracy(spark, sf):
 @query(
     "cluster_bootstrap_auc", "P8 M5",
     sql_with("scores", ce="SELECT domain, model, run_id, score, sum(y) AS p, sum(1-y) AS q FROM scores GROUP BY 1,2,3,4",
-             **boot_sql("run_id", 7, 50, "ce", "domain, model, run_id, score, p, q"),
+             **boot_sql("run_id", 7, N_CLUSTER, "ce", "domain, model, run_id, score, p, q"),
              sc="SELECT domain, model, rep, score, sum(w*p)::DOUBLE AS p, sum(w*q)::DOUBLE AS q FROM bw GROUP BY 1,2,3,4",
              sp="""SELECT *, coalesce(sum(q) OVER (PARTITION BY domain, model, rep ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS qb FROM sc""",
              v="SELECT domain, model, rep, sum(p*(qb+q/2))/(sum(p)*sum(q)) AS value FROM sp GROUP BY 1,2,3")
     + f"SELECT domain, model, {SUMMARY_SQL} FROM v GROUP BY 1, 2",
 )
 def cluster_bootstrap_auc(spark, sf):
-    reps = resample.cluster_bootstrap_auc(scores(spark, sf), KEYS, "run_id", "y", "score", 50, 7)
+    reps = resample.cluster_bootstrap_auc(scores(spark, sf), KEYS, "run_id", "y", "score", N_CLUSTER, 7)
     return rounded(resample.replicate_summary(reps, KEYS), ["mean", "std", "ci_lo", "ci_hi"])
 
 
 # ---- permutation ----------------------------------------------------------------------
 
-N_PERM = 60
+N_PERM = 1000
 
 PERM_SQL = dict(
     rp=sql_replicates(12345, N_PERM),
@@ -353,6 +354,23 @@ def permutation_test(spark, sf):
     return rounded(rounded(out, ["observed", "p_value", "null_mean", "null_std", "null_max"]), ["ratio_to_max"], 4)
 
 
+N_PERM_ALL = 10_000
+
+
+@query("permutation_test_all", "X4 X5 X7 P10")
+def permutation_test_all(spark, sf):
+    """10,000 permutations of the domain label over all features, both measures; too many rows for SQL, which checks the same operators above."""
+    w = wide(spark, sf)
+    null = stored(resample.separation(resample.permutation_grams(w, FEATURES, "label", "domain", ["row_key"], N_PERM_ALL, 12345), len(FEATURES)), "null")
+    real = resample.separation(resample.full_grams(w, FEATURES, "label", "domain"), len(FEATURES))
+    out = None
+    for measure in ("mahalanobis", "lda_ratio"):
+        gap = F.max(F.when(F.col("grp") == "mobile", F.col(measure))) - F.max(F.when(F.col("grp") == "static", F.col(measure)))
+        one = stats.permutation_summary(null.groupBy("rep").agg(gap.alias("value")), real.agg(gap.alias("obs")), [], "value", "obs").withColumn("measure", F.lit(measure))
+        out = one if out is None else out.unionByName(one)
+    return rounded(rounded(out, ["observed", "p_value", "null_mean", "null_std", "null_max"]), ["ratio_to_max"], 4)
+
+
 def _rank_sql(seed):
     return f"row_number() OVER (ORDER BY {sql_order_key(seed, 'row_key')}, row_key)"
 

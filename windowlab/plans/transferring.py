@@ -197,7 +197,7 @@ def fewshot_isotonic(spark, sf):
     return rounded(transfer.isotonic_fewshot(parts(spark, sf), fewshot_sample(spark, sf), "run_id"), ["acc"])
 
 
-N_AVG = 50
+N_AVG = 2000
 _c = lambda m, t: f"count(*) FILTER (model='{m}' AND (score>={t}/100.0::DOUBLE)=(y=1))"
 
 
