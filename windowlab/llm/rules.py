@@ -172,11 +172,20 @@ def learn(stats: DataFrame, label: str, precision: float = PRECISION, support: i
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> DataFrame:
-    """Features of at most ``sample`` labelled documents that pass the base rules, with ``bad`` and ``aside`` (a third, by hash)."""
+    """Features of at most ``sample`` labelled documents that pass the base rules, with ``bad`` and ``aside`` (a third, by hash).
+
+    The sample's texts are stored before anything is computed from them, and their statistics before the base rules filter them:
+    otherwise the optimiser would move the filter, and the statistics with it, below the join to all documents.  Of several
+    texts of one id the smallest counts.
+    """
+    from windowlab.llm.store import partitions, stored
+
     taught = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"))
     taught = taught.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(taught), "_id")
-    d = d.select("_id", "_label", statistics(F.col("_text")).alias("_s")).filter(~base_failed(F.col("_s")))
+    texts = stored(d.groupBy("_id", "_label").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text")), "taught")
+    texts = texts.repartition(partitions(docs.sparkSession), "_id")
+    d = stored(texts.select("_id", "_label", statistics(F.col("_text")).alias("_s")), "statistics").filter(~base_failed(F.col("_s")))
     f = features(F.col("_s"))
     return d.select(*[v.alias(k) for k, v in f.items()], (F.col("_label") == 0).alias("bad"), (F.pmod(F.xxhash64("_id", F.lit("aside")), F.lit(3)) == 0).alias("aside"))
 
@@ -189,6 +198,17 @@ def decision(rules: list[Rule], s: Column) -> Column:
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
+def kept(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the base rules and the list keep, columns unchanged under any name.
+
+    The verdict is generated, not projected: a filter on a projected column would be merged with it and compute the statistics
+    once for every place where they are used.
+    """
+    verdict = let(statistics(F.col(text_col)), lambda s: ~base_failed(s) & (decision(rules, s) == 0))
+    name = "kept" + "_" * (1 + max((len(c) for c in docs.columns), default=0))
+    return docs.select("*", F.explode(F.array(verdict)).alias(name)).filter(F.col(name)).drop(name)
+
+
 def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with a struct column ``<prefix>quality``: statistics, base_failed, rule (0: none) and kept."""
     s = let(statistics(F.col(text_col)), lambda s: F.struct(s.alias("stats"), base_failed(s).alias("base_failed"), decision(rules, s).alias("rule")))
