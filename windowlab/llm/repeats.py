@@ -91,14 +91,15 @@ def read_grams(texts: DataFrame, length: int) -> DataFrame:
 def read_contexts(texts: DataFrame, packed, bits: int, length: int) -> DataFrame:
     """(gram, context, key, begin, weight, anchor, body): anchors whose gram may be repeated.
 
-    ``context`` is the hash of the bytes of all windows of the anchor; their bytes stand in ``body`` once per batch,
-    with the number of equal contexts of the batch as ``weight``.
+    ``context`` is the hash of the bytes of all windows of the anchor.  Their bytes stand in ``body`` once per batch, in the row
+    whose ``weight`` is the number of equal contexts in its piece of text; a later piece of the batch that holds the context again
+    states its number as a negative weight.  Memory follows a piece and the hashes of a batch, not the bytes of a batch.
     """
     names = ["gram", "context", "key", "begin", "weight", "anchor", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
+            seen = np.zeros(0, np.uint64)
             for piece in pieces(batch, "text"):
                 raw, offsets = text_bytes(piece.column("text"))
                 row, place, first, last, gram, sums = anchors(raw, offsets, length)
@@ -108,20 +109,16 @@ def read_contexts(texts: DataFrame, packed, bits: int, length: int) -> DataFrame
                 row, place, first, last, gram = (x[hit] for x in (row, place, first, last, gram))
                 down, end = powers(len(raw) + 1)[1], last + length
                 code = mix((sums[end] - sums[first]) * down[first]) ^ mix(((end - first) * 4096 + place - first).astype(np.uint64))
-                body = raw.tobytes()
-                made.append((gram.view(np.int64), code.view(np.int64), np.asarray(piece.column("key"))[row], first - offsets[row], place - first, [body[a:b] for a, b in zip(first.tolist(), end.tolist())]))
-            if not made:
-                continue
-            gram, code, key, begin, anchor = (np.concatenate([m[i] for m in made]) for i in range(5))
-            bodies = [b for m in made for b in m[5]]
-            _, once, weight = np.unique(code, return_index=True, return_counts=True)
-            w = np.zeros(len(code), np.int64)
-            w[once] = weight
-            for at in range(0, len(code), 5000):
-                s = slice(at, at + 5000)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x[s].astype(np.int64)) for x in (gram, code, key, begin, w, anchor)), pa.array([b if k else None for b, k in zip(bodies[s], w[s].tolist())], pa.binary())], names
-                )
+                found, once, count = np.unique(code, return_index=True, return_counts=True)
+                old = np.isin(found, seen, assume_unique=True)
+                seen = np.concatenate([seen, found[~old]])
+                w = np.zeros(len(code), np.int64)
+                w[once] = np.where(old, -count, count)
+                key, begin, anchor = np.asarray(piece.column("key"))[row], first - offsets[row], place - first
+                for at in range(0, len(code), 5000):
+                    s = slice(at, at + 5000)
+                    body = [raw[a:b].tobytes() if k > 0 else None for a, b, k in zip(first[s].tolist(), end[s].tolist(), w[s].tolist())]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[s].astype(np.int64)) for x in (gram.view(np.int64), code.view(np.int64), key, begin, w, anchor)), pa.array(body, pa.binary())], names)
 
     return texts.select("key", "text").mapInArrow(run, "gram bigint, context bigint, key bigint, begin bigint, weight bigint, anchor bigint, body binary")
 
@@ -192,7 +189,7 @@ def tree_windows(rows: DataFrame, length: int) -> DataFrame:
                     made += close(group) if group else []
                     gram, group = g, {}
                 if c in group:
-                    group[c][0] += w
+                    group[c][0] += abs(w)
                 else:
                     group[c] = [w, a, b]
             if len(made) > 5000:
@@ -202,7 +199,7 @@ def tree_windows(rows: DataFrame, length: int) -> DataFrame:
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*made)], ["context", "lo", "hi", "repeat"])
 
-    return rows.repartition(partitions(rows.sparkSession), "gram").sortWithinPartitions("gram", "context").mapInArrow(run, schema)
+    return rows.repartition(partitions(rows.sparkSession), "gram").sortWithinPartitions("gram", "context", F.desc("weight")).mapInArrow(run, schema)
 
 
 def counted_windows(rows: DataFrame, length: int) -> DataFrame:
@@ -222,7 +219,7 @@ def counted_windows(rows: DataFrame, length: int) -> DataFrame:
                 code = mix((sums[at + length] - sums[at]) * down[at])
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(piece.column("context"))[row]), pa.array(lo), pa.array(code.view(np.int64)), pa.array(np.asarray(piece.column("weight"))[row])], ["context", "lo", "code", "weight"])
 
-    each = rows.groupBy("context").agg(F.sum("weight").alias("weight"), F.first("body").alias("body"))
+    each = rows.groupBy("context").agg(F.sum(F.abs("weight")).alias("weight"), F.first("body", ignorenulls=True).alias("body"))
     windows = stored(each.mapInArrow(run, "context bigint, lo bigint, code bigint, weight bigint"), "windows")
     sizes = windows.groupBy("code").agg(F.sum("weight").alias("all"), F.count("*").alias("rows")).filter(F.col("all") > 1)
     return join_sizes(windows.select("context", "lo", "code"), sizes.select("code", "rows"), "code", "rows").select("context", "lo", F.col("lo").alias("hi"), F.col("code").alias("repeat"))
@@ -246,7 +243,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Data
     grams = read_grams(once, length).groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
     packed = spark.sparkContext.broadcast(bit_filter(grams.select(F.expr(f"gram & {FILTER_BITS - 1}").alias("slot")), FILTER_BITS))
     contexts = stored(read_contexts(once, packed, FILTER_BITS, length), "contexts")
-    bodies = contexts.filter("weight > 0").select("gram", "context", "weight", "anchor", "body")
+    bodies = contexts.filter("weight <> 0").select("gram", "context", "weight", "anchor", "body")
     crowd = contexts.filter("weight > 0").groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > CROWDED).select("gram")
     crowd = stored(crowd, "crowd")
     found = tree_windows(bodies.join(crowd, "gram", "left_anti"), length)
