@@ -34,6 +34,8 @@ BLOCK = 1 << 22
 #: Different contexts of one gram that one task sorts; grams with more are counted window by window.
 CROWDED = 4000
 FILTER_BITS = 1 << 26
+#: Bytes of text whose anchors are found at once, about 150 bytes of memory each.
+PIECE = 1 << 18
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -75,21 +77,26 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     return row, place, first, last, gram, sums
 
 
-def read_grams(texts: DataFrame, length: int) -> DataFrame:
-    """(gram) of every anchor."""
+def chosen(batch: pa.RecordBatch, slots: bytes) -> pa.RecordBatch:
+    """Rows of (slot, key, text) whose slot is set: done by the reader itself, as another step would hold the batch in another process."""
+    return batch.filter(pa.array(in_filter(np.asarray(batch.column("slot")), slots)))
+
+
+def read_grams(texts: DataFrame, slots, length: int) -> DataFrame:
+    """(gram) of every anchor of the chosen texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(chosen(batch, slots.value), "text", PIECE):
                 gram = anchors(*text_bytes(piece.column("text")), length)[4]
                 if len(gram):
                     yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], ["gram"])
 
-    return texts.select("text").mapInArrow(run, "gram bigint")
+    return texts.select("slot", "text").mapInArrow(run, "gram bigint")
 
 
-def read_contexts(texts: DataFrame, packed, bits: int, length: int) -> DataFrame:
-    """(gram, context, key, begin, weight, anchor, body): anchors whose gram may be repeated.
+def read_contexts(texts: DataFrame, slots, packed, bits: int, length: int) -> DataFrame:
+    """(gram, context, key, begin, weight, anchor, body): anchors of the chosen texts whose gram may be repeated.
 
     ``context`` is the hash of the bytes of all windows of the anchor.  Their bytes stand in ``body`` once per batch, in the row
     whose ``weight`` is the number of equal contexts in its piece of text; a later piece of the batch that holds the context again
@@ -100,7 +107,7 @@ def read_contexts(texts: DataFrame, packed, bits: int, length: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = np.zeros(0, np.uint64)
-            for piece in pieces(batch, "text"):
+            for piece in pieces(chosen(batch, slots.value), "text", PIECE):
                 raw, offsets = text_bytes(piece.column("text"))
                 row, place, first, last, gram, sums = anchors(raw, offsets, length)
                 hit = in_filter((gram & np.uint64(bits - 1)).astype(np.int64), packed.value)
@@ -120,7 +127,7 @@ def read_contexts(texts: DataFrame, packed, bits: int, length: int) -> DataFrame
                     body = [raw[a:b].tobytes() if k > 0 else None for a, b, k in zip(first[s].tolist(), end[s].tolist(), w[s].tolist())]
                     yield pa.RecordBatch.from_arrays([*(pa.array(x[s].astype(np.int64)) for x in (gram.view(np.int64), code.view(np.int64), key, begin, w, anchor)), pa.array(body, pa.binary())], names)
 
-    return texts.select("key", "text").mapInArrow(run, "gram bigint, context bigint, key bigint, begin bigint, weight bigint, anchor bigint, body binary")
+    return texts.select("slot", "key", "text").mapInArrow(run, "gram bigint, context bigint, key bigint, begin bigint, weight bigint, anchor bigint, body binary")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -233,16 +240,11 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Data
     sizes = stored(base.groupBy("key").agg(F.count("*").alias("copies"), F.min("slot").alias("slot")), "sizes")
     reps = spark.sparkContext.broadcast(bit_filter(sizes.select(F.pmod("slot", F.lit(1 << 24)).alias("slot")), 1 << 24))
 
-    def first_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_filter(np.asarray(batch.column("slot")), reps.value)))
-
     # one row of each different text, and by chance some more, which changes nothing
     once = rows.filter(F.octet_length("text") >= length).select(F.pmod(F.xxhash64("id", "key"), F.lit(1 << 24)).alias("slot"), "key", "text")
-    once = once.mapInArrow(first_only, once.schema)
-    grams = read_grams(once, length).groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
+    grams = read_grams(once, reps, length).groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram")
     packed = spark.sparkContext.broadcast(bit_filter(grams.select(F.expr(f"gram & {FILTER_BITS - 1}").alias("slot")), FILTER_BITS))
-    contexts = stored(read_contexts(once, packed, FILTER_BITS, length), "contexts")
+    contexts = stored(read_contexts(once, reps, packed, FILTER_BITS, length), "contexts")
     bodies = contexts.filter("weight <> 0").select("gram", "context", "weight", "anchor", "body")
     crowd = contexts.filter("weight > 0").groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > CROWDED).select("gram")
     crowd = stored(crowd, "crowd")
@@ -272,9 +274,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, own in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
-                raw, kept, at, gone, count = text.encode(), hashlib.sha256(), 0, 0, 0
-                for r in sorted((r["begin"], r["end"]) for r in own):
+            for text, own in zip(batch.column("text"), batch.column("runs")):  # texts stay in the batch
+                raw, kept, at, gone, count = memoryview(text.as_buffer()), hashlib.sha256(), 0, 0, 0
+                for r in sorted((r["begin"], r["end"]) for r in own.as_py()):
                     if r[0] > at or not count:
                         kept.update(raw[at : r[0]])
                         count, gone, at = count + 1, gone + r[1] - r[0], r[1]
@@ -290,6 +292,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     done = texts.join(single, "key").mapInArrow(cut, "key bigint, removed bigint, spans bigint, kept string")
     whole = sizes.filter((F.col("copies") > 1) & (F.col("n") >= length))
     whole = whole.select("key", "copies", F.col("n").alias("removed"), F.lit(1).cast("bigint").alias("spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept"))
-    change = whole.unionByName(done.withColumn("copies", F.lit(1).cast("bigint")).select("key", "copies", "removed", "spans", "kept"))
+    change = stored(whole.unionByName(done.withColumn("copies", F.lit(1).cast("bigint")).select("key", "copies", "removed", "spans", "kept")), "change")
     out = join_sizes(base.select("id", "n", "sha", "key"), change, "key", "copies", "left")
     return out.select("id", "n", F.coalesce("removed", F.lit(0)).alias("removed"), F.coalesce("spans", F.lit(0)).alias("spans"), F.coalesce("kept", "sha").alias("sha"))
