@@ -96,8 +96,8 @@ def decompose(reg: DataFrame, large: str, small: str) -> DataFrame:
 def ordering_flags(reg: DataFrame, slack: float = NOISE_BAND) -> DataFrame:
     """Expected order: in-test >= calibration >= source, within a slack."""
     return reg.withColumn("flags", F.array_compact(F.array(
-        F.when(F.col("acc_int") + slack < F.col("acc_orc"), F.lit("intest<calib")),
-        F.when(F.col("acc_orc") + slack < F.col("acc_src"), F.lit("calib<src")),
+        F.when(F.col("acc_int") + slack < F.col("acc_orc"), F.lit("in-test cut below calibrated cut")),
+        F.when(F.col("acc_orc") + slack < F.col("acc_src"), F.lit("calibrated cut below source cut")),
     )))
 
 
@@ -118,7 +118,7 @@ def threshold_share(components: DataFrame, cut: float = 0.5) -> DataFrame:
     s = components.groupBy("direction").agg(at("delta_total").alias("total"), at("delta_threshold").alias("threshold"))
     share = F.when(F.abs("total") > 1e-9, F.col("threshold") / F.col("total"))
     return s.withColumn("share", share).withColumn(
-        "verdict", F.when(F.col("share") >= cut, "mostly threshold").when(F.col("share").isNotNull(), "feature story survives")
+        "verdict", F.when(F.col("share") >= cut, "due to the cut").when(F.col("share").isNotNull(), "due to the features")
     )
 
 

@@ -104,7 +104,7 @@ def component_summary(spark, sf):
     "threshold_share", "C16",
     sql_with("scores", **DEC_SQL, m="SELECT direction, avg(delta_total) AS total, avg(delta_threshold) AS thr FROM dec GROUP BY 1")
     + """SELECT direction, round(total,6) AS total, round(thr,6) AS threshold, round(thr/total,5) AS share,
-      CASE WHEN thr/total >= 0.5 THEN 'mostly threshold' ELSE 'feature story survives' END AS verdict FROM m""",
+      CASE WHEN thr/total >= 0.5 THEN 'due to the cut' ELSE 'due to the features' END AS verdict FROM m""",
 )
 def threshold_share(spark, sf):
     c = transfer.component_summary(transfer.decompose(regimes(spark, sf), "by_disc", "by_qty"))
@@ -113,8 +113,8 @@ def threshold_share(spark, sf):
 
 @query(
     "ordering_flags", "C15",
-    sql_with("scores", **REG_SQL) + f"""SELECT {K}, concat_ws(',', CASE WHEN acc_int+0.005::DOUBLE<acc_orc THEN 'intest<calib' END,
-      CASE WHEN acc_orc+0.005::DOUBLE<acc_src THEN 'calib<src' END) AS flags FROM reg""",
+    sql_with("scores", **REG_SQL) + f"""SELECT {K}, concat_ws(',', CASE WHEN acc_int+0.005::DOUBLE<acc_orc THEN 'in-test cut below calibrated cut' END,
+      CASE WHEN acc_orc+0.005::DOUBLE<acc_src THEN 'calibrated cut below source cut' END) AS flags FROM reg""",
 )
 def ordering_flags(spark, sf):
     f = transfer.ordering_flags(regimes(spark, sf))
