@@ -77,16 +77,21 @@ def test_scores_prefer_real_words(spark, sf):
     assert pairs and sum(a > b for a, b in pairs) > 0.95 * len(pairs)
 
 
+def in_parts(terms, weights, size=150):
+    """The vectors as the index takes them."""
+    cuts = range(0, len(terms), size)
+    return lambda: ((np.array([len(t) for t in terms[i : i + size]]), np.concatenate(terms[i : i + size]), np.concatenate(weights[i : i + size])) for i in cuts)
+
+
 def test_block_max_is_exact():
     rng = np.random.default_rng(1)
-    first, term, weight = [0], [], []
+    term, weight = [], []
     for _ in range(500):
         t = np.sort(rng.choice(60, rng.integers(1, 8), replace=False))
         w = rng.random(len(t))
         term.append(t)
         weight.append(w / np.linalg.norm(w))
-        first.append(first[-1] + len(t))
-    index = toxicity.BlockMax(60, np.array(first), np.concatenate(term), np.concatenate(weight), rng.integers(0, 2, 500).astype(float))
+    index = toxicity.BlockMax(60, in_parts(term, weight), rng.integers(0, 2, 500).astype(float))
     for _ in range(60):
         t = np.sort(rng.choice(60, 5, replace=False))
         w = rng.random(5)
@@ -98,6 +103,40 @@ def test_block_max_is_exact():
         assert ids.tolist() == want and np.allclose(values, cos[want])
 
 
+def test_pruned_search_finds_what_a_full_search_finds(monkeypatch):
+    """Topics with copies: blocks are skipped, and neighbours, cosines and votes stay those of all products."""
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    rng, size = np.random.default_rng(5), 400
+    texts = []
+    for i in range(600):
+        topic = i % 12
+        own = rng.choice(np.arange(40 + 30 * topic, 70 + 30 * topic), 12, replace=False)
+        texts.append(np.unique(np.concatenate([rng.choice(40, 2 + i % 25, replace=False), own])))
+    texts += [texts[7]] * 40
+    weights = [rng.random(len(t)) + 0.2 for t in texts[:600]]
+    weights = [w / np.linalg.norm(w) for w in weights] + [weights[7] / np.linalg.norm(weights[7])] * 40
+    mark = np.zeros(size, bool)
+    mark[[45, 46, 80, 200]] = True
+    index = toxicity.BlockMax(size, in_parts(texts, weights), np.zeros(640), mark)
+    dense = np.zeros((640, size))
+    for i, (t, w) in enumerate(zip(texts, weights)):
+        dense[i, t] = w
+    asked = list(range(0, 640, 5)) + [7]
+    edge = np.concatenate([[0], np.cumsum([len(texts[i]) for i in asked])])
+    got = list(index.search(edge, np.concatenate([texts[i] for i in asked]), np.concatenate([weights[i] for i in asked]), 15))
+    for i, (found, cosine, vote) in zip(asked, got):
+        full = dense @ dense[i]
+        norms = np.linalg.norm(dense[:, mark], axis=1) * np.linalg.norm(dense[i, mark])
+        marked = np.divide(dense[:, mark] @ dense[i, mark], norms, out=np.zeros(640), where=norms > 0)
+        best = [j for j in np.lexsort((np.arange(640), -np.round(full, 6)))[:15] if full[j] > 0]
+        assert found[: len(best)].tolist() == best and np.allclose(cosine, full[found], atol=1e-5)
+        more = [j for j in np.lexsort((np.arange(640), -np.round(marked, 6)))[:15] if marked[j] > 0 and j not in best]
+        assert sorted(found[len(best) :].tolist()) == sorted(more)
+        if mark[texts[i]].any():
+            assert np.allclose(vote, full[found] + marked[found], atol=1e-5)
+    assert 0 < index.visited < 0.9 * index.all
+
+
 def test_toxicity_held_out(spark):
     rng = np.random.default_rng(2)
     names = [f"w{i}" for i in range(300)]

@@ -4,8 +4,12 @@ Terms are words and their beginnings of four to six bytes (stems), so that infle
 At most ``SAMPLE`` labelled rows (the first in order of a hash of their id) are the examples, and every term that one of them
 holds is in the index.  Document frequencies are counted over all rows.
 
-Neighbours are the ``NEIGHBOURS`` examples of largest cosine, found among all of them: the terms that many examples hold are a
-matrix that is multiplied with a piece of texts at a time, the others are postings that are added up.
+Neighbours are the ``NEIGHBOURS`` examples of largest cosine, found in a block-max inverted index.  Examples lie in blocks of
+``BLOCK``, ordered by the norm of their part over frequent terms.  Postings of the other terms are added up first: every sum is
+a lower bound of a cosine, and a block's largest sum plus what its frequent terms can add at most (the text's weights times
+the block's maximum of each term, or the product of norms, whichever is less) is an upper bound for all its examples.  A block
+whose upper bound is below the least of k cosines that are already certain is skipped; the others are completed, for up to
+``ROWS`` texts at a time.  What is found is what a search through all examples finds.
 
 Label statistics weight votes: terms that toxic examples hold at least ``LIFT`` times as often as others (and significantly
 so) are marks, and examples vote by their cosine plus their cosine over the marks alone.  The ``NEIGHBOURS`` largest of the latter
@@ -20,7 +24,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +38,12 @@ SAMPLE, LIFT, LEAST_ROWS = 20_000, 3.0, 4
 #: Likelihood ratio (twice its logarithm) that a mark must reach: chance alone reaches it once in ten thousand terms.
 SIGNIFICANT = 15.0
 NEIGHBOURS = 15
-#: Terms of more than this share of the examples, at most ``COLUMNS``, are a matrix; any numbers give the same result.
+#: Terms of more than this share of the examples, at most ``COLUMNS``, are bounded by block; any numbers give the same result.
 FREQUENT, COLUMNS = 0.06, 2000
-#: Texts that are multiplied with the matrix at once.
-ROWS = 256
+#: Examples of a block, and texts that visit it at once.
+BLOCK, ROWS = 128, 256
+#: Cosines closer than this are equal.
+EQUAL = 1e-6
 #: Examples that pass through the driver at once.
 PART = 1000
 #: Weight of the prior, in units of a neighbour with cosine 1.
@@ -72,19 +78,38 @@ def counts(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row[edge], value[edge], np.diff(np.append(edge, len(row)))
 
 
-def look_up(vocabulary: np.ndarray, row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term number) of those hashes that are in the sorted vocabulary."""
-    if not len(vocabulary) or not len(code):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    k = np.minimum(np.searchsorted(vocabulary, code), len(vocabulary) - 1)
-    hit = vocabulary[k] == code
-    return row[hit], k[hit]
+class Vocabulary:
+    """Sorted hashes of terms; the leading bits of a hash say where to look for it."""
 
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self.shift = np.uint64(64 - max(len(codes).bit_length(), 1))
+        self.first = np.searchsorted(codes >> self.shift, np.arange((1 << int(64 - self.shift)) + 1, dtype=np.uint64)).astype(np.int32)
 
-def term_counts(piece: pa.RecordBatch, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __len__(self) -> int:
+        return len(self.codes)
+
+    def look_up(self, row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, term number) of those hashes that are terms."""
+        slot = (code >> self.shift).astype(np.int64)
+        at, end = self.first[slot], self.first[slot + 1]
+        on = np.flatnonzero(at < end)
+        rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(on):
+            k = at[on]
+            hit = self.codes[k] == code[on]
+            rows.append(row[on[hit]])
+            found.append(k[hit])
+            on = on[~hit]
+            at[on] += 1
+            on = on[at[on] < end[on]]
+        return np.concatenate(rows).astype(np.int64), np.concatenate(found).astype(np.int64)
+
+
+def term_counts(piece: pa.RecordBatch, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, times) of a batch."""
-    row, term = look_up(vocabulary, *terms(Words(*text_bytes(piece.column("text")))))
-    both, tf = np.unique(row.astype(np.int64) * max(len(vocabulary), 1) + term, return_counts=True)
+    row, term = vocabulary.look_up(*terms(Words(*text_bytes(piece.column("text")))))
+    both, tf = np.unique(row * max(len(vocabulary), 1) + term, return_counts=True)
     return *np.divmod(both, max(len(vocabulary), 1)), tf
 
 
@@ -94,7 +119,7 @@ def unit(row: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, n:
     return weight / np.sqrt(np.bincount(row, weight**2, n))[row]
 
 
-def vectors(piece: pa.RecordBatch, vocabulary: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def vectors(piece: pa.RecordBatch, vocabulary: Vocabulary, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, weight) of the unit vectors of a batch."""
     row, term, tf = term_counts(piece, vocabulary)
     return row, term, unit(row, term, tf, idf, piece.num_rows)
@@ -111,83 +136,144 @@ def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[: len(both) // 2], dtype=np.int32), both[len(both) // 2 :]
 
 
-def spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places first, first + 1, ... of runs of ``size``, one after another."""
-    ends = np.cumsum(size)
-    return np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-
-
-class Examples:
-    """The examples' unit vectors: a matrix over the frequent terms and postings of the others."""
+class BlockMax:
+    """The examples' unit vectors: postings, and for frequent terms blocks of weights with their maxima."""
 
-    def __init__(self, n_terms: int, first: np.ndarray, term: np.ndarray, weight: np.ndarray, toxic: np.ndarray, mark: np.ndarray | None = None):
+    def __init__(self, n_terms: int, parts: Callable[[], Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]], toxic: np.ndarray, mark: np.ndarray | None = None):
+        """``parts()`` gives (lengths, terms, weights) of the vectors of some examples after others; it is called three times,
+        so that what is not part of the index is held for one part only."""
+        n = len(toxic)
         self.toxic, self.mark = toxic, np.zeros(n_terms, bool) if mark is None else mark
-        example = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(first))
-        on = self.mark[term]
-        self.mark_norm = np.sqrt(np.bincount(example[on], np.square(weight[on], dtype=np.float64), len(toxic)))
-        held = np.bincount(term, minlength=n_terms) * ~self.mark
-        often = np.argsort(-held, kind="stable")[:COLUMNS]
-        often = often[held[often] > FREQUENT * len(toxic)]
+        held = np.zeros(n_terms, np.int64)
+        for _, term, _ in parts():
+            held += np.bincount(term, minlength=n_terms)
+        often = np.argsort(np.where(self.mark, 0, -held), kind="stable")[:COLUMNS]
+        often = often[(held[often] > FREQUENT * n) & ~self.mark[often]]
         self.column = np.full(n_terms, -1, np.int32)
         self.column[often] = np.arange(len(often))
-        column = self.column[term]
-        self.matrix = np.zeros((len(often), len(toxic)), np.float32)
-        self.matrix[column[column >= 0], example[column >= 0]] = weight[column >= 0]
-        on = np.flatnonzero(column < 0)
-        on = on[np.argsort(term[on], kind="stable")]
-        self.post_example, self.post_weight = example[on], weight[on]
-        self.post_first = np.searchsorted(term[on], np.arange(n_terms + 1))
+        norm, self.mark_norm = [np.zeros(0)], [np.zeros(0)]
+        for length, term, weight in parts():
+            row, square = np.repeat(np.arange(len(length)), length), np.square(weight, dtype=np.float64)
+            norm.append(np.sqrt(np.bincount(row, square * (self.column[term] >= 0), len(length))))
+            self.mark_norm.append(np.sqrt(np.bincount(row, square * self.mark[term], len(length))))
+        norm, self.mark_norm = np.concatenate(norm), np.concatenate(self.mark_norm)
+        self.order = np.argsort(-norm, kind="stable")
+        place = np.empty(n, np.int32)
+        place[self.order] = np.arange(n)
+        self.norm = norm[self.order][::BLOCK].astype(np.float32)
+        self.blocks = -(-n // BLOCK)
+        self.matrix = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
+        held[often] = 0
+        self.post_first = np.concatenate([[0], np.cumsum(held)])
+        #: Place and weight of a posting side by side, so that one read fetches both.
+        self.post = np.empty((self.post_first[-1], 2), np.int32)
+        at, full = 0, self.post_first[:-1].copy()
+        for length, term, weight in parts():
+            to, column = np.repeat(place[at : at + len(length)], length), self.column[term]
+            at += len(length)
+            on = column >= 0
+            self.matrix[to[on], column[on]] = weight[on]
+            off = np.flatnonzero(~on)
+            off = off[np.argsort(term[off], kind="stable")]
+            found, first, size = np.unique(term[off], return_index=True, return_counts=True)
+            slot = np.repeat(full[found] - first, size) + np.arange(len(off))
+            self.post[slot, 0], self.post[slot, 1] = to[off], weight[off].astype(np.float32).view(np.int32)
+            full[found] += size
+        self.peak = np.zeros((self.blocks, len(often)), np.float32)
+        for b in range(self.blocks):
+            self.peak[b] = self.matrix[b * BLOCK : (b + 1) * BLOCK].max(0)
+        self.peak = np.ascontiguousarray(self.peak.T)
+        #: Pairs of a text and a block that were completed, and all there were.
+        self.visited = self.all = 0
+        self.room: tuple[np.ndarray, ...] = (np.empty((0, 2), np.int32),)
 
     def sums(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """The products with all examples over the given terms that have postings."""
-        size = self.post_first[term + 1] - self.post_first[term]
-        take = spans(self.post_first[term], size)
-        return np.bincount(self.post_example[take], self.post_weight[take] * np.repeat(weight, size), len(self.toxic))
-
-    def products(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-        """The products of ``n`` texts with all examples over the frequent terms."""
-        column = self.column[term]
-        texts = np.zeros((n, len(self.matrix)), np.float32)
+        """The products with all places over the given terms, which have postings."""
+        a, b = self.post_first[term], self.post_first[term + 1]
+        n = int((b - a).sum())
+        if not n:
+            return np.zeros(self.blocks * BLOCK)
+        if n > len(self.room[0]):  # kept between calls: new memory costs as much as the sums
+            self.room = np.empty((2 * n, 2), np.int32), np.empty(2 * n, np.int64), np.empty(2 * n)
+        both, places, products = (r[:n] for r in self.room)
+        np.concatenate([self.post[i:j] for i, j in zip(a.tolist(), b.tolist())], out=both)
+        np.copyto(places, both[:, 0])
+        np.multiply(both.view(np.float32)[:, 1], np.repeat(weight, b - a), out=products)
+        return np.bincount(places, products, self.blocks * BLOCK)
+
+    def search(self, edge: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(examples, cosines, weights of their votes) of each text: the k nearest, then the k nearest over the marks alone.
+
+        The terms of text ``i`` lie from ``edge[i]`` to ``edge[i + 1]``.
+        """
+        n = len(edge) - 1
+        row, column = np.repeat(np.arange(n), np.diff(edge)), self.column[term]
+        texts = np.zeros((n, self.matrix.shape[1]), np.float32)
         texts[row[column >= 0], column[column >= 0]] = weight[column >= 0]
-        return texts @ self.matrix
-
-    def cosines(self, term: np.ndarray, weight: np.ndarray, product: np.ndarray | None = None) -> np.ndarray:
-        """The cosines of a text with all examples."""
-        if product is None:
-            product = self.products(np.zeros(len(term), np.int64), term, weight, 1)[0]
-        rare = self.column[term] < 0
-        return self.sums(term[rare], weight[rare]) + product
+        found = np.zeros((n, self.blocks * BLOCK), np.float32)
+        for i in range(n):
+            on = slice(edge[i], edge[i + 1])
+            rare = column[on] < 0
+            found[i] = self.sums(term[on][rare], weight[on][rare])
+        cells = found.reshape(n, self.blocks, BLOCK)
+        top = cells.max(2)
+        most = top + np.minimum(texts @ self.peak, np.linalg.norm(texts, axis=1)[:, None] * self.norm)
+        least = self.certain(texts, cells, top, most, k)
+        need = most >= least[:, None] - EQUAL
+        some, made = np.empty_like(texts), np.empty((n, BLOCK), np.float32)
+        for b in range(self.blocks):
+            who = np.flatnonzero(need[:, b])
+            if len(who):
+                asked = texts if len(who) == n else np.take(texts, who, axis=0, out=some[: len(who)], mode="clip")
+                cells[who, b] += np.matmul(asked, self.matrix[b * BLOCK : (b + 1) * BLOCK].T, out=made[: len(who)])
+        self.visited, self.all = self.visited + int(need.sum()), self.all + need.size
+        for i in range(n):
+            on = slice(edge[i], edge[i + 1])
+            yield self.vote(found[i], need[i], least[i], texts[i], term[on], weight[on], k)
+
+    def certain(self, texts: np.ndarray, cells: np.ndarray, top: np.ndarray, most: np.ndarray, k: int) -> np.ndarray:
+        """For each text a number that k cosines reach: those of the foremost example of the k most promising blocks."""
+        if self.blocks < k:
+            return np.full(len(texts), EQUAL)
+        first = np.argpartition(-most, k - 1, axis=1)[:, :k]
+        at = np.take_along_axis(cells, first[:, :, None], 1).argmax(2) + first * BLOCK
+        exact = np.take_along_axis(cells.reshape(len(texts), -1), at, 1)
+        for j in range(k):
+            exact[:, j] += np.einsum("ij,ij->i", texts, self.matrix[at[:, j]])
+        return np.maximum(np.maximum(exact.min(1), np.partition(top, self.blocks - k, axis=1)[:, self.blocks - k]), EQUAL)
+
+    def vote(self, found: np.ndarray, need: np.ndarray, least: float, text: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.flatnonzero((found >= least - EQUAL) & (found > 0))
+        at = at[need[at // BLOCK]]
+        rows = at[largest(found[at], self.order[at], k)]
+        on = self.mark[term]
+        if not on.any():
+            return self.order[rows], found[rows], found[rows]
+        marked = self.sums(term[on], weight[on])[: len(self.order)]
+        held = np.flatnonzero(marked)
+        marked[held] /= self.mark_norm[self.order[held]] * np.sqrt(np.sum(weight[on] ** 2))
+        more = np.setdiff1d(held[largest(marked[held], self.order[held], k)], rows)
+        cosine = np.where(need[more // BLOCK], found[more], found[more] + self.matrix[more] @ text)
+        rows, cosine = np.concatenate([rows, more]), np.concatenate([found[rows], cosine])
+        return self.order[rows], cosine, cosine + marked[rows]
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a positive cosine."""
-        values = self.cosines(term, weight)
-        rows = largest(values, k)
-        return rows, values[rows]
-
-    def votes(self, term: np.ndarray, weight: np.ndarray, k: int, product: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(examples, cosines, weights of their votes): the k nearest, and the k nearest over the marks."""
-        values = self.cosines(term, weight, product)
-        rows = largest(values, k)
-        on = self.mark[term]
-        if not on.any():
-            return rows, values[rows], values[rows]
-        marked = self.sums(term[on], weight[on])
-        marked /= np.where(self.mark_norm > 0, self.mark_norm, 1) * np.sqrt(np.sum(weight[on] ** 2))
-        rows = np.concatenate([rows, np.setdiff1d(largest(marked, k), rows)])
-        return rows, values[rows], values[rows] + marked[rows]
+        rows, cosine, _ = next(self.search(np.array([0, len(term)]), term, weight, k))
+        return rows[:k], cosine[:k]
 
 
-def largest(values: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest positive values, largest first; values that agree to seven digits go by place."""
-    least = np.partition(values, len(values) - k)[len(values) - k] if len(values) > k else 0.0
-    rows = np.flatnonzero((values > 0) & (values >= least - 1e-6))
-    return rows[np.lexsort((rows, -np.round(values[rows], 7)))[:k]]
+def largest(values: np.ndarray, number: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest values, largest first; equal ones go by their number."""
+    if len(values) > k:
+        near = np.flatnonzero(values >= np.partition(values, len(values) - k)[len(values) - k] - EQUAL)
+    else:
+        near = np.arange(len(values))
+    return near[np.lexsort((number[near], -np.round(values[near].astype(np.float64), 6)))[:k]]
 
 
-#: The name under which tests know the index.
-BlockMax = Examples
 #: The index of the last model that this worker has read: it is built once and not in every task.
-_kept: dict[str, tuple[list, Examples]] = {}
+_kept: dict[str, tuple[list, BlockMax]] = {}
 
 
 def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column, sample: int) -> DataFrame:
@@ -197,6 +283,18 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(taught), "_id").select(F.col("_id").alias("id"), "toxic", "text")
 
 
+def columns(df: DataFrame) -> list[np.ndarray]:
+    """Bigint columns of a bounded table; they come to the driver as bytes, a batch in a row."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(c).astype(np.int64).tobytes()], pa.binary()) for c in batch.columns], names)
+
+    got = df.mapInArrow(run, ", ".join(f"{c} binary" for c in names)).collect()
+    return [np.frombuffer(b"".join(r[c] for r in got), np.int64) for c in names]
+
+
 def example_terms(taught: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of all terms of the examples, and which of them mark toxic ones."""
 
@@ -216,13 +314,12 @@ def example_terms(taught: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     p, n = (F.col("p") + 0.5) / (p0 + 1), (F.col("m") - F.col("p") + 0.5) / (n0 + 1)
     ratio = F.col("p") * F.log(p / ((F.col("m") + 1) / (p0 + n0 + 2))) + (F.col("m") - F.col("p")) * F.log(n / ((F.col("m") + 1) / (p0 + n0 + 2)))
     mark = (F.col("m") >= LEAST_ROWS) & (p / n >= LIFT) & (2 * ratio >= SIGNIFICANT) & F.lit(p0 > 0 and n0 > 0)
-    got = held.select("code", mark.alias("mark")).toPandas()
-    code = got["code"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(code)
-    return code[order], got["mark"].to_numpy().astype(bool)[order]
+    code, mark = columns(held.select("code", mark.cast("bigint").alias("mark")))
+    order = np.argsort(code.view(np.uint64))
+    return code.view(np.uint64)[order], mark.astype(bool)[order]
 
 
-def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """Rows of the whole table that hold each term."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -230,15 +327,15 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         total = np.zeros(len(held.value), np.int64)
         for batch in batches:
             for piece in pieces(batch, "text"):
-                row, term = look_up(held.value, *terms(Words(*text_bytes(piece.column("text")))))
-                both = np.unique(row.astype(np.int64) * max(len(total), 1) + term)
+                row, term = held.value.look_up(*terms(Words(*text_bytes(piece.column("text")))))
+                both = np.unique(row * max(len(total), 1) + term)
                 total += np.bincount(both % max(len(total), 1), minlength=len(total))
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], ["term", "rows"])
 
     out = np.zeros(len(vocabulary), np.int64)
-    got = docs.select("text").mapInArrow(run, "term bigint, rows bigint").groupBy("term").agg(F.sum("rows").alias("rows")).toPandas()
-    out[got["term"].to_numpy().astype(np.int64)] = got["rows"].to_numpy().astype(np.int64)
+    term, rows = columns(docs.select("text").mapInArrow(run, "term bigint, rows bigint").groupBy("term").agg(F.sum("rows").alias("rows")))
+    out[term] = rows
     return out
 
 
@@ -251,7 +348,8 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     from windowlab.llm.store import stored
 
     taught = stored(taught, "taught")
-    vocabulary, mark = example_terms(taught)
+    codes, mark = example_terms(taught)
+    vocabulary = Vocabulary(codes)
     all_rows = rows.count()
     idf = np.log((1 + all_rows) / (1 + document_frequencies(rows, vocabulary))) + 1 if len(vocabulary) else np.zeros(0)
     words = spark.sparkContext.broadcast((vocabulary, idf))
@@ -278,33 +376,31 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
         mark, prior = model.value
         if name not in _kept:
             _kept.clear()
-            ids, found, toxic = [], [], [np.zeros(0)]
-            for p in parts:
-                ids += p.value[0]
-                found += [unpack(v) for v in p.value[1]]
-                toxic.append(p.value[2])
-                vars(p).pop("_value", None)  # it can be read again
-            first = np.concatenate([[0], np.cumsum([len(t) for t, _ in found], dtype=np.int64)])
-            term, tf = (np.concatenate([np.zeros(0, np.int32), *(x[k] for x in found)]) for k in (0, 1))
-            del found
-            weight = unit(np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(first)), term, tf.astype(np.float32), words.value[1].astype(np.float32), len(ids)).astype(np.float32)
-            _kept[name] = ids, Examples(len(mark), first, term, weight, np.concatenate(toxic), mark)
-            del term, tf, weight
+            ids = [i for p in parts for i in p.value[0]]
+            idf = words.value[1].astype(np.float32)
+
+            def vectors_of(p) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                found = [unpack(v) for v in p.value[1]]
+                length = np.array([len(t) for t, _ in found])
+                term, tf = (np.concatenate([np.zeros(0, np.int32), *(x[k] for x in found)]) for k in (0, 1))
+                return length, term, unit(np.repeat(np.arange(len(found)), length), term, tf.astype(np.float32), idf, len(found)).astype(np.float32)
+
+            toxic = np.concatenate([np.zeros(0), *(p.value[2] for p in parts)])
+            _kept[name] = ids, BlockMax(len(mark), lambda: map(vectors_of, parts), toxic, mark)
         ids, near = _kept[name]
         toxic = near.toxic
         for batch in batches:
             for piece in pieces(batch, "text"):
                 row, t, w = vectors(piece, *words.value)
-                edge, at, to = np.searchsorted(row, np.arange(piece.num_rows + 1)), 0, 0
+                edge = np.searchsorted(row, np.arange(piece.num_rows + 1))
                 scores, evidence = np.full(piece.num_rows, prior), [[] for _ in range(piece.num_rows)]
-                for r in np.flatnonzero(np.diff(edge)).tolist() if len(ids) else ():
-                    if r >= to:  # the next texts at once
-                        at, to = r, min(r + ROWS, piece.num_rows)
-                        on = slice(edge[at], edge[to])
-                        product = near.products(row[on] - at, t[on], w[on], to - at)
-                    found, cosine, vote = near.votes(t[edge[r] : edge[r + 1]], w[edge[r] : edge[r + 1]], neighbours, product[r - at])
-                    scores[r] = (vote @ toxic[found] + PRIOR_WEIGHT * prior) / (vote.sum() + PRIOR_WEIGHT)
-                    evidence[r] = [{"example": ids[k], "cosine": float(c)} for k, c in zip(found.tolist(), cosine)]
+                for at in range(0, piece.num_rows if len(ids) else 0, ROWS):
+                    some = edge[at : at + ROWS + 1]
+                    on = slice(some[0], some[-1])
+                    for r, (found, cosine, vote) in enumerate(near.search(some - some[0], t[on], w[on], neighbours), at):
+                        if len(found):
+                            scores[r] = (vote @ toxic[found] + PRIOR_WEIGHT * prior) / (vote.sum() + PRIOR_WEIGHT)
+                            evidence[r] = [{"example": ids[k], "cosine": float(c)} for k, c in zip(found.tolist(), cosine)]
                 yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(scores), pa.array(evidence, pa.list_(pa.struct([("example", piece.column("id").type), ("cosine", pa.float64())])))], ["id", "score", "neighbours"])
 
     kind = rows.schema["id"].dataType.simpleString()
