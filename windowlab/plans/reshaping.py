@@ -164,6 +164,23 @@ def scan_scenario_tree(spark, sf):
     )
 
 
+@query(
+    "scan_file_report", "S1 R3",
+    sql_with("tall", t="""SELECT scenario, file_source, file_source % 11 = 3 OR (file_source % 11 = 5 AND event_id % 3 = 0) AS bad FROM tall""",
+             c="SELECT scenario, file_source, count(*) FILTER (NOT bad) AS n_rows, count(*) FILTER (bad) AS bad_rows FROM t GROUP BY 1, 2")
+    + """SELECT scenario, CAST(file_source AS VARCHAR) AS file_source, n_rows, bad_rows,
+      CASE WHEN bad_rows = 0 THEN 'read' WHEN n_rows = 0 THEN 'unusable' ELSE 'damaged' END AS state FROM c""",
+)
+def scan_file_report(spark, sf):
+    """All window files are written, some with values that are no numbers, and reported file by file."""
+    root = fresh_path(spark, "report")
+    run = F.col("file_source") % 11
+    bad = (run == 3) | ((run == 5) & (F.col("event_id") % 3 == 0))
+    sinks.write_tall(tall(spark, sf).withColumn("Value", F.when(bad, F.concat(F.lit("lost "), "event_id")).otherwise(F.col("Value").cast("string"))), root)
+    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]+)/", 1).alias(name)
+    return scans.file_report(spark, root).select(part("scenario"), part("file_source"), "n_rows", "bad_rows", "state")
+
+
 @query(
     "scan_wide_bundle", "S3 K1",
     sql_with("wide_a") + f"SELECT domain, scenario, file_source, defense_active, {sql_r6(*EVENT_METRICS)} FROM wide_a",
