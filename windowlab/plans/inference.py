@@ -265,15 +265,20 @@ def bootstrap_summary(spark, sf):
     "bootstrap_welch", "X8",
     sql_with("wide", **boot_sql("row_key", 42, N_BOOT, "wide", "domain, label, qty, disc"), **two_feature_sql("bw", "rep", "w"),
              m="""SELECT count(*) FILTER (grp='static') AS n0, count(*) FILTER (grp='mobile') AS n1, avg(mahalanobis) FILTER (grp='static') AS m0,
-               avg(mahalanobis) FILTER (grp='mobile') AS m1, var_samp(mahalanobis) FILTER (grp='static') AS v0, var_samp(mahalanobis) FILTER (grp='mobile') AS v1 FROM se""")
+               avg(mahalanobis) FILTER (grp='mobile') AS m1, var_samp(mahalanobis) FILTER (grp='static') AS v0, var_samp(mahalanobis) FILTER (grp='mobile') AS v1 FROM se""",
+             st="""SELECT (m1-m0)/sqrt(v0/n0+v1/n1) AS t, (v0/n0+v1/n1)*(v0/n0+v1/n1)/(v0/n0*v0/n0/(n0-1)+v1/n1*v1/n1/(n1-1)) AS v FROM m""",
+             # Simpson's rule over the density from 0 to t
+             ar="""SELECT t/4000/3*exp(lgamma((v+1)/2)-lgamma(v/2))/sqrt(pi()*v)
+               *sum((CASE WHEN i IN (0, 4000) THEN 1 ELSE 2+2*(i%2) END)*pow(1+(t*i/4000)*(t*i/4000)/v, -(v+1)/2)) AS a FROM st, range(4001) AS g(i) GROUP BY t, v""")
     + """SELECT 'mahalanobis' AS measure, round(m1-m0,6) AS mean_diff, round((m1-m0)/sqrt(v0/n0+v1/n1),3) AS t_stat,
-      round((v0/n0+v1/n1)*(v0/n0+v1/n1)/(v0/n0*v0/n0/(n0-1)+v1/n1*v1/n1/(n1-1)),3) AS dof, round((m1-m0)/sqrt(0.5::DOUBLE*(v0+v1)),3) AS cohens_d FROM m""",
+      round((v0/n0+v1/n1)*(v0/n0+v1/n1)/(v0/n0*v0/n0/(n0-1)+v1/n1*v1/n1/(n1-1)),3) AS dof, round((m1-m0)/sqrt(0.5::DOUBLE*(v0+v1)),3) AS cohens_d,
+      round(greatest(0.5::DOUBLE - a, 0), 6) AS p_value FROM m, ar""",
 )
 def bootstrap_welch(spark, sf):
     g = resample.bootstrap_grams(wide(spark, sf), TWO, "label", "domain", ["row_key"], N_BOOT, 42)
     s = resample.separation(g, len(TWO)).withColumn("measure", F.lit("mahalanobis"))
-    w = stats.welch(s, ["measure"], "grp", "static", "mobile", "mahalanobis").drop("p_value")
-    return rounded(rounded(w, ["mean_diff"], 6), ["t_stat", "dof", "cohens_d"], 3)
+    w = stats.welch(s, ["measure"], "grp", "static", "mobile", "mahalanobis")
+    return rounded(rounded(w, ["mean_diff", "p_value"], 6), ["t_stat", "dof", "cohens_d"], 3)
 
 
 N_CLUSTER = 2000
