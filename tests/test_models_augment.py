@@ -111,3 +111,15 @@ def test_search_and_params(train):
     for refused in ({"gamma": 1}, {"max_depth": None}):
         with pytest.raises(ValueError):
             models.mapped_params(refused, "rf")
+
+
+def test_copies_of_a_drawn_vector_are_one_query_and_pairs_stay_in_the_tasks(spark, monkeypatch):
+    asked = []
+    search = augment.nearest
+    monkeypatch.setattr(augment, "nearest", lambda q, *a: asked.append(q.count()) or search(q, *a))
+    rows = spark.range(240).select(F.col("id").cast("string").alias("key"), (F.col("id") % 4).cast("double").alias("a"), (F.col("id") % 2).cast("double").alias("b"))
+    out = augment.interpolate(rows, rows, ["a", "b"], "key", 150, 3, 7).collect()
+    assert asked == [4] and sorted(r["draw"] for r in out) == list(range(150))
+    missing = spark.createDataFrame([("x", None, 1.0), ("y", 1.0, 1.0)], "qkey string, a double, b double")
+    near = search(missing, augment.pooled(rows, ["a", "b"], "key"), ["a", "b"], 2).collect()
+    assert sorted((r["qkey"], r["rk"], r["d2"]) for r in near) == [("y", 1, 0.0), ("y", 2, 2.0)]

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from windowlab.functions.hashing import order_key, uniform
 from windowlab.operators import models
 from windowlab.operators.ranking import hash_ranks, split_points
-from windowlab.session import core_count, stored
+from windowlab.session import stored
 
-CELL_SIZE = 8       # distinct vectors aimed at per grid cell
+CELL_SIZE = 512     # distinct vectors aimed at per grid cell
+PAIR_BLOCK = 1 << 19  # distances held at once in a task
 GRID_DIMENSIONS = 3
 
 
@@ -54,39 +57,68 @@ def pooled(df: DataFrame, features: Sequence[str], key: str, extra: Sequence[str
     return df.groupBy(*features, *extra).agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("vkey"))
 
 
+def _nearest_inside(features: Sequence[str], columns: Sequence[str], k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The search inside one cell: for its queries the k first of its points by (d2, vkey), none beyond a query's bound."""
+    names, out = list(features), ["qkey", "d2", *columns]
+
+    def search(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("vkey", na_position="first")
+        at, to, bound = q[names].to_numpy(np.float64), p[names].to_numpy(np.float64), q["_bound"].fillna(np.inf).to_numpy(np.float64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        step = max(1, PAIR_BLOCK // max(1, len(p)))
+        for lo in range(0, len(q) if len(p) else 0, step):
+            x = at[lo : lo + step]
+            d = (x[:, :1] - to[:, 0]) ** 2
+            for f in range(1, len(names)):
+                d += (x[:, f : f + 1] - to[:, f]) ** 2
+            most = bound[lo : lo + step]
+            if len(p) > k:
+                most = np.minimum(most, np.partition(d, k - 1, axis=1)[:, k - 1])
+            row, col = np.nonzero(d <= most[:, None])
+            d2 = d[row, col]
+            order = np.lexsort((col, d2, row))
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            order = order[place < k]
+            found.append((row[order] + lo, col[order], d2[order]))
+        row, col, d2 = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        near = p.iloc[col][list(columns)].reset_index(drop=True)
+        return near.assign(qkey=q["qkey"].to_numpy()[row], d2=d2)[out]
+
+    return search
+
+
 def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], k: int) -> DataFrame:
     """The k nearest distinct vectors of every query, itself included: (qkey, vkey, copies, d2, other columns of points).
 
     ``queries``: (qkey, features); ``points``: pooled vectors with vkey, copies.  Exact.  Points lie in a
-    quantile grid.  A query looks through the cells around it; its k-th distance found there bounds the
+    quantile grid.  A query looks through its own cell first; its k-th distance found there bounds the
     true one, and it is final when the ball of that radius lies inside the cells searched.  Otherwise it
-    comes back with exactly the cells its ball touches (or twice the ring, if it has not met k vectors yet).
-    Joins are on cells, identical vectors are one row, so copies never multiply.
+    comes back with exactly the cells its ball touches (or a wider ring, if it has not met k vectors yet).
+    Queries and points meet cell by cell inside tasks; only the k first of a cell leave it, so pairs are
+    never shuffled.  Identical vectors are one row, so copies never multiply.  A query with a missing feature has no neighbours.
     """
-    points = stored(points, "vectors")
+    points = stored(points.dropna(subset=list(features)), "vectors")
     grid = _grid(points, features)
     dims = list(grid)
+    cells = [f"c{i}" for i in range(len(dims))]
     top = [len(c) for c in grid.values()]
     pts = stored(_with_cells(points, grid, "c"), "points")
-    extra = [c for c in points.columns if c not in features]
     edges = {i: [float("-inf"), *grid[f], float("inf")] for i, f in enumerate(dims)}
-    todo = _with_cells(queries.select("qkey", *features), grid, "h")
+    todo = _with_cells(queries.select("qkey", *features).dropna(subset=list(features)), grid, "h")
     for i in range(len(dims)):
-        todo = todo.withColumns({f"lo{i}": F.greatest(F.col(f"h{i}") - 1, F.lit(0)), f"hi{i}": F.least(F.col(f"h{i}") + 1, F.lit(top[i]))})
-    todo = stored(todo.withColumns({"ring": F.lit(1), "_bound": F.lit(None).cast("double")}), "queries")
+        todo = todo.withColumns({f"lo{i}": F.col(f"h{i}"), f"hi{i}": F.col(f"h{i}")})
+    todo = stored(todo.withColumns({"ring": F.lit(0), "_bound": F.lit(None).cast("double")}), "queries")
+    keep = ["qkey", "d2", *points.columns]
+    schema = T.StructType([todo.schema["qkey"], T.StructField("d2", T.DoubleType()), *[points.schema[c] for c in points.columns]])
     done = None
     while True:
-        # Partitioned by query: where the points are small enough to be broadcast, the ranking needs no further shuffle.
-        q = todo.repartition(core_count(todo.sparkSession), "qkey").select("*", *[F.col(f).alias(f"q_{f}") for f in features]).drop(*features)
+        q = todo.select("qkey", *features, "_bound", *[f"{p}{i}" for i in range(len(dims)) for p in ("lo", "hi")])
         for i in range(len(dims)):
-            q = q.withColumn(f"c{i}", F.explode(F.sequence(f"lo{i}", f"hi{i}")))
-        near = q.join(pts, [f"c{i}" for i in range(len(dims))]).withColumn("d2", distance2(features))
-        # A radius found in an earlier round bounds the k-th distance: farther pairs are dropped before ranking.
-        near = near.where(F.col("_bound").isNull() | (F.col("d2") <= F.col("_bound")))
+            q = q.withColumn(f"c{i}", F.explode(F.sequence(f"lo{i}", f"hi{i}"))).drop(f"lo{i}", f"hi{i}")
+        # A radius found in an earlier round bounds the k-th distance: farther points stay in their cell.
+        near = q.groupBy(*cells).cogroup(pts.groupBy(*cells)).applyInPandas(_nearest_inside(features, points.columns, k), schema)
         w = Window.partitionBy("qkey").orderBy("d2", "vkey")
-        near = near.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
-        keep = ["qkey", "rk", "d2", *[c for c in points.columns]]
-        near = stored(near.select(*keep), "near")
+        near = stored(near.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).select("rk", *keep), "near")
         state = near.groupBy("qkey").agg(F.count(F.lit(1)).alias("_found"), F.max("d2").alias("_r2"))
         s = todo.join(state, "qkey", "left")
         r = F.sqrt("_r2") * (1 + 1e-12)
@@ -105,7 +137,7 @@ def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], k: i
         if rest.isEmpty():
             return done
         known = F.coalesce("_found", F.lit(0)) >= k
-        rest = rest.withColumn("ring", F.col("ring") * 2)
+        rest = rest.withColumn("ring", F.col("ring") * 2 + 1)
         for i, f in enumerate(dims):
             ball = rest.withColumns({"_lo": F.col(f) - F.sqrt("_r2") * (1 + 1e-9), "_hi": F.col(f) + F.sqrt("_r2") * (1 + 1e-9)})
             if grid[f]:
@@ -148,10 +180,10 @@ def interpolate(seeds: DataFrame, minority: DataFrame, features: Sequence[str],
     Draw, neighbour and u are hashes of the draw number.  Only rows actually drawn look for neighbours.
     """
     spark = seeds.sparkSession
-    ranked = hash_ranks(seeds.select(key, *features), [], f"smote{seed}", key)
-    m = ranked.agg(F.max("n_part")).first()[0]
+    m = seeds.count()
     if not m:
         raise ValueError("no rows to interpolate from")
+    ranked = hash_ranks(seeds.select(key, *features), [], f"smote{seed}", key)
     draws = spark.range(n_new).select(
         F.col("id").alias("draw"),
         (F.floor(uniform(order_key(f"base{seed}", "id")) * m) + 1).alias("rn"),
@@ -159,11 +191,12 @@ def interpolate(seeds: DataFrame, minority: DataFrame, features: Sequence[str],
         uniform(order_key(f"gap{seed}", "id")).alias("_u"),
     )
     drawn = stored(draws.join(ranked, "rn").select("draw", "_pick", "_u", F.col(key).alias("qkey"), *features), "drawn")
-    queries = drawn.select("qkey", *features).distinct()
+    queries = drawn.groupBy(*features).agg(F.min("qkey").alias("qkey"))  # copies of a vector have the same neighbours
     near = nearest(queries, pooled(minority, features, key), features, k + 1)
     near = near.withColumn("own", F.col("d2") == 0)
     lists = neighbour_rows(near, features, k)
-    out = drawn.join(lists, "qkey").withColumn("_n", F.element_at("neighbours", (F.floor(F.col("_pick") * F.size("neighbours")) + 1).cast("int")))
+    lists = lists.join(queries, "qkey").drop("qkey")
+    out = drawn.join(lists, list(features)).withColumn("_n", F.element_at("neighbours", (F.floor(F.col("_pick") * F.size("neighbours")) + 1).cast("int")))
     return out.select("draw", *[(F.col(f) + F.col("_u") * (F.col("_n")[f] - F.col(f))).alias(f) for f in features])
 
 
