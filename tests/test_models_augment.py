@@ -122,4 +122,5 @@ def test_copies_of_a_drawn_vector_are_one_query_and_pairs_stay_in_the_tasks(spar
     assert asked == [4] and sorted(r["draw"] for r in out) == list(range(150))
     missing = spark.createDataFrame([("x", None, 1.0), ("y", 1.0, 1.0)], "qkey string, a double, b double")
     near = search(missing, augment.pooled(rows, ["a", "b"], "key"), ["a", "b"], 2).collect()
-    assert sorted((r["qkey"], r["rk"], r["d2"]) for r in near) == [("y", 1, 0.0), ("y", 2, 2.0)]
+    assert sorted((r["qkey"], r["rk"], r["d2"]) for r in near if r["qkey"] == "y") == [("y", 1, 0.0), ("y", 2, 2.0)]
+    assert sorted((r["rk"], r["vkey"], r["d2"]) for r in near if r["qkey"] == "x") == [(1, "0", None), (2, "1", None)]

@@ -95,7 +95,8 @@ def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], k: i
     true one, and it is final when the ball of that radius lies inside the cells searched.  Otherwise it
     comes back with exactly the cells its ball touches (or a wider ring, if it has not met k vectors yet).
     Queries and points meet cell by cell inside tasks; only the k first of a cell leave it, so pairs are
-    never shuffled.  Identical vectors are one row, so copies never multiply.  A query with a missing feature has no neighbours.
+    never shuffled.  Identical vectors are one row, so copies never multiply.  A query with a missing feature has no distances;
+    it gets the first vectors in order of their key.
     """
     points = stored(points.dropna(subset=list(features)), "vectors")
     grid = _grid(points, features)
@@ -110,7 +111,9 @@ def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], k: i
     todo = stored(todo.withColumns({"ring": F.lit(0), "_bound": F.lit(None).cast("double")}), "queries")
     keep = ["qkey", "d2", *points.columns]
     schema = T.StructType([todo.schema["qkey"], T.StructField("d2", T.DoubleType()), *[points.schema[c] for c in points.columns]])
-    done = None
+    blank = queries.where(" OR ".join(f"`{f}` IS NULL" for f in features)).select("qkey")
+    first = pts.orderBy("vkey").limit(k).select(F.row_number().over(Window.orderBy("vkey")).alias("rk"), F.lit(None).cast("double").alias("d2"), *points.columns)
+    done = blank.crossJoin(F.broadcast(first)).select("rk", *keep)  # k rows
     while True:
         q = todo.select("qkey", *features, "_bound", *[f"{p}{i}" for i in range(len(dims)) for p in ("lo", "hi")])
         for i in range(len(dims)):
@@ -132,7 +135,7 @@ def nearest(queries: DataFrame, points: DataFrame, features: Sequence[str], k: i
         final = full | ((F.coalesce("_found", F.lit(0)) >= k) & inside)
         s = stored(s.withColumn("_final", F.coalesce(final, F.lit(False))), "state")
         got = near.join(s.where("_final").select("qkey"), "qkey", "left_semi")
-        done = got if done is None else done.unionByName(got)
+        done = done.unionByName(got)
         rest = s.where(~F.col("_final"))
         if rest.isEmpty():
             return done
@@ -195,8 +198,9 @@ def interpolate(seeds: DataFrame, minority: DataFrame, features: Sequence[str],
     near = nearest(queries, pooled(minority, features, key), features, k + 1)
     near = near.withColumn("own", F.col("d2") == 0)
     lists = neighbour_rows(near, features, k)
-    lists = lists.join(queries, "qkey").drop("qkey")
-    out = drawn.join(lists, list(features)).withColumn("_n", F.element_at("neighbours", (F.floor(F.col("_pick") * F.size("neighbours")) + 1).cast("int")))
+    lists = lists.join(queries, "qkey").select("neighbours", *[F.col(f).alias(f"q_{f}") for f in features])
+    same = [F.col(f).eqNullSafe(F.col(f"q_{f}")) for f in features]
+    out = drawn.join(lists, same).withColumn("_n", F.element_at("neighbours", (F.floor(F.col("_pick") * F.size("neighbours")) + 1).cast("int")))
     return out.select("draw", *[(F.col(f) + F.col("_u") * (F.col("_n")[f] - F.col(f))).alias(f) for f in features])
 
 
