@@ -161,3 +161,36 @@ def test_permutation_cut_is_the_order_statistic(spark, monkeypatch, first, width
 def test_residue_equals_modulo():
     v = np.concatenate([np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 62, 5000), [0, hashing.PRIME - 1, hashing.PRIME, 2 * hashing.PRIME, hashing.PRIME**2, (1 << 62) - 1]])
     assert (resample._residue(v) == v % hashing.PRIME).all()
+
+
+def test_hash_tiles_are_the_exact_hashes_and_make_a_unit_s_weights_once(spark, monkeypatch):
+    x = np.array([0, 1, hashing.PRIME - 1, 12345, 2**30] * 150, np.int64)
+    y = np.array([hashing.PRIME - 1, 0, hashing.PRIME - 1, 2**30, 7] * 150, np.int64)
+    coef = np.array(hashing.replicate_coefficients(3, 300), dtype=np.int64)
+    coef[0, 1:], coef[1, 1:] = hashing.PRIME - 1, 0
+    want = [[((int(a) * int(p) + int(b)) * int(p) + int(c) + int(d) * int(q)) % hashing.PRIME for _, a, b, c, d in coef] for p, q in zip(x[:5], y[:5])]
+    tiles = list((r, k, u.copy()) for r, k, u in resample._hash_tiles(resample._hash_keys(x, y), coef))
+    got = np.zeros((750, 300))
+    for r, k, u in tiles:
+        got[r, k] = u
+    assert (got == np.tile(np.array(want, np.float64), (150, 1)) + 0.25).all()
+    # twelve cells of each of nine runs: every run's weights are the same in all its cells, null keys included
+    rows = [(None if c == 0 else f"g{c % 4}", r, float(r * 12 + c)) for r in range(9) for c in range(12)]
+    sums = resample.weighted_sums(spark.createDataFrame(rows, "g string, run int, v double"), ["g"], ["run"], ["v"], 300, 3).collect()
+    codes = spark.range(9).select(hashing.key_code("id").alias("x"), hashing.second_code("id").alias("y")).collect()
+    u = resample._hash_matrix(*(np.array([c[k] for c in codes], np.int64) for k in "xy"), np.array(hashing.replicate_coefficients(3, 300), dtype=np.int64))
+    w = np.searchsorted(np.array(hashing.poisson_cuts()), u, side="right")
+    assert len(sums) == 5 * 300
+    for s in sums:
+        assert s["v"] == sum(v * w[r, s["rep"]] for g, r, v in rows if g == s["g"])
+
+
+def test_full_grams_need_no_hashes(spark, monkeypatch):
+    monkeypatch.setattr(resample, "key_code", None)
+    monkeypatch.setattr(resample, "second_code", None)
+    rows = [(i % 2, "ab"[i % 3 % 2], float(i), float(i * i % 7) if i % 5 else None) for i in range(60)]
+    got = {(r["grp"], r["label"]): r["sums"] for r in resample.full_grams(spark.createDataFrame(rows, "y int, g string, p double, q double"), ["p", "q"], "y", "g").collect()}
+    for (g, c), s in got.items():
+        v = np.array([(p, q) for y, h, p, q in rows if q is not None and (y, h) == (c, g)])
+        assert s == [len(v), *v.sum(axis=0), *(v.T @ v)[np.triu_indices(2)]]
+    assert len(got) == 4

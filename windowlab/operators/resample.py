@@ -39,26 +39,40 @@ def run_sums(df: DataFrame, keys: Sequence[str], run: str, **sums: Column) -> Da
 def _weighted_arrays(df: DataFrame, keys: Sequence[str], unit: Sequence[str], sums: Sequence[str], n: int, seed: int) -> DataFrame:
     """(keys, m): weighted sums of all replicates as one array per key, sums x replicates.
 
-    A task makes the weights of a batch as one matrix (rows x replicates, a block of replicates at a time) and multiplies; no row is
-    repeated.  Rows are few bytes and much work, so they are spread over all cores first.
+    Rows of a unit come together, so that its weights are made once for all its keys.  A task makes the weights of some units as a
+    matrix (units x replicates, a tile at a time) and multiplies; no row is repeated.  Rows are few bytes and much work, so they are
+    spread over all cores first.
     """
     keys, names = list(keys), list(sums)
     src = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in names], key_code(*unit).alias("_x"), second_code(*unit).alias("_y"))
-    src = src.repartition(core_count(df.sparkSession), *src.columns)
+    src = src.repartition(core_count(df.sparkSession), "_x", "_y").sortWithinPartitions("_x", "_y")
     coef = np.array(replicate_coefficients(seed, n), dtype=np.int64)
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[tuple, np.ndarray] = {}
         for pdf in batches:
-            groups = {() : np.arange(len(pdf))} if not keys else {k if isinstance(k, tuple) else (k,): i for k, i in pdf.groupby(keys, dropna=False).indices.items()}
+            if not len(pdf):
+                continue
+            code = pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), np.int64)
+            seen = [tuple(None if pd.isna(v) else v for v in k) for k in pdf[keys].iloc[np.unique(code, return_index=True)[1]].itertuples(index=False)] if keys else [()]
+            into = [acc.setdefault(k, np.zeros((len(names), n))) for k in seen]
             x, y, v = pdf["_x"].to_numpy(np.int64), pdf["_y"].to_numpy(np.int64), pdf[names].to_numpy(np.float64)
-            for lo in range(0, n, REPLICATE_BLOCK):
-                w = _poisson_matrix(_hash_matrix(x, y, coef[lo : lo + REPLICATE_BLOCK])).astype(np.float64)
-                for k, i in groups.items():
-                    if len(i):
-                        acc.setdefault(k, np.zeros((len(names), n)))[:, lo : lo + REPLICATE_BLOCK] += v[i].T @ w[i]
+            first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+            ends = np.append(first, len(x))
+            made: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # tile of units -> the keys it has, keys x sums x units
+            for rows, reps, u in _hash_tiles(_hash_keys(x[first], y[first]), coef):
+                if rows.start not in made:
+                    own = slice(ends[rows.start], ends[rows.stop])
+                    found, at = np.unique(code[own], return_inverse=True)
+                    m = np.zeros((len(found), len(names), rows.stop - rows.start))
+                    np.add.at(m, (at, slice(None), np.searchsorted(first, np.arange(own.start, own.stop), side="right") - 1 - rows.start), v[own])
+                    made[rows.start] = found, m
+                found, m = made[rows.start]
+                total = (m.reshape(-1, m.shape[2]) @ _poisson_matrix(u)).reshape(len(found), len(names), -1)
+                for k, t in zip(found, total):
+                    into[k][:, reps] += t
         for k, m in acc.items():
-            yield pd.DataFrame({**{c: [None if pd.isna(v) else v] for c, v in zip(keys, k)}, "m": [m.ravel()]})
+            yield pd.DataFrame({**{c: [v] for c, v in zip(keys, k)}, "m": [m.ravel()]})
 
     schema = T.StructType([*[src.schema[k] for k in keys], T.StructField("m", T.ArrayType(T.DoubleType()))])
     return merge_arrays(src.mapInPandas(partials, schema), keys, "m")
@@ -113,7 +127,7 @@ def cluster_bootstrap_auc(df: DataFrame, keys: Sequence[str], run: str, y: str,
             pos = neg = below = total = np.zeros(len(block))  # of the score value that is open
             for at in range(0, len(s), ROW_BLOCK):
                 part = slice(at, at + ROW_BLOCK)
-                w = _poisson_matrix(_hash_matrix(x[part], x2[part], block)).astype(np.float64)
+                w = _weight_matrix(x[part], x2[part], block)
                 first = np.flatnonzero(np.concatenate([[True], s[part][1:] != s[part][:-1]]))
                 a, b = np.add.reduceat(w * p[part], first), np.add.reduceat(w * q[part], first)
                 if at and s[at] == s[at - 1]:
@@ -185,20 +199,66 @@ def _residue(v: np.ndarray) -> np.ndarray:
     return v
 
 
-def _hash_matrix(x: np.ndarray, y: np.ndarray, coef: np.ndarray) -> np.ndarray:
-    """rows x replicates of hash values, the same numbers as :func:`poly_hash`."""
-    x, y = x[:, None], y[:, None]
-    return _residue(_residue(_residue(coef[:, 1] * x + coef[:, 2]) * x + coef[:, 3]) + coef[:, 4] * y)
+def _hash_keys(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """rows x 4: what a row's hash is a linear form of, modulo the prime."""
+    return np.column_stack([_residue(x * x), x, y, np.ones(len(x), np.int64)]).astype(np.float64)
+
+
+def _hash_tiles(keys: np.ndarray, coef: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """(rows, replicates, hashes plus a quarter): the numbers of :func:`poly_hash` in tiles that stay in the processor's cache.
+
+    A hash is a x^2 + b x + d y + c modulo 2^31 - 1.  The coefficients are cut into 15 and 16 bits, so that both sums of products and
+    what follows stay below 2^51 and are exact in doubles.  The quarter keeps the rounded quotient on the right side of a whole
+    number; a hash compares with a whole number as it would without it.  A tile is overwritten by the next.
+    """
+    c = coef[:, [1, 2, 4, 3]].T
+    high, low = (c >> 16).astype(np.float64), (c & 0xFFFF).astype(np.float64)
+    low[3] += 0.25
+    buffers = [np.empty(ROW_TILE * REPLICATE_BLOCK) for _ in range(3)]
+    for lo in range(0, len(coef), REPLICATE_BLOCK):
+        a, b = (np.ascontiguousarray(m[:, lo : lo + REPLICATE_BLOCK]) for m in (high, low))
+        for at in range(0, len(keys), ROW_TILE):
+            k = keys[at : at + ROW_TILE]
+            u, v, q = (m[: len(k) * a.shape[1]].reshape(len(k), -1) for m in buffers)
+            np.matmul(k, a, out=u)
+            np.matmul(k, b, out=v)
+            for _ in range(2):
+                np.floor(np.multiply(u, 1.0 / PRIME, out=q), out=q)
+                q *= PRIME
+                u -= q
+                if _ == 0:
+                    u *= 65536.0
+                    u += v
+            yield slice(at, at + len(k)), slice(lo, lo + a.shape[1]), u
 
 
 def _poisson_matrix(u: np.ndarray) -> np.ndarray:
-    """The same weights as :func:`poisson_weight`, for a matrix of hash values."""
-    w = np.zeros(u.shape, np.int8)
-    for cut in poisson_cuts():
+    """The same weights as :func:`poisson_weight` for a matrix of hashes; few of them are above the first cuts."""
+    cuts = poisson_cuts()
+    w = (u >= cuts[0]).astype(np.float64)
+    for cut in cuts[1:COMMON_CUTS]:
         w += u >= cut
+    row, rep = np.nonzero(w == COMMON_CUTS)
+    w[row, rep] += np.searchsorted(cuts[COMMON_CUTS:], u[row, rep], side="right")
     return w
 
 
+def _hash_matrix(x: np.ndarray, y: np.ndarray, coef: np.ndarray) -> np.ndarray:
+    """rows x replicates of hash values, the same numbers as :func:`poly_hash`."""
+    out = np.empty((len(x), len(coef)), np.int64)
+    for rows, reps, u in _hash_tiles(_hash_keys(x, y), coef):
+        out[rows, reps] = u
+    return out
+
+
+def _weight_matrix(x: np.ndarray, y: np.ndarray, coef: np.ndarray) -> np.ndarray:
+    """rows x replicates of weights."""
+    out = np.empty((len(x), len(coef)))
+    for rows, reps, u in _hash_tiles(_hash_keys(x, y), coef):
+        out[rows, reps] = _poisson_matrix(u)
+    return out
+
+
 GRAM_SCHEMA = T.StructType([
     T.StructField("rep", T.IntegerType()),  # in partials the first replicate of a block
     T.StructField("grp", T.StringType()),
@@ -207,6 +267,8 @@ GRAM_SCHEMA = T.StructType([
 ])
 
 REPLICATE_BLOCK = 256  # replicates held as one weight matrix
+ROW_TILE = 256  # rows of such a matrix
+COMMON_CUTS = 4  # weights counted by comparing every hash; one row in 50 has a larger one
 
 
 def complete(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -216,11 +278,15 @@ def complete(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df
 
 
-def gram_partials(df: DataFrame, features: Sequence[str], label: str, group: str, unit: Sequence[str], n: int, seed: int, weights: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
+def gram_partials(
+    df: DataFrame, features: Sequence[str], label: str, group: str, unit: Sequence[str], n: int, seed: int,
+    weights: Callable[[np.ndarray, tuple[np.ndarray, np.ndarray], str | None, slice], tuple[str, np.ndarray]], by_group: bool = True, rest: str | None = None,
+) -> DataFrame:
     """Weighted counts, sums and cross products per (rep, group, class) of the complete rows: one array each per task,
     merged in a tree.
 
-    ``weights(u, x, group)`` turns the hash matrix of a batch into a weight matrix per output group.
+    ``weights(u, codes, group, replicates)`` turns a tile of hashes of one group's rows (of all rows without ``by_group``) into the output
+    group and its weights; ``rest`` names a second one, of all that the first left.
     Memory per task is replicates x groups x classes x p^2/2, independent of the rows.
     """
     coef = np.array(replicate_coefficients(seed, n), dtype=np.int64)
@@ -229,38 +295,47 @@ def gram_partials(df: DataFrame, features: Sequence[str], label: str, group: str
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[tuple[str, int], np.ndarray] = {}
         for pdf in batches:
-            y = pdf["_label"].to_numpy()
-            x, x2 = pdf["_x"].to_numpy(dtype=np.int64), pdf["_y"].to_numpy(dtype=np.int64)
-            g = pdf["_g"].to_numpy()
-            z = _design(pdf[names].to_numpy(dtype=np.float64))
-            for lo in range(0, n, REPLICATE_BLOCK):
-                block = coef[lo : lo + REPLICATE_BLOCK]
-                for name, w in weights(_hash_matrix(x, x2, block), (x, x2), g, lo).items():
-                    for c in (0, 1):
-                        m = y == c
-                        if m.any():
-                            out = acc.setdefault((name, c), np.zeros((n, z.shape[1])))
-                            out[lo : lo + len(block)] += w[m].T.astype(np.float64) @ z[m]
+            y, g = pdf["_label"].to_numpy(), pdf["_g"].to_numpy()
+            codes = np.stack([pdf["_x"].to_numpy(dtype=np.int64), pdf["_y"].to_numpy(dtype=np.int64)])
+            keys, z = _hash_keys(*codes), _design(pdf[names].to_numpy(dtype=np.float64))
+            for name in np.unique(g) if by_group else [None]:
+                for c in (0, 1):
+                    m = np.flatnonzero((y == c) & (g == name) if by_group else y == c)
+                    if not len(m):
+                        continue
+                    own, zs = codes[:, m], z[m]
+                    for rows, reps, u in _hash_tiles(keys[m], coef):
+                        out, w = weights(u, own[:, rows], name, reps)
+                        acc.setdefault((out, c), np.zeros((n, z.shape[1])))[reps] += w.astype(np.float64, copy=False).T @ zs[rows]
+                    if rest is not None:
+                        acc.setdefault((rest, c), np.zeros((n, z.shape[1])))[:] += zs.sum(axis=0)
         for (name, c), s in acc.items():
+            if name == rest:
+                s = s - sum(v for (other, k), v in acc.items() if k == c and other != rest)
             for lo in range(0, n, REPLICATE_BLOCK):
                 yield pd.DataFrame({"rep": [np.int32(lo)], "grp": name, "label": np.int32(c), "sums": [s[lo : lo + REPLICATE_BLOCK].ravel()]})
 
+    src = complete(df, names).select(F.col(label).alias("_label"), F.col(group).alias("_g"), key_code(*unit).alias("_x"), second_code(*unit).alias("_y"), *names)
+    return _unblocked(src.mapInPandas(partials, GRAM_SCHEMA), len(names))
+
+
+def _unblocked(partials: DataFrame, p: int) -> DataFrame:
+    """Partials of blocks of replicates, added up: a row per replicate."""
+
     def unblock(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                s = np.asarray(row.sums).reshape(-1, gram_size(len(names)))
+                s = np.asarray(row.sums).reshape(-1, gram_size(p))
                 yield pd.DataFrame({"rep": np.arange(row.rep, row.rep + len(s), dtype=np.int32), "grp": row.grp, "label": np.int32(row.label), "sums": list(s)})
 
-    src = complete(df, names).select(F.col(label).alias("_label"), F.col(group).alias("_g"), key_code(*unit).alias("_x"), second_code(*unit).alias("_y"), *names)
-    return merge_arrays(src.mapInPandas(partials, GRAM_SCHEMA), ["rep", "grp", "label"], "sums").mapInPandas(unblock, GRAM_SCHEMA)
+    return merge_arrays(partials, ["rep", "grp", "label"], "sums").mapInPandas(unblock, GRAM_SCHEMA)
 
 
 def bootstrap_grams(df: DataFrame, features: Sequence[str], label: str, group: str, unit: Sequence[str], n: int, seed: int) -> DataFrame:
     """Bootstrap partials per domain: Poisson weights, drawn inside each class by construction."""
 
-    def weights(u, x, g, lo):
-        w = _poisson_matrix(u)
-        return {str(name): w * (g == name)[:, None] for name in np.unique(g)}
+    def weights(u, codes, name, reps):
+        return str(name), _poisson_matrix(u)
 
     return gram_partials(df, features, label, group, unit, n, seed, weights)
 
@@ -284,19 +359,15 @@ def permutation_cuts(df: DataFrame, unit: Sequence[str], n_first: int, total: in
     coef = np.array(replicate_coefficients(seed, n), dtype=np.int64)
     rows = df.select(key_code(*unit).alias("x"), second_code(*unit).alias("y")).repartition(core_count(df.sparkSession), "x")
 
-    def hashes(batches: Iterator[pd.DataFrame]):
-        for pdf in batches:
-            x, y = pdf["x"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64)
-            for lo in range(0, n, REPLICATE_BLOCK):
-                yield lo, x, y, _hash_matrix(x, y, coef[lo : lo + REPLICATE_BLOCK])
-
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros((n, CUT_BINS + 1), np.int64)
-        for lo, _, _, u in hashes(batches):
-            counts[lo : lo + u.shape[1], 0] += (u < low).sum(axis=0)
-            row, rep = np.nonzero((u >= low) & (u < high))
-            part = np.searchsorted(edges, u[row, rep], side="right")
-            counts[lo : lo + u.shape[1]] += np.bincount(rep * (CUT_BINS + 1) + np.minimum(part, CUT_BINS), minlength=u.shape[1] * (CUT_BINS + 1)).reshape(-1, CUT_BINS + 1)
+        for pdf in batches:
+            for _, reps, u in _hash_tiles(_hash_keys(pdf["x"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64)), coef):
+                below = u < low
+                counts[reps, 0] += np.count_nonzero(below, axis=0)
+                row, rep = np.nonzero((u < high) ^ below)
+                part = np.searchsorted(edges, u[row, rep], side="right")
+                np.add.at(counts, (rep + reps.start, np.minimum(part, CUT_BINS)), 1)
         yield pd.DataFrame({"m": [counts.ravel()]})
 
     found = merge_arrays(rows.mapInPandas(tally, "m array<bigint>"), [], "m").first()  # bounded by the replicates
@@ -307,10 +378,14 @@ def permutation_cuts(df: DataFrame, unit: Sequence[str], n_first: int, total: in
     before, start, stop = ends[np.arange(n), part - 1], edges[part - 1], edges[part]
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for lo, x, y, u in hashes(batches):
-            at = slice(lo, lo + u.shape[1])
-            row, rep = np.nonzero((u >= start[at]) & (u < stop[at]))
-            yield pd.DataFrame({"rep": (rep + lo).astype(np.int32), "u": u[row, rep], "x": x[row], "y": y[row], "need": n_first - before[rep + lo]})
+        for pdf in batches:
+            x, y = pdf["x"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64)
+            hits = []
+            for rows, reps, u in _hash_tiles(_hash_keys(x, y), coef):
+                row, rep = np.nonzero((u < stop[reps]) & (u >= start[reps]))
+                hits.append((row + rows.start, rep + reps.start, u[row, rep].astype(np.int64)))
+            row, rep, u = (np.concatenate(v) for v in zip(*hits)) if hits else [np.zeros(0, np.int64)] * 3
+            yield pd.DataFrame({"rep": rep.astype(np.int32), "u": u, "x": x[row], "y": y[row], "need": n_first - before[rep]})
 
     inside = rows.mapInPandas(gather, "rep int, u bigint, x bigint, y bigint, need bigint")
     ranked = inside.withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("u", "x", "y")))
@@ -333,23 +408,35 @@ def permutation_grams(df: DataFrame, features: Sequence[str], label: str, group:
         cut_u = np.full(n, int(PRIME * sizes["k"] / sizes["n"]), dtype=np.int64)
         cut_x = cut_y = np.full(n, -1, dtype=np.int64)
 
-    def weights(u, x, g, lo):
-        cu, cx, cy = (c[lo : lo + u.shape[1]] for c in (cut_u, cut_x, cut_y))
-        a, b = x[0][:, None], x[1][:, None]
-        in_first = (u < cu) | ((u == cu) & ((a < cx) | ((a == cx) & (b <= cy))))
-        return {first: in_first, second: ~in_first}
+    def weights(u, codes, name, reps):
+        in_first = u < cut_u[reps] + 1
+        row, rep = np.nonzero(in_first & (u > cut_u[reps]))  # the hash is the cut's
+        a, b, cx, cy = codes[0][row], codes[1][row], cut_x[reps][rep], cut_y[reps][rep]
+        in_first[row, rep] = (a < cx) | ((a == cx) & (b <= cy))
+        return first, in_first
 
-    return gram_partials(df, features, label, group, unit, n, seed, weights)
+    return gram_partials(df, features, label, group, unit, n, seed, weights, by_group=False, rest=second)
 
 
 def full_grams(df: DataFrame, features: Sequence[str], label: str, group: str) -> DataFrame:
-    """The same sums over the plain data (replicate 0), for any number of features."""
-    f = list(features)
+    """The same sums over the plain data (replicate 0), for any number of features: a task multiplies its rows' matrix with itself."""
+    names = list(features)
 
-    def ones(u, x, g, lo):
-        return {str(name): (g == name)[:, None] for name in np.unique(g)}
+    def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc: dict[tuple[str, int], np.ndarray] = {}
+        for pdf in batches:
+            y, g, x = pdf["_label"].to_numpy(), pdf["_g"].to_numpy(), pdf[names].to_numpy(dtype=np.float64)
+            for name in np.unique(g):
+                for c in (0, 1):
+                    rows = x[(y == c) & (g == name)]
+                    if len(rows):
+                        sums = np.concatenate([[len(rows)], rows.sum(axis=0), (rows.T @ rows)[np.triu_indices(len(names))]])
+                        acc[str(name), c] = acc.get((str(name), c), 0.0) + sums
+        for (name, c), s in acc.items():
+            yield pd.DataFrame({"rep": [np.int32(0)], "grp": name, "label": np.int32(c), "sums": [s]})
 
-    return gram_partials(df, f, label, group, [f[0]], 1, 0, ones)
+    src = complete(df, names).select(F.col(label).alias("_label"), F.col(group).alias("_g"), *names)
+    return _unblocked(src.mapInPandas(partials, GRAM_SCHEMA), len(names))
 
 
 SEPARATION_SCHEMA = "rep int, grp string, mahalanobis double, lda_ratio double"
