@@ -170,13 +170,18 @@ def fewshot_cells(parts: DataFrame, sample: DataFrame, run: str, y: str = "y", s
     return pool, windows
 
 
-def fewshot_curve(parts: DataFrame, sample: DataFrame, reg: DataFrame, run: str, y: str = "y", score: str = "score") -> DataFrame:
-    """Accuracy on the target test fold against the number of labelled target runs, with both references."""
+def fewshot_curve(parts: DataFrame, sample: DataFrame, reg: DataFrame, run: str, y: str = "y", score: str = "score", hist: DataFrame | None = None) -> DataFrame:
+    """Accuracy on the target test fold against the number of labelled target runs, with both references.
+
+    With ``hist``, the ``part_histogram`` of the same parts, the test fold is read from it and not counted again.
+    """
     key = [*CELL, "n_runs", "r"]
     sample = stored(sample, "sample")
     pool, windows = fewshot_cells(parts, sample, run, y, score)
     t = metrics.best_step(pool, key, 10, F.lit(90))
-    test = metrics.score_histogram(parts.where("tgt_part = 'test'"), ["domain", "seed", "model"], y, score).withColumn("direction", as_target())
+    if hist is None:
+        hist = metrics.score_histogram(parts, ["domain", "seed", "model", "tgt_part"], y, score)
+    test = hist.where("tgt_part = 'test'").withColumn("direction", as_target())
     curve = metrics.accuracy_curve(test, CELL)
     acc = t.drop("t_acc").join(curve, [*CELL, "t"]).join(windows, key)
     per_seed = acc.groupBy(*CELL, "n_runs").agg(F.avg("acc").alias("acc"), F.avg("n_windows").alias("n_windows"))

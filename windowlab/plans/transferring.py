@@ -170,7 +170,9 @@ def fewshot_sample(spark, sf):
       round(sr,6) AS source_ref, round(orc,6) AS oracle_ref FROM fo JOIN fx USING (direction, model)""",
 )
 def fewshot_curve(spark, sf):
-    c = transfer.fewshot_curve(parts(spark, sf), fewshot_sample(spark, sf), regimes(spark, sf), "run_id")
+    p = parts(spark, sf)
+    hist = transfer.part_histogram(p)
+    c = transfer.fewshot_curve(p, fewshot_sample(spark, sf), transfer.regimes(hist), "run_id", hist=hist)
     return rounded(rounded(c, ["acc_mean", "acc_std", "source_ref", "oracle_ref"]), ["n_windows"], 4)
 
 
