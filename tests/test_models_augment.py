@@ -124,3 +124,14 @@ def test_copies_of_a_drawn_vector_are_one_query_and_pairs_stay_in_the_tasks(spar
     near = search(missing, augment.pooled(rows, ["a", "b"], "key"), ["a", "b"], 2).collect()
     assert sorted((r["qkey"], r["rk"], r["d2"]) for r in near if r["qkey"] == "y") == [("y", 1, 0.0), ("y", 2, 2.0)]
     assert sorted((r["rk"], r["vkey"], r["d2"]) for r in near if r["qkey"] == "x") == [(1, "0", None), (2, "1", None)]
+
+
+def test_forests_read_written_windows(spark, sf, monkeypatch):
+    """No pass of a fit joins the windows again."""
+    from windowlab.operators import models
+    from windowlab.plans import modelling
+
+    seen, assemble = [], models.assemble
+    monkeypatch.setattr(models, "assemble", lambda df, *a: seen.append(df) or assemble(df, *a))
+    modelling.forest_importance(spark, sf)
+    assert len(seen) == 2 and not any("Join" in d._jdf.queryExecution().optimizedPlan().toString() for d in seen)

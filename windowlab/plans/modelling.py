@@ -202,7 +202,8 @@ def grid_search(spark, sf):
 @query("forest_importance", "N11 N13 X15")
 def forest_importance(spark, sf):
     """Impurity importance of two forests per domain, normalised, and the share of it that features failing the variance ratio hold."""
-    w, out = wide(spark, sf), None
+    # written once: every pass of a fit would join again and gather the joined parts on the driver
+    w, out = stored(wide(spark, sf).select("domain", "run_id", "label", *FEATURES), "windows"), None
     for d in ("static", "mobile"):
         x = models.assemble(w.where(F.col("domain") == d), FEATURES)
         for name, est in (("rf", models.random_forest(6, 4)), ("et", models.extra_trees(6, 4))):
