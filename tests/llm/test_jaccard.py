@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm.helpers import AWKWARD, frame, words
@@ -84,3 +85,23 @@ def test_op8_over_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in queries.QUERIES["op8_jaccard_classes"](spark, sf).collect())
     assert got == plain_classes(rows)
+
+
+def test_common_lines_crowd_no_cells(spark, monkeypatch):
+    """A line that every text holds stands last in the windows: cells stay small and nothing is drawn again."""
+    entered = []
+    for name in ("merge_dense", "split_hot"):
+        monkeypatch.setattr(jaccard, name, lambda *a, name=name, old=getattr(jaccard, name): entered.append(name) or old(*a))
+    rng = random.Random(5)
+    line = " ".join(f"hot{i}" for i in range(50))
+    rows = [(i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(60)) + " " + line) for i in range(150)]
+    rows.append((999, rows[7][1] + " more"))
+    assert sorted((r.id, r.n, r["class"]) for r in jaccard.classes(frame(spark, rows)).collect()) == plain_classes(rows)
+    assert not entered
+
+
+def test_members_are_read_by_frequency():
+    h = np.array([3, 5, 9, 2, 5, 7], np.uint64)
+    late = jaccard.read_late(h, np.array([3, 0, 3]), np.array([3, 5], np.uint64), np.array([9, 4], np.uint8))
+    assert late.tolist() == [9, 5, 3, 2, 7, 5]
+    assert jaccard.read_late(h, np.array([6]), np.zeros(0, np.uint64), np.zeros(0, np.uint8)).tolist() == h.tolist()

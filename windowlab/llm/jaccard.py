@@ -1,16 +1,17 @@
 """Exact Jaccard join of shingle sets as a join in a metric space (distance d = 1 - J, links at d <= 1 - threshold).
 
-1. Cells.  Every set is read in one global order of hashes.  The shingles of its beginning are one-element pivots; a set
-   belongs to the cells of all pivots in a window long enough that two linked sets share at least ``need`` cells (needed
-   differences are at most a quarter of the larger set).  Sets that share fewer cells with others have no links.
+1. Cells.  Every set is read in one global order of hashes, shingles that are frequent in a sample of the sets last (any
+   order gives the same result).  The shingles of its beginning are one-element pivots; a set belongs to the cells of all
+   pivots in a window long enough that two linked sets share at least ``need`` cells (needed differences are at most a
+   quarter of the larger set).  Sets that share fewer cells with others have no links.
 2. Regions.  In every cell the smallest set is a pivot.  A set goes to the pivot it shares most cells with and stays in
    its Voronoi region if the exact distance is a link; otherwise it is a region of its own.
 3. Between regions that share a cell only pivots are compared.  By the triangle inequality members can be linked only if
    d(p, q) <= limit + radius(p) + radius(q).  What passes is joined again member by member, with the windows
    d(x, q) <= limit + radius(q) and |d(x, p) - d(y, p)| <= limit.
 4. A cell of very many regions is left out of step 3.  Fresh pivots first connect the dense groups in such cells.  A pair
-   that shares only such cells consists of two sets with ``need`` of them each: those sets draw their cells again, rarest
-   shingles first, and meet there, where sizes, places and bitmaps allow a link.
+   that shares only such cells consists of two sets with ``need`` of them each: those sets draw their cells again, from a
+   shorter window, and meet there, where sizes, places and bitmaps allow a link.
 
 Equal sets are one set throughout, and sets known to be connected are not compared again, so a group of copies costs
 its size and not its square, while no link between different texts is lost.  Sets are told apart by 64-bit hashes.
@@ -25,11 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from windowlab.llm.arrays import Words, mix, pieces, shingles, text_bytes
 from windowlab.llm.graph import components, jump
 from windowlab.llm.store import extend, filter_slot, id_filter, in_filter, join_sizes, partitions, stored
+from windowlab.session import compiled_code
 
 SIZE = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -41,6 +44,9 @@ CELL_REGIONS = 64
 BITS = 1024
 #: Rounds of fresh pivots that connect dense groups before crowded cells are joined; any number gives the same result.
 MERGE_ROUNDS = 4
+#: Frequent shingles are counted in one set of ``SHARE``, at least in ``SAMPLE`` sets; those found ``OFTEN`` times, at most
+#: ``FREQUENT`` of them, stand last in the order of windows.  Any numbers give the same result.
+SHARE, SAMPLE, OFTEN, FREQUENT = 16, 20_000, 4, 1_000_000
 
 
 def least_common(n):
@@ -93,7 +99,41 @@ def read_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, extend(docs.select("id"), "key bigint, n bigint"))
 
 
-def window_cells(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+def frequent(docs: DataFrame, keys: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many sets hold, and a class of each that grows with its count in a sample of the sets.
+
+    The sample decides the order in which windows are read and nothing else.
+    """
+    share = max(1 / SHARE, SAMPLE / max(keys.count(), 1))
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(keys.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20))), "id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(in_filter(np.asarray(batch.column("slot")), held.value)))
+            for piece in pieces(batch, "text"):
+                h, first, n = set_rows(piece, size)
+                once = np.zeros(len(n), bool)
+                once[np.unique(set_keys(h, first, n), return_index=True)[1]] = True
+                token, c = np.unique(h[np.repeat(once, n)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(c)], ["token", "c"])
+
+    made = docs.select(filter_slot("id").alias("slot"), "text").mapInArrow(run, "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
+    found = made.filter(F.col("c") >= OFTEN).orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()
+    token, c = (found[name].to_numpy(np.int64) for name in ("token", "c"))
+    order = np.argsort(token.view(np.uint64))
+    return token.view(np.uint64)[order], np.minimum(1 + 4 * np.log2(np.maximum(c[order], 1)), 255).astype(np.uint8)
+
+
+def read_late(h: np.ndarray, n: np.ndarray, codes: np.ndarray, grade: np.ndarray) -> np.ndarray:
+    """Members of all sets, frequent ones at the end of their set, the most frequent last."""
+    if not len(codes):
+        return h
+    at = np.minimum(np.searchsorted(codes, h), len(codes) - 1)
+    late = np.where(codes[at] == h, grade[at], 0)
+    return h[np.argsort((np.repeat(np.arange(len(n)), n) << 8) + late, kind="stable")]
+
+
+def window_cells(docs: DataFrame, wanted: DataFrame, size: int, often: Broadcast) -> DataFrame:
     """(token, key): the shingles of each set's window, read from one text of every set (``wanted`` has its id).
 
     Texts are hashed a second time, which costs less than to keep the windows of all rows on disk.
@@ -106,7 +146,7 @@ def window_cells(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             for piece in pieces(batch, "text"):
                 h, first, n = set_rows(piece, size)
                 low = np.minimum(n, n - least_common(n) + need_of(n)) * (n > 0)
-                tokens = lists(h, first, low)
+                tokens = lists(read_late(h, n, *often.value), first, low)
                 yield pa.RecordBatch.from_arrays([tokens.flatten(), pa.array(np.repeat(set_keys(h, first, n), low))], ["token", "key"])
 
     return docs.select(filter_slot("id").alias("slot"), "text").mapInArrow(run, "token bigint, key bigint")
@@ -126,8 +166,11 @@ def least_distance(a: str, b: str, na: str, nb: str) -> Column:
     return 2 * differ / (F.col(na) + F.col(nb) + differ)
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(key, members, bits): one row for each wanted key, however often its text is repeated; rows of other ids are left out before the shuffle."""
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int, often: Broadcast | None = None) -> DataFrame:
+    """(key, members, bits): one row for each wanted key, however often its text is repeated; rows of other ids are left out before the shuffle.
+
+    Members are in the order of the windows if ``often`` is given.
+    """
     held = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +182,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 key = set_keys(h, first, n)
                 fresh = [i for i in np.sort(np.unique(key, return_index=True)[1]).tolist() if int(key[i]) not in seen]
                 seen.update(key[fresh].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(key), lists(h, first, n), parities(h, n)], ["key", "members", "bits"]).take(pa.array(fresh, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(key), lists(read_late(h, n, *often.value) if often else h, first, n), parities(h, n)], ["key", "members", "bits"]).take(pa.array(fresh, pa.int64()))
 
     # equal keys are equal sets, so any row of a wanted key will do, also one without an id
     made = docs.select(filter_slot("id").alias("slot"), "text").mapInArrow(run, "key bigint, members array<bigint>, bits array<bigint>")
@@ -229,17 +272,15 @@ def merge_dense(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, Dat
 def split_hot(heavy: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links, candidate pairs): both (a, b), of sets (key, n, root) that may meet in crowded cells only; equal roots are not paired.
 
-    The cells are drawn once more, from the whole sets, rarest shingle first: linked sets still meet in the first quarter.
-    A pair must fit the place of the shingle in both sets, their sizes and the distance that their bitmaps allow.
+    The cells are drawn once more, from the first quarter of the sets, where linked sets still meet.  A pair must fit the
+    place of the shingle in both sets, their sizes and the distance that their bitmaps allow.
     """
     window = F.expr(f"cast(n - (({PERCENT} * n + 99) div 100) + 1 as int)")
-    tokens = stored(sets.join(heavy, "key").select("key", "n", "root", F.explode("members").alias("token")), "tokens")
-    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
-    low = tokens.join(often, "token").groupBy("key", "n", "root").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("all"))
-    cells = low.select("key", "n", "root", F.posexplode(F.slice("all", F.lit(1), window)).alias("before", "t")).filter("t.often > 1")
+    cells = stored(sets.join(heavy, "key").select("key", "n", "root", F.posexplode(F.slice("members", F.lit(1), window)).alias("before", "token")), "drawn")
+    cells = cells.join(cells.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1").select("token"), "token")
     # with ``before`` shingles ahead of the first common one, n - before bounds the intersection, ceil(3/7 (n + m));
     # so of two linked sets at least one has 7 * before <= n
-    cells = stored(cells.select(F.col("t.token").alias("token"), "key", "n", "before", (7 * F.col("before") <= F.col("n")).alias("early"), "root"), "cells")
+    cells = stored(cells.select("token", "key", "n", "before", (7 * F.col("before") <= F.col("n")).alias("early"), "root"), "cells")
     links, top = merge_dense(cells.select("token", "key", "root"), sets)
     cells = stored(cells.join(top, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"), "cells")
     by_root = cells.groupBy("token", "root").agg(F.count("*").alias("c"), F.max("early").alias("any"))
@@ -256,10 +297,12 @@ def split_hot(heavy: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """(id, n, class): the size of each row's set and the smallest id reachable by links."""
+    compiled_code(docs.sparkSession)  # bitmaps are compared in long expressions
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     made = stored(read_sets(docs, size), "sets")
     keys = stored(made.filter("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("copies")), "keys")
-    cells = stored(shared_cells(window_cells(docs, keys, size)), "cells")
+    often = docs.sparkSession.sparkContext.broadcast(frequent(docs, keys, size))
+    cells = stored(shared_cells(window_cells(docs, keys, size, often)), "cells")
 
     # sets that share too few cells have no links; what is left is cells between the others
     small = F.expr("1 + n div 10")
@@ -268,7 +311,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     cells = cells.join(live.select("key"), "key", "left_semi")
     pivot = cells.groupBy("token").agg(F.min("key").alias("pivot"), F.count("*").alias("m")).filter("m > 1")
     cells = stored(cells.join(pivot.select("token", "pivot"), "token"), "cells")
-    sets = stored(full_sets(docs, live, size), "members")
+    sets = stored(full_sets(docs, live, size, often), "members")
 
     # regions
     best = cells.filter("key <> pivot").groupBy("key", "pivot").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", F.col("pivot"))).alias("b"))
