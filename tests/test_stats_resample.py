@@ -194,3 +194,44 @@ def test_full_grams_need_no_hashes(spark, monkeypatch):
         v = np.array([(p, q) for y, h, p, q in rows if q is not None and (y, h) == (c, g)])
         assert s == [len(v), *v.sum(axis=0), *(v.T @ v)[np.triu_indices(2)]]
     assert len(got) == 4
+
+
+def test_shares_are_the_exact_hashes_at_the_ends_of_their_range():
+    r = np.random.Generator(np.random.PCG64(2))
+    ends = [0, 1, 2, 0x7FFF, 0x8000, 0xFFFF, 0x10000, 2**30 - 1, 2**30, hashing.PRIME // 2, hashing.PRIME // 2 + 1, hashing.PRIME - 2, hashing.PRIME - 1]
+    x, y = (np.concatenate([r.permutation(np.repeat(ends, 60)), r.integers(0, hashing.PRIME, 700)]) for _ in range(2))
+    coef = np.column_stack([np.arange(300), *(np.concatenate([r.permutation(np.repeat(ends, 10)), r.integers(0, hashing.PRIME, 170)]) for _ in range(4))])
+    _, a, b, c, d = (coef[:, k].astype(object) for k in range(5))
+    want = ((a * x.astype(object)[:, None] ** 2 + b * x.astype(object)[:, None] + c + d * y.astype(object)[:, None]) % hashing.PRIME).astype(np.float64)
+    start = coef[::-1, 1]
+    for first, shifted in ((0, want), (start, (want - start) % hashing.PRIME)):
+        got = np.zeros(want.shape)
+        for rows, reps, u in resample._share_tiles(resample._hash_keys(x, y), coef, first):
+            got[rows, reps] = u * hashing.PRIME - 0.5
+        assert np.abs(got - shifted).max() < 1 / 6
+    mask = r.random((37, 13)) < 0.05
+    assert (np.array(resample._set_places(mask)) == np.array(np.nonzero(mask))).all()
+    full = np.ones((600, 3), bool)
+    assert resample._column_counts(full).tolist() == [600] * 3
+
+
+def test_permutation_sums_use_all_cores_and_repeated_keys_stay_together(spark):
+    rows = [(f"k{i // 3}", "static" if i % 3 else "mobile", i % 2, float(i)) for i in range(240)]  # every key three times, so cuts are tied
+    d = spark.createDataFrame(rows, "row_key string, domain string, label int, a double").coalesce(1)
+    parts = resample.gram_partials(d, ["a"], "label", "domain", ["row_key"], 4, 1, lambda u, codes, name, reps: (str(name), (u < 0.5).astype(float)))
+    assert "REPARTITION_BY_NUM" in parts._jdf.queryExecution().toString()
+    codes = {k: (x, y) for k, x, y in d.select("row_key", hashing.key_code("row_key"), hashing.second_code("row_key")).distinct().collect()}
+    coef = np.array(hashing.replicate_coefficients(9, 12), dtype=np.int64)
+    x, y = np.array([codes[r[0]] for r in rows], dtype=np.int64).T
+    u = resample._hash_matrix(x, y, coef)
+    first = sum(r[1] == "static" for r in rows) - 1
+    d = d.withColumn("domain", F.when(F.col("a") == 1, "mobile").otherwise(F.col("domain")))  # 159 in the first: the cut is inside a key's three rows
+    got = {(r["rep"], r["grp"], r["label"]): r["sums"] for r in resample.permutation_grams(d, ["a"], "label", "domain", ["row_key"], 12, 9).collect()}
+    value, label = np.array([r[3] for r in rows]), np.array([r[2] for r in rows])
+    for rep in range(12):
+        order = list(zip(u[:, rep].tolist(), x.tolist(), y.tolist()))
+        inside = np.array([o <= sorted(order)[first - 1] for o in order])
+        for c in (0, 1):
+            for name, on in (("static", inside), ("mobile", ~inside)):
+                v = value[on & (label == c)]
+                assert np.allclose(got[rep, name, c], [len(v), v.sum(), (v * v).sum()])

@@ -60,7 +60,8 @@ def _weighted_arrays(df: DataFrame, keys: Sequence[str], unit: Sequence[str], su
             first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
             ends = np.append(first, len(x))
             made: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # tile of units -> the keys it has, keys x sums x units
-            for rows, reps, u in _hash_tiles(_hash_keys(x[first], y[first]), coef):
+            for rows, reps, u in _share_tiles(_hash_keys(x[first], y[first]), coef):
+                u *= PRIME
                 if rows.start not in made:
                     own = slice(ends[rows.start], ends[rows.stop])
                     found, at = np.unique(code[own], return_inverse=True)
@@ -199,39 +200,66 @@ def _residue(v: np.ndarray) -> np.ndarray:
     return v
 
 
-def _hash_keys(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """rows x 4: what a row's hash is a linear form of, modulo the prime."""
-    return np.column_stack([_residue(x * x), x, y, np.ones(len(x), np.int64)]).astype(np.float64)
-
+def _centred(v: np.ndarray) -> np.ndarray:
+    """Residues between -p/2 and p/2."""
+    return np.where(v > PRIME // 2, v - PRIME, v)
 
-def _hash_tiles(keys: np.ndarray, coef: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
-    """(rows, replicates, hashes plus a quarter): the numbers of :func:`poly_hash` in tiles that stay in the processor's cache.
 
-    A hash is a x^2 + b x + d y + c modulo 2^31 - 1.  The coefficients are cut into 15 and 16 bits, so that both sums of products and
-    what follows stay below 2^51 and are exact in doubles.  The quarter keeps the rounded quotient on the right side of a whole
-    number; a hash compares with a whole number as it would without it.  A tile is overwritten by the next.
+def _hash_keys(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """rows x 7: what a row's hash is a linear form of: x^2, x and y in two digits of 15 and 16 bits with their signs, and one."""
+    digits = []
+    for v in (_residue(x * x), x, y):
+        v = _centred(v)
+        low = ((v + 0x8000) & 0xFFFF) - 0x8000
+        digits += [(v - low) >> 16, low]
+    return np.column_stack([*digits, np.ones(len(x), np.int64)]).astype(np.float64)
+
+
+def _share_tiles(keys: np.ndarray, coef: np.ndarray, start: np.ndarray | int = 0) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """(rows, replicates, (hash + a half) / p): the numbers of :func:`poly_hash` as shares of the prime, in tiles that stay in the processor's cache.
+
+    A hash is a x^2 + b x + d y + c modulo p, so a share is the fraction that is left of a sum of digits times coefficients over p. That
+    sum stays below 2^17, where a double is off by 2^-37 at most; with the seven terms' own errors a share is off by less than 1/6 of
+    1/p (2^-33.5), and the half keeps it on the right side of a whole number: hash < k is the same as share < k / p. A tile is overwritten by the next.
+    With ``start`` it is (hash - start) modulo p, so that all hashes of a range that starts there lie below its length.
     """
-    c = coef[:, [1, 2, 4, 3]].T
-    high, low = (c >> 16).astype(np.float64), (c & 0xFFFF).astype(np.float64)
-    low[3] += 0.25
-    buffers = [np.empty(ROW_TILE * REPLICATE_BLOCK) for _ in range(3)]
+    linear = [f(coef[:, k]) / PRIME for k in (1, 2, 4) for f in (lambda v: _centred(_residue(v << 16)), _centred)]
+    c = np.stack([*linear, _centred((coef[:, 3] - start) % PRIME) / PRIME + 0.5 / PRIME])
+    buffers = [np.empty(ROW_TILE * REPLICATE_BLOCK) for _ in range(2)]
     for lo in range(0, len(coef), REPLICATE_BLOCK):
-        a, b = (np.ascontiguousarray(m[:, lo : lo + REPLICATE_BLOCK]) for m in (high, low))
+        a = np.ascontiguousarray(c[:, lo : lo + REPLICATE_BLOCK])
         for at in range(0, len(keys), ROW_TILE):
             k = keys[at : at + ROW_TILE]
-            u, v, q = (m[: len(k) * a.shape[1]].reshape(len(k), -1) for m in buffers)
+            u, q = (m[: len(k) * a.shape[1]].reshape(len(k), -1) for m in buffers)
             np.matmul(k, a, out=u)
-            np.matmul(k, b, out=v)
-            for _ in range(2):
-                np.floor(np.multiply(u, 1.0 / PRIME, out=q), out=q)
-                q *= PRIME
-                u -= q
-                if _ == 0:
-                    u *= 65536.0
-                    u += v
+            u -= np.floor(u, out=q)
             yield slice(at, at + len(k)), slice(lo, lo + a.shape[1]), u
 
 
+def _hash_tiles(keys: np.ndarray, coef: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """(rows, replicates, hashes plus a quarter) of :func:`_share_tiles`; a hash compares with a whole number as it would without the quarter."""
+    for rows, reps, u in _share_tiles(keys, coef):
+        u *= PRIME
+        np.floor(u, out=u)
+        u += 0.25
+        yield rows, reps, u
+
+
+def _column_counts(mask: np.ndarray) -> np.ndarray:
+    """How many are set in every column, added up in bytes."""
+    return sum(np.add.reduce(mask[at : at + 255].view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64) for at in range(0, len(mask), 255))
+
+
+def _set_places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.nonzero`` of a matrix with few set places: eight are looked at as one."""
+    flat, width = np.ascontiguousarray(mask).reshape(-1), mask.shape[1]
+    whole = len(flat) // 8 * 8
+    eights = np.flatnonzero(flat[:whole].view(np.uint64))
+    inner = np.flatnonzero(flat[:whole].reshape(-1, 8)[eights])
+    at = np.concatenate([eights[inner >> 3] * 8 + (inner & 7), whole + np.flatnonzero(flat[whole:])])
+    return np.divmod(at, width)
+
+
 def _poisson_matrix(u: np.ndarray) -> np.ndarray:
     """The same weights as :func:`poisson_weight` for a matrix of hashes; few of them are above the first cuts."""
     cuts = poisson_cuts()
@@ -254,7 +282,8 @@ def _hash_matrix(x: np.ndarray, y: np.ndarray, coef: np.ndarray) -> np.ndarray:
 def _weight_matrix(x: np.ndarray, y: np.ndarray, coef: np.ndarray) -> np.ndarray:
     """rows x replicates of weights."""
     out = np.empty((len(x), len(coef)))
-    for rows, reps, u in _hash_tiles(_hash_keys(x, y), coef):
+    for rows, reps, u in _share_tiles(_hash_keys(x, y), coef):
+        u *= PRIME
         out[rows, reps] = _poisson_matrix(u)
     return out
 
@@ -267,7 +296,7 @@ GRAM_SCHEMA = T.StructType([
 ])
 
 REPLICATE_BLOCK = 256  # replicates held as one weight matrix
-ROW_TILE = 256  # rows of such a matrix
+ROW_TILE = 512  # rows of such a matrix
 COMMON_CUTS = 4  # weights counted by comparing every hash; one row in 50 has a larger one
 
 
@@ -285,15 +314,17 @@ def gram_partials(
     """Weighted counts, sums and cross products per (rep, group, class) of the complete rows: one array each per task,
     merged in a tree.
 
-    ``weights(u, codes, group, replicates)`` turns a tile of hashes of one group's rows (of all rows without ``by_group``) into the output
-    group and its weights; ``rest`` names a second one, of all that the first left.
-    Memory per task is replicates x groups x classes x p^2/2, independent of the rows.
+    ``weights(u, codes, group, replicates)`` turns a tile of hashes (as shares, see ``_share_tiles``) of one group's rows (of all rows
+    without ``by_group``) into the output group and its weights; ``rest`` names a second one, of all that the first left.
+    Memory per task is replicates x groups x classes x p^2/2, independent of the rows.  Rows are few bytes and much work, so they are
+    spread over all cores first.
     """
     coef = np.array(replicate_coefficients(seed, n), dtype=np.int64)
     names = list(features)
 
     def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[tuple[str, int], np.ndarray] = {}
+        left: dict[int, np.ndarray] = {}  # per class the sums of all rows
         for pdf in batches:
             y, g = pdf["_label"].to_numpy(), pdf["_g"].to_numpy()
             codes = np.stack([pdf["_x"].to_numpy(dtype=np.int64), pdf["_y"].to_numpy(dtype=np.int64)])
@@ -304,18 +335,21 @@ def gram_partials(
                     if not len(m):
                         continue
                     own, zs = codes[:, m], z[m]
-                    for rows, reps, u in _hash_tiles(keys[m], coef):
+                    for rows, reps, u in _share_tiles(keys[m], coef):
                         out, w = weights(u, own[:, rows], name, reps)
-                        acc.setdefault((out, c), np.zeros((n, z.shape[1])))[reps] += w.astype(np.float64, copy=False).T @ zs[rows]
+                        if (out, c) not in acc:
+                            acc[out, c] = np.zeros((n, z.shape[1]))
+                        acc[out, c][reps] += (zs[rows].T @ w.astype(np.float64, copy=False)).T
                     if rest is not None:
-                        acc.setdefault((rest, c), np.zeros((n, z.shape[1])))[:] += zs.sum(axis=0)
+                        left[c] = left.get(c, 0.0) + zs.sum(axis=0)
+        for c, s in left.items():
+            acc[rest, c] = s - sum(v for (other, k), v in acc.items() if k == c)
         for (name, c), s in acc.items():
-            if name == rest:
-                s = s - sum(v for (other, k), v in acc.items() if k == c and other != rest)
             for lo in range(0, n, REPLICATE_BLOCK):
                 yield pd.DataFrame({"rep": [np.int32(lo)], "grp": name, "label": np.int32(c), "sums": [s[lo : lo + REPLICATE_BLOCK].ravel()]})
 
     src = complete(df, names).select(F.col(label).alias("_label"), F.col(group).alias("_g"), key_code(*unit).alias("_x"), second_code(*unit).alias("_y"), *names)
+    src = src.repartition(core_count(df.sparkSession), "_x")
     return _unblocked(src.mapInPandas(partials, GRAM_SCHEMA), len(names))
 
 
@@ -335,6 +369,7 @@ def bootstrap_grams(df: DataFrame, features: Sequence[str], label: str, group: s
     """Bootstrap partials per domain: Poisson weights, drawn inside each class by construction."""
 
     def weights(u, codes, name, reps):
+        u *= PRIME
         return str(name), _poisson_matrix(u)
 
     return gram_partials(df, features, label, group, unit, n, seed, weights)
@@ -344,30 +379,35 @@ CUT_BINS = 64  # parts of the window in which a cut is looked for
 
 
 def permutation_cuts(df: DataFrame, unit: Sequence[str], n_first: int, total: int, n: int, seed: int, width: float = 7.0) -> DataFrame:
-    """Per replicate the n_first-th smallest (hash, codes): the exact cut that keeps the group sizes.
+    """Per replicate the n_first-th smallest (hash, codes): the exact cut that keeps the group sizes; ``tied`` if a row after it has its hash.
 
     Hashes are even, so the cut lies within a few standard errors of its expected place, in a window that is the same for all
     replicates.  One pass counts per replicate the rows below the window and in its parts; a second one gathers the rows of the one part that
     holds the cut, about ``sqrt(total)`` / 10 per replicate, and only they are ranked.  A window that misses a cut is widened.
     """
     if not 0 < n_first <= total:
-        return df.sparkSession.createDataFrame([], "rep int, u bigint, x bigint, y bigint")
+        return df.sparkSession.createDataFrame([], "rep int, u bigint, x bigint, y bigint, tied boolean")
     share = n_first / total
     half = width * (share * (1 - share) / total) ** 0.5 + width / total
-    low, high = max(0, int(PRIME * (share - half))), min(PRIME, int(PRIME * (share + half)) + CUT_BINS)
-    edges = np.array([low + (high - low) * k // CUT_BINS for k in range(CUT_BINS + 1)], dtype=np.int64)
+    low = max(0, int(PRIME * (share - half)))
+    step = (min(PRIME, int(PRIME * (share + half)) + CUT_BINS) - low) // CUT_BINS + 1
+    edges = low + step * np.arange(CUT_BINS + 1, dtype=np.int64)
+    high = int(edges[-1])
     coef = np.array(replicate_coefficients(seed, n), dtype=np.int64)
     rows = df.select(key_code(*unit).alias("x"), second_code(*unit).alias("y")).repartition(core_count(df.sparkSession), "x")
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros((n, CUT_BINS + 1), np.int64)
         for pdf in batches:
-            for _, reps, u in _hash_tiles(_hash_keys(pdf["x"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64)), coef):
-                below = u < low
-                counts[reps, 0] += np.count_nonzero(below, axis=0)
-                row, rep = np.nonzero((u < high) ^ below)
-                part = np.searchsorted(edges, u[row, rep], side="right")
-                np.add.at(counts, (rep + reps.start, np.minimum(part, CUT_BINS)), 1)
+            hits = []
+            for _, reps, u in _share_tiles(_hash_keys(pdf["x"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64)), coef):
+                below = u < low / PRIME
+                counts[reps, 0] += _column_counts(below)
+                row, rep = _set_places((u < high / PRIME) ^ below)
+                part = ((u[row, rep] * PRIME).astype(np.int64) - low) // step + 1
+                hits.append((rep + reps.start) * (CUT_BINS + 1) + part)
+            if hits:
+                counts += np.bincount(np.concatenate(hits), minlength=counts.size).reshape(counts.shape)
         yield pd.DataFrame({"m": [counts.ravel()]})
 
     found = merge_arrays(rows.mapInPandas(tally, "m array<bigint>"), [], "m").first()  # bounded by the replicates
@@ -375,21 +415,22 @@ def permutation_cuts(df: DataFrame, unit: Sequence[str], n_first: int, total: in
     if not ((ends[:, 0] < n_first) & (n_first <= ends[:, -1])).all():
         return permutation_cuts(df, unit, n_first, total, n, seed, width * 4)
     part = (ends < n_first).sum(axis=1)  # 1 is the first part of the window
-    before, start, stop = ends[np.arange(n), part - 1], edges[part - 1], edges[part]
+    before, start = ends[np.arange(n), part - 1], edges[part - 1]
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x, y = pdf["x"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64)
             hits = []
-            for rows, reps, u in _hash_tiles(_hash_keys(x, y), coef):
-                row, rep = np.nonzero((u < stop[reps]) & (u >= start[reps]))
-                hits.append((row + rows.start, rep + reps.start, u[row, rep].astype(np.int64)))
+            for rows, reps, u in _share_tiles(_hash_keys(x, y), coef, start):
+                row, rep = _set_places(u < step / PRIME)
+                hits.append((row + rows.start, rep + reps.start, (u[row, rep] * PRIME).astype(np.int64) + start[rep + reps.start]))
             row, rep, u = (np.concatenate(v) for v in zip(*hits)) if hits else [np.zeros(0, np.int64)] * 3
             yield pd.DataFrame({"rep": rep.astype(np.int32), "u": u, "x": x[row], "y": y[row], "need": n_first - before[rep]})
 
     inside = rows.mapInPandas(gather, "rep int, u bigint, x bigint, y bigint, need bigint")
-    ranked = inside.withColumn("rn", F.row_number().over(Window.partitionBy("rep").orderBy("u", "x", "y")))
-    return ranked.where("rn = need").select("rep", "u", "x", "y")
+    ordered = Window.partitionBy("rep").orderBy("u", "x", "y")
+    ranked = inside.withColumns({"rn": F.row_number().over(ordered), "tied": F.coalesce(F.lead("u").over(ordered) == F.col("u"), F.lit(False))})
+    return ranked.where("rn = need").select("rep", "u", "x", "y", "tied")
 
 
 def permutation_grams(df: DataFrame, features: Sequence[str], label: str, group: str, unit: Sequence[str], n: int, seed: int, first: str = "static", second: str = "mobile", exact_sizes: bool = True) -> DataFrame:
@@ -404,16 +445,22 @@ def permutation_grams(df: DataFrame, features: Sequence[str], label: str, group:
         rows = sorted(permutation_cuts(df, unit, sizes["k"], sizes["n"], n, seed).collect())  # one row per replicate
         cut_u = np.array([r["u"] for r in rows], dtype=np.int64)
         cut_x, cut_y = (np.array([r[c] for r in rows], dtype=np.int64) for c in "xy")
+        tied = np.array([r["tied"] for r in rows], dtype=bool)
     else:
         cut_u = np.full(n, int(PRIME * sizes["k"] / sizes["n"]), dtype=np.int64)
         cut_x = cut_y = np.full(n, -1, dtype=np.int64)
+        tied = np.ones(n, dtype=bool)
+    above = (cut_u + 1) / PRIME
 
     def weights(u, codes, name, reps):
-        in_first = u < cut_u[reps] + 1
-        row, rep = np.nonzero(in_first & (u > cut_u[reps]))  # the hash is the cut's
-        a, b, cx, cy = codes[0][row], codes[1][row], cut_x[reps][rep], cut_y[reps][rep]
-        in_first[row, rep] = (a < cx) | ((a == cx) & (b <= cy))
-        return first, in_first
+        in_first = u < above[reps]
+        some = np.flatnonzero(tied[reps])  # elsewhere no row after the cut has its hash
+        if len(some):
+            row, rep = np.nonzero(in_first[:, some] & (u[:, some] > (cut_u[reps] / PRIME)[some]))  # the hash is the cut's
+            rep = some[rep]
+            a, b, cx, cy = codes[0][row], codes[1][row], cut_x[reps][rep], cut_y[reps][rep]
+            in_first[row, rep] = (a < cx) | ((a == cx) & (b <= cy))
+        return first, in_first.view(np.uint8)
 
     return gram_partials(df, features, label, group, unit, n, seed, weights, by_group=False, rest=second)
 
@@ -475,13 +522,15 @@ def separation_from_sums(s0: np.ndarray, s1: np.ndarray, p: int, ridge: float =
 def separation(grams: DataFrame, p: int) -> DataFrame:
     """Distance and ratio per (rep, group).  A group holds two rows of p^2/2 sums, whatever the data size."""
 
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        by = {int(r.label): np.asarray(r.sums, dtype=np.float64) for r in pdf.itertuples()}
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         zero = np.zeros(gram_size(p))
-        d, r = separation_from_sums(by.get(0, zero), by.get(1, zero), p)
-        return pd.DataFrame({"rep": [key[0]], "grp": [key[1]], "mahalanobis": [d], "lda_ratio": [r]})
+        sums = lambda v: zero if v is None else np.asarray(v, dtype=np.float64)
+        for pdf in batches:
+            found = [separation_from_sums(sums(a), sums(b), p) for a, b in zip(pdf["_s0"], pdf["_s1"])]
+            yield pdf[["rep", "grp"]].assign(mahalanobis=[d for d, _ in found], lda_ratio=[r for _, r in found])
 
-    return grams.groupBy("rep", "grp").applyInPandas(solve, SEPARATION_SCHEMA)
+    by_class = grams.groupBy("rep", "grp").agg(*[F.first(F.when(F.col("label") == c, F.col("sums")), ignorenulls=True).alias(f"_s{c}") for c in (0, 1)])
+    return by_class.mapInPandas(solve, SEPARATION_SCHEMA)
 
 
 def permute_column(df: DataFrame, key: str, column: str, seed: int, out: str) -> DataFrame:
