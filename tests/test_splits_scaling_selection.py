@@ -137,3 +137,27 @@ def test_split_windows_query_shuffles_runs_once(spark, sf):
     keys = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "hashpartitioning(" in line]
     assert any("run_id" in k for k in keys)
     assert not any("run_id" in k and "seed" in k for k in keys)
+
+
+def test_split_artifacts_join_parts_once_and_not_on_the_driver(spark, tmp_path, monkeypatch):
+    from windowlab import fixtures
+    from windowlab.plans import splitting
+
+    line = "id + 1 AS l_orderkey, id % 7 AS l_partkey, id % 3 AS l_suppkey, 1 AS l_linenumber, CAST(id % 50 AS DOUBLE) AS l_quantity, 1000D * (id % 11) AS l_extendedprice, id % 10 / 100D AS l_discount, id % 9 / 100D AS l_tax"
+    spark.range(300).selectExpr(*line.split(", "), "CASE WHEN id % 2 = 0 THEN 'F' ELSE 'O' END AS l_linestatus").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(6).selectExpr("id AS p_partkey", "CAST(id * id + 1 AS INT) AS p_size", "900D + id AS p_retailprice").write.parquet(str(tmp_path / "part.parquet"))
+    made = []
+
+    def counted(*a, **k):
+        made.append(fixtures.wide(*a, **k))
+        return made[-1]
+
+    monkeypatch.setattr(splitting, "wide", counted)
+    got = {(r["artifact"], r["item"]): r["value"] for r in splitting.split_artifacts(spark, str(tmp_path)).collect()}
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(made) == 1 and "ShuffledHashJoin" in plan and "Broadcast" not in plan
+    rows = splitting.splits.split_windows(fixtures.wide(spark, str(tmp_path)), ["domain"], "run_id", [42]).where("part = 'train'").toPandas()
+    for domain, of in rows.groupby("domain"):
+        for f in fixtures.WIDE_FEATURES:
+            assert abs(got["scaler", f"{domain}/{f}"] - of[f].mean()) < 1e-4
+    assert sum(v for (a, _), v in got.items() if a == "splits") == sum(i % 7 < 6 for i in range(300)) and got["splits", "train"] == len(rows)
